@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,10 @@ import pyarrow.compute as pc
 
 from scorewright.llm.common import ragged
 
-#: Words kept with their ids in a Python worker, and the longest word that is kept.
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+#: Words kept with their ids in a Python worker (in two generations), and the longest word that is kept.
+MEMO_WORDS, MEMO_CHARS = 800_000, 64
+#: Marks that end words: they are never joined with a letter before them.
+ENDS = ".,!?;:*$%&#)"
 _loaded: dict[str, TextEncoder] = {}
 
 
@@ -30,23 +33,45 @@ class TextEncoder:
         self.model = Tokenizer.from_file(path)
         ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
         probes = (("The", "end."), ("x1", "'s"), ("été", "́a"), ("--", "ok"), ("A", ""))
-        self.by_word = all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a, b in probes for gap in (" ", "\n", "  "))
-        self.memo: dict[str, tuple[int, ...]] = {"": ()}
+        self.by_word = ids("Aé, b") == ids("aé") + ids(",") + ids("B") and all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a, b in probes for gap in (" ", "\n", "  "))
+        self.memo, self.old = {"": b""}, {}
 
-    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
-        memo = self.memo
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32 bit."""
+        memo, old = self.memo, self.old
         if missing := [w for w in words if w not in memo]:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo = self.memo = {"": ()}
+            if len(memo) + len(missing) > MEMO_WORDS // 2:
+                old, memo = self.old, self.memo = memo, {"": b""}
                 missing = [w for w in words if w]
             fresh = {}
-            for at in range(0, len(missing), 20_000):
-                part = missing[at : at + 20_000]
-                fresh.update(zip(part, (tuple(e.ids) for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            memo.update((w, i) for w, i in fresh.items() if len(w) <= MEMO_CHARS)
+            for w in [w for w in missing if w not in old]:
+                fresh[w] = b""
+            names = list(fresh)
+            for at in range(0, len(names), 20_000):
+                part = names[at : at + 20_000]
+                fresh.update(zip(part, (array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            for w in missing:
+                found = fresh[w] if w in fresh else old[w]
+                if len(w) <= MEMO_CHARS:
+                    memo[w] = found
             return [i if (i := memo.get(w)) is not None else fresh[w] for w in words]
         return [memo[w] for w in words]
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """As _words; a word's lower-case form and its closing marks are looked up by themselves."""
+        plain = [w.lower() if w.isascii() and "|" not in w else w for w in words]
+        stems = [w.rstrip(ENDS) for w in plain]
+        cut = [i for i, (w, s) in enumerate(zip(plain, stems, strict=True)) if len(s) < len(w) and s and s[-1].lower().isalpha()]
+        ends = [plain[i][len(stems[i]) :] for i in cut]
+        for i in cut:
+            plain[i] = stems[i]
+        asked = list(dict.fromkeys(plain)) + [e for e in dict.fromkeys(ends)]
+        known = dict(zip(asked, self._words(asked), strict=True))
+        out = [known[w] for w in plain]
+        for i, end in zip(cut, ends, strict=True):
+            out[i] += known[end]
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (unsigned 32 bit), and where each text's begin (one more than texts)."""
         texts = pc.fill_null(texts, "")
@@ -56,9 +81,9 @@ class TextEncoder:
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(ends[-1])), ends
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pc.dictionary_encode(parts.flatten())
-        known = self._words(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for ids in known for i in ids), np.uint32, int(lengths.sum()))
+        known = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
         codes = coded.indices.to_numpy()
         per_word = lengths[codes]
         ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], per_word)]
