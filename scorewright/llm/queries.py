@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import fingerprints, packing, simhash, token_files, url_rules
-from scorewright.llm.common import documents, shared_dir
+from scorewright.llm import fingerprints, media, packing, secrets, simhash, token_files, url_rules
+from scorewright.llm.common import documents, shared_dir, through_files
 
 #: The vocabulary that the token queries use.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,18 +35,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = through_files(media.store_texts(documents(spark, sf_dir)))
+    return media.describe(media.sniff(stored))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     site = [r.text for r in url_rules.SITE_RULES]
     return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(site), F.col("rule")).alias("rule"), "verdict")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir), secrets.default_model(spark))
+    return found.select("doc_id", "start", "length", "shape", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
     "op8_url_rules": op8_url_rules,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
