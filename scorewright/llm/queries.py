@@ -8,17 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import fingerprints, media, packing, secrets, simhash, token_files, url_rules
-from scorewright.llm.common import documents, shared_dir, through_files
+from scorewright.llm import fingerprints, line_dedup, media, packing, pieces, quality, secrets, simhash, token_files, url_rules
+from scorewright.llm.common import documents, shared_dir, through_files, whole_text
 
-#: The vocabulary that the token queries use.
+#: The vocabularies that the token queries use.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.spliced(documents(spark, sf_dir))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode_pieces(pieces.encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), PIECES), PIECES)
+    return coded.select("doc_id", (F.length("piece_ids") / 4).cast("long").alias("n_pieces"), F.crc32("piece_ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == whole_text()).alias("same_text"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_files.write_ids(documents(spark, sf_dir), path, WORD_BPE, end_id=2)
@@ -30,6 +36,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model)
+    kept = (F.col("p_good") >= quality.LEAST_GOOD) & (F.col("p_above_toxic") >= 0.5)
+    return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in quality.SCORES), kept.alias("kept"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,14 +65,22 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "shape", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "lines", "removed_lines", F.char_length(whole_text()).cast("long").alias("n_chars"), F.sha2(whole_text(), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_pieces": op2_pieces,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_media": op7_media,
     "op8_url_rules": op8_url_rules,
     "op9_secrets": op9_secrets,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
