@@ -133,10 +133,14 @@ def _links_around(prints: DataFrame, distance: int) -> DataFrame:
     near = distance // 2
 
     def around(radius: int) -> DataFrame:
-        masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
-        masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-        table = prints.sparkSession.createDataFrame([(masks,)], "masks array<long>")
-        return prints.crossJoin(F.broadcast(table)).select("fingerprint", F.explode(F.transform("masks", lambda m: F.col("fingerprint").bitwiseXOR(m))).alias("z"))
+        ring = prints.select("fingerprint", F.col("fingerprint").alias("z"), F.lit(0).alias("bit"))
+        rings = [ring]
+        for _ in range(radius):  # one more bit turned over, above those before
+            turned = rings[-1].where("bit < 64").select("fingerprint", "z", F.explode(F.sequence("bit", F.lit(63))).alias("bit"))
+            rings.append(turned.select("fingerprint", F.expr("z ^ shiftleft(1L, bit)").alias("z"), (F.col("bit") + 1).alias("bit")))
+        for ring in rings[1:]:
+            rings[0] = rings[0].union(ring)
+        return rings[0].select("fingerprint", "z")
 
     hubs = around(near).groupBy("z").agg(F.min("fingerprint").alias("hub"))
     met = around(distance - near).join(hubs, "z").select("hub", "fingerprint").where("hub != fingerprint")
@@ -198,9 +202,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks:
     return prints.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without all but the one with the smallest id of each component; rows with a null id stay, and repeated rows of a kept id become one."""
-    found = near_duplicates(docs, words, distance, id_column=id_column, text_column=text_column)
+def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with one document of each component, the one with the smallest id; columns stay as they are.
+
+    Rows with a null id stay, and so do all rows of a kept id.
+    """
+    found = near_duplicates(docs, words, distance, blocks, id_column=id_column, text_column=text_column)
     extra = found.where("doc_id > component_id").select(F.col("doc_id").alias("_extra")).distinct()
-    kept = docs.join(extra, docs[id_column] == extra["_extra"], "left_anti")
-    return kept
+    return docs.join(extra, docs[id_column] == extra["_extra"], "left_anti")
