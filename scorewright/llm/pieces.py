@@ -17,25 +17,30 @@ from scorewright.llm.common import ragged, slices
 SPACE = "▁"
 #: Chunks kept with their ids in a Python worker (in two generations), and the longest that is kept.
 MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
+#: Chunks in one suffix array: it bounds what its edges take.
+BATCH_CHUNKS = 25_000
 #: Pairs of pieces whose seam is kept.
 MEMO_SEAMS = 2_000_000
 ENDS = ".,!?;:*$%&#|)\"'"
 _loaded: dict[str, PieceEncoder] = {}
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of `text` (code points) in the order of their next `depth` characters, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
-    while True:
-        ahead = np.zeros_like(rank)
-        ahead[:-width] = rank[width:]
-        both = rank * (int(rank.max()) + 1) + ahead
-        order = np.argsort(both, kind="stable")
-        width *= 2
-        if width >= depth:
-            return order
-        rank[order] = np.cumsum(np.concatenate([[1], both[order][1:] != both[order][:-1]]))
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, int]:
+    """Positions of `text` (code points) in the order of their next `depth` characters.
+
+    Also the characters packed into whole numbers that give this order (as many to a number as fit), in that order,
+    the characters that occur, whose places from 1 on are packed, and how many a number has.
+    """
+    letters, codes = np.unique(text, return_inverse=True)
+    bits = int(len(letters)).bit_length()
+    width = 62 // bits
+    padded = np.concatenate([codes + 1, np.zeros(depth + width, np.int64)])
+    first = np.zeros(len(text), np.int64)
+    for i in range(width):
+        first = first << bits | padded[i : i + len(text)]
+    numbers = [np.concatenate([first[at:], np.zeros(min(at, len(text)), np.int64)])[: len(text)] for at in range(0, depth, width)]
+    order = np.lexsort(numbers[::-1])
+    return order, [n[order] for n in numbers], letters, width
 
 
 class PieceEncoder:
@@ -93,50 +98,66 @@ class PieceEncoder:
     def _stay_apart(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether merging leaves each two neighbouring pieces as they are."""
         size = len(self.pieces)
-        wanted, back = np.unique(first * size + second, return_inverse=True)
         known, apart = self.seams
+        wanted = first * size + second
         at = np.searchsorted(known, wanted)
         fresh = np.ones(len(wanted), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] != wanted
         if fresh.any():
-            names, found = wanted[fresh], []
+            if len(known) > MEMO_SEAMS:
+                self.seams = known[:0], apart[:0]
+                return self._stay_apart(first, second)
+            names, found = np.unique(wanted[fresh]), []
             for a, b in zip((names // size).tolist(), (names % size).tolist(), strict=True):
                 left, right = self.pieces[a], self.pieces[b]
                 found.append(left[-1] + right[0] not in self.joined or self.merge(left + right) == [left, right])
-            if len(known) > MEMO_SEAMS:
-                known, apart = known[:0], apart[:0]
-                self.seams = known, apart
-                return self._stay_apart(first, second)
-            known, apart = np.concatenate([known, names]), np.concatenate([apart, np.array(found, bool)])
-            order = np.argsort(known)
-            known, apart = self.seams = known[order], apart[order]
+            places = np.searchsorted(known, names)
+            known, apart = self.seams = np.insert(known, places, names), np.insert(apart, places, np.array(found, bool))
             at = np.searchsorted(known, wanted)
-        return apart[at][back]
+        return apart[at]
 
     def _occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and id of every occurrence of every piece in the text (code points, chunks apart by zeros)."""
-        order = suffix_array(text, self.depth)
-        padded = np.concatenate([text, np.zeros(self.depth, text.dtype)])
+        order, numbers, letters, width = suffix_array(text, self.depth)
+        bits = int(len(letters)).bit_length()
+        at = np.searchsorted(letters, self.made)
+        known = letters[np.minimum(at, len(letters) - 1)] == self.made
+        inside = np.arange(self.depth) < self.made_len[:, None]
+        usable = np.flatnonzero((known | ~inside).all(axis=1))  # pieces whose characters all occur
+        codes = np.where(inside, at + 1, 0)[usable]
+        spans, ids = self.made_len[usable], self.made_ids[usable]
+        codes = np.concatenate([codes, np.zeros((len(codes), -self.depth % width), np.int64)], axis=1)
+
+        def packed(fill: int) -> np.ndarray:
+            """The pieces' numbers, what is beyond their ends as `fill`: their least or greatest suffix."""
+            filled = np.where(np.arange(codes.shape[1]) < spans[:, None], codes, fill)
+            out = np.zeros((len(codes), len(numbers)), np.int64)
+            for i in range(codes.shape[1]):
+                out[:, i // width] = out[:, i // width] << bits | filled[:, i]
+            return out
 
         def bound(above: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.made), np.int64), np.full(len(self.made), len(order))
-            while (open_ := low < high).any():
-                here = np.flatnonzero(open_)
+            """Binary search for where each piece's suffixes begin, or with `above` where they have ended."""
+            wanted = packed((1 << bits) - 1 if above else 0)
+            found = np.searchsorted(numbers[0], wanted[:, 0], side="right" if above else "left")
+            long = np.flatnonzero(spans > width)
+            low = np.searchsorted(numbers[0], wanted[long, 0], side="left")
+            high = np.searchsorted(numbers[0], wanted[long, 0], side="right")
+            while (here := np.flatnonzero(low < high)).size:  # among equal first numbers, by the others
                 middle = (low[here] + high[here]) // 2
-                suffix = padded[order[middle][:, None] + np.arange(self.depth)]
-                piece = self.made[here]
-                differ = (suffix != piece) & (np.arange(self.depth) < self.made_len[here][:, None])
-                first = np.where(differ.any(axis=1), differ.argmax(axis=1), -1)
-                rows = np.arange(len(here))
-                right = np.where(first < 0, above, suffix[rows, first] < piece[rows, first])
+                right = np.full(len(here), above)
+                for number, want in zip(reversed(numbers[1:]), reversed(range(1, len(numbers))), strict=True):
+                    a, b = number[middle], wanted[long[here], want]
+                    right = np.where(a == b, right, a < b)
                 low[here] = np.where(right, middle + 1, low[here])
                 high[here] = np.where(right, high[here], middle)
-            return low
+            found[long] = low
+            return found
 
         lower = bound(False)
         counts = bound(True) - lower
         starts = order[ragged(lower, counts)]
-        which = np.repeat(np.arange(len(self.made)), counts)
-        return starts, self.made_len[which], self.made_ids[which]
+        which = np.repeat(np.arange(len(usable)), counts)
+        return starts, spans[which], ids[which]
 
     def _match(self, chunks: list[str]) -> list[list[int]]:
         """Ids of distinct chunks without runs of spaces."""
@@ -195,8 +216,8 @@ class PieceEncoder:
                     fresh[c] = array("I", self._of_parts(self.merge(c))).tobytes()
                 else:
                     plain.append(c)
-            for at in range(0, len(plain), 100_000):
-                part = plain[at : at + 100_000]
+            for at in range(0, len(plain), BATCH_CHUNKS):
+                part = plain[at : at + BATCH_CHUNKS]
                 fresh.update(zip(part, (array("I", i).tobytes() for i in self._match(part)), strict=True))
             memo.update((c, i) for c, i in fresh.items() if len(c) <= MEMO_CHARS)
             return [i if (i := memo.get(c)) is not None else fresh[c] for c in chunks]
@@ -261,7 +282,7 @@ def encode_pieces(df: DataFrame, model: str, text_column: str = "text", ids_colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model).encode
-        for batch in slices(batches, text_column, 8 << 20):
+        for batch in slices(batches, text_column):
             ids, bounds = encode(batch.column(text_column))
             raw = ids.astype("<u4").tobytes()
             found = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
