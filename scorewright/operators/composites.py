@@ -94,4 +94,4 @@ def reweighted(scores: DataFrame, weights: dict[str, float], multipliers: list[f
 
 def ranked(df: DataFrame, by: str, agent: str = "agent", *within: str) -> DataFrame:
     """df with rank 1, 2, ... by `by` descending, ties by name."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(by), agent)))
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(by), agent)).cast("long"))

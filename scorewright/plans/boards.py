@@ -21,10 +21,10 @@ _STATS = ", ".join(f"avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}" for n in comp
 @query("leaderboard_truthful", f"""WITH {BATTLES_SQL},
 sides AS (SELECT a AS agent, score_a AS p FROM battles UNION ALL SELECT b, 1 - score_a FROM battles),
 rec AS (SELECT agent, count(*) FILTER (p = 1) AS wins, count(*) FILTER (p = 0) AS losses, count(*) FILTER (p = 0.5) AS draws, count(*) AS n_battles FROM sides GROUP BY 1),
-m AS (SELECT agent, round(avg(composite), 6) AS mean_composite FROM truthful GROUP BY 1)
+m AS (SELECT agent, round(avg(composite) + 1e-9, 6) AS mean_composite FROM truthful GROUP BY 1)
 SELECT m.agent, mean_composite, wins, losses, draws, n_battles, row_number() OVER (ORDER BY mean_composite DESC, m.agent) AS rank FROM m JOIN rec ON rec.agent = m.agent""")
 def leaderboard_truthful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = views.truthful(spark, sf_dir).groupBy("agent").agg(F.round(F.avg("composite"), 6).alias("mean_composite"))
+    means = views.truthful(spark, sf_dir).groupBy("agent").agg(F.round(F.avg("composite") + 1e-9, 6).alias("mean_composite"))
     return composites.ranked(means.join(battles.record(views.battles(spark, sf_dir)), "agent"), "mean_composite")
 
 

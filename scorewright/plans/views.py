@@ -10,7 +10,7 @@ from scorewright.registry import table
 
 #: Pillars of a score row, each a mean of hundredths that an event's number, payload and value give.
 PILLARS = {"reach": (3, 7), "url": (5, 11), "chk": (7, 3), "qm": (11, 5), "nli": (13, 2), "cit": (17, 9), "depth": (19, 4), "pres": (23, 6), "fe": (29, 8), "ic": (31, 10), "pb": (37, 12), "sd": (41, 1)}
-_AVERAGES = ", ".join(f"round(avg((event_id * {a} + k * {b} + v * length(agent)) % 101) / 100, 6) AS {name}" for name, (a, b) in PILLARS.items())
+_AVERAGES = ", ".join(f"round(avg((event_id * {a} + k * {b} + v * length(agent)) % 101) / 100 + 1e-9, 6) AS {name}" for name, (a, b) in PILLARS.items())
 
 SCORES_SQL = f"""
 ev AS (SELECT event_type AS agent, CAST(CAST(ts AS DATE) AS VARCHAR) AS task, event_id,
@@ -25,7 +25,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("agent"), F.col("ts").cast("date").cast("string").alias("task"), "event_id",
         F.get_json_object("props", "$.k").cast("long").alias("k"), F.floor("value").cast("long").alias("v"),
     )
-    hundredths = lambda a, b: F.round(F.avg((F.col("event_id") * a + F.col("k") * b + F.col("v") * F.length("agent")) % 101) / 100, 6)
+    hundredths = lambda a, b: F.round(F.avg((F.col("event_id") * a + F.col("k") * b + F.col("v") * F.length("agent")) % 101) / 100 + 1e-9, 6)
     raw = events.groupBy("agent", "task").agg(F.count("*").alias("runs"), F.sum("k").alias("chars"), *(hundredths(a, b).alias(name) for name, (a, b) in PILLARS.items()))
     passed = sum(((F.col(c) > 0.5).cast("int") for c in ("url", "cit", "pres")), F.lit(0))
     return raw.withColumn("spc", F.round(passed / 3.0, 6))
