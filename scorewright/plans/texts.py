@@ -48,7 +48,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("prose_measures", rf"""SELECT doc_id, {_WORDS('text')} AS words, len(regexp_extract_all(text, '[.!?]+(?:\s|$)')) AS sentences, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens,
-len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x IN ('good','great','excellent','best','better','strong','reliable','positive','recommended','love'))) AS positive, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x IN ('bad','poor','worst','worse','weak','unreliable','negative','issue','problem','but','however','although','hate'))) AS negative FROM documents""")
+len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN ('good','great','excellent','best','better','strong','reliable','positive','recommended','love'))) AS positive, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x IN ('bad','poor','worst','worse','weak','unreliable','negative','issue','problem','but','however','although','hate'))) AS negative FROM documents""")
 def prose_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     tokens = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
