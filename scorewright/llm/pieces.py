@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,9 @@ from scorewright.llm.common import ragged, slices
 
 SPACE = "▁"
 #: Chunks kept with their ids in a Python worker (in two generations), and the longest that is kept.
-MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
+MEMO_CHUNKS, MEMO_CHARS = 400_000, 64
+#: Bytes of text (or ids) that a worker takes at once.
+SLICE = 2 << 20
 #: Chunks in one suffix array: it bounds what its edges take.
 BATCH_CHUNKS = 25_000
 #: Pairs of pieces whose seam is kept.
@@ -273,32 +275,47 @@ def encoder(path: str) -> PieceEncoder:
     return _loaded[path]
 
 
+def _mapped(df: DataFrame, column: str, fields: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """df with further columns, which `work` makes of slices of one; columns so named are replaced."""
+    names = [f.name for f in fields]
+    kept = df.drop(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column, SLICE):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(column))], names=[*batch.schema.names, *names])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+
+
+def _coded(model: str, texts: pa.Array) -> list[bytes]:
+    ids, bounds = encoder(model).encode(texts)
+    raw = ids.astype("<u4").tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _decoded(model: str, coded: list[bytes | None]) -> pa.Array:
+    decode = encoder(model).decode
+    return pa.array([None if b is None else decode(np.frombuffer(b, "<u4").tolist()) for b in coded], pa.string())
+
+
 def encode_pieces(df: DataFrame, model: str, text_column: str = "text", ids_column: str = "piece_ids") -> DataFrame:
     """df with the ids of each text's pieces (little-endian unsigned 32 bit), in a column that replaces one so named.
 
     Null and empty texts have no ids; every row is kept; an empty table stays empty.
     """
-    kept = df.drop(ids_column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(model).encode
-        for batch in slices(batches, text_column):
-            ids, bounds = encode(batch.column(text_column))
-            raw = ids.astype("<u4").tobytes()
-            found = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, ids_column])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids_column, T.BinaryType())]))
+    return _mapped(df, text_column, [T.StructField(ids_column, T.BinaryType())], lambda texts: [pa.array(_coded(model, texts), pa.binary())])
 
 
 def decode_pieces(df: DataFrame, model: str, ids_column: str = "piece_ids", text_column: str = "decoded") -> DataFrame:
     """df with the text of each row's ids in a column that replaces one so named; null ids give null."""
-    kept = df.drop(text_column)
+    return _mapped(df, ids_column, [T.StructField(text_column, T.StringType())], lambda coded: [_decoded(model, coded.to_pylist())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(model).decode
-        for batch in slices(batches, ids_column):
-            found = [None if b is None else decode(np.frombuffer(b, "<u4").tolist()) for b in batch.column(ids_column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, text_column])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_column, T.StringType())]))
+def recode_pieces(df: DataFrame, model: str, text_column: str = "text", ids_column: str = "piece_ids", decoded_column: str = "decoded") -> DataFrame:
+    """encode_pieces() and decode_pieces() of its ids in one pass, by one Python worker a task."""
+
+    def work(texts: pa.Array) -> list[pa.Array]:
+        coded = _coded(model, texts)
+        return [pa.array(coded, pa.binary()), _decoded(model, coded)]
+
+    return _mapped(df, text_column, [T.StructField(ids_column, T.BinaryType()), T.StructField(decoded_column, T.StringType())], work)

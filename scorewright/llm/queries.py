@@ -21,7 +21,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode_pieces(pieces.encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), PIECES), PIECES)
+    coded = pieces.recode_pieces(documents(spark, sf_dir).select("doc_id", "text"), PIECES)
     return coded.select("doc_id", (F.length("piece_ids") / 4).cast("long").alias("n_pieces"), F.crc32("piece_ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == whole_text()).alias("same_text"))
 
 
