@@ -153,6 +153,8 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = BLOCKS, bucket: in
     A key is a choice of blocks that stay equal. Buckets of up to `bucket` fingerprints are compared in a task, which
     passes on a spanning forest; larger ones take _links_around.
     """
+    # As many tasks as a shuffle has: a fingerprint becomes many keys, so small files of fingerprints make large tasks.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
     keys = prints.select(F.explode(block_keys(F.col("fingerprint"), distance, blocks)).alias("key"), "fingerprint")
     large = through_files(keys.groupBy("key").count().where(F.col("count") > bucket).select("key"))
     crowded = large.limit(1).count() > 0
