@@ -60,6 +60,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many marks before it as set it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[0], starts[0]+1, ..., then starts[1], ...: lengths[i] of each."""
     ends = np.cumsum(lengths)

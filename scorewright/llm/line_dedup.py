@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.llm.common import slices, through_files
+from scorewright.llm.common import slices, through_files, unused
 
 #: Lines whose hashes are rolled over, one chunk end in so many places on average, and least and most lines in a chunk.
 WINDOW, SPACING, LEAST, MOST = 2, 3, 2, 64
@@ -74,6 +74,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     """
     id_, text = F.col(id_column), F.col(text_column)
     kept = docs.drop("lines", "removed_lines")
+    key, listed, list_id, list_tag = (unused(n, kept.columns) for n in ("_key", "_chunks", "_list_id", "_list_tag"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
@@ -88,14 +89,14 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     chunks = through_files(chunks).distinct()
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("_id"), "_tag", "first")).alias("keep")).where("times > 1")
     marked = chunks.join(repeated, "hash").withColumn("stays", (F.coalesce("_id", F.lit((1 << 63) - 1)) == F.col("keep._id")) & (F.col("_tag") == F.col("keep._tag")) & (F.col("first") == F.col("keep.first")))
-    lists = marked.groupBy("_id", "_tag").agg(F.sort_array(F.collect_list(F.struct("first", "n", "hash", "stays"))).alias("_chunks"))
-    lists = lists.select(F.xxhash64("_id", "_tag").alias("_key"), F.col("_id").alias("_list_id"), F.col("_tag").alias("_list_tag"), "_chunks")
-    keyed = kept.withColumn("_key", F.xxhash64(id_.cast("long"), _tag(text)))
-    match = (keyed["_key"] == lists["_key"]) & id_.cast("long").eqNullSafe(F.col("_list_id")) & (_tag(text) == F.col("_list_tag"))
-    with_lists = through_files(keyed.join(lists, match, "left").drop("_key", "_list_id", "_list_tag"))
-
-    several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform(_chunks, c -> struct(c.hash AS hash, array_join(slice(lines, c.first + 1, c.n), '\\n') AS chunk)))[0]")
-    texts = with_lists.where("_chunks is not null").select(F.explode(several).alias("c")).select("c.hash", "c.chunk").groupBy("hash", "chunk").count()
+    lists = marked.groupBy("_id", "_tag").agg(F.sort_array(F.collect_list(F.struct("first", "n", "hash", "stays"))).alias(listed))
+    lists = lists.select(F.xxhash64("_id", "_tag").alias(key), F.col("_id").alias(list_id), F.col("_tag").alias(list_tag), listed)
+    keyed = kept.withColumn(key, F.xxhash64(id_.cast("long"), _tag(text)))
+    match = (keyed[key] == lists[key]) & id_.cast("long").eqNullSafe(F.col(list_id)) & (_tag(text) == F.col(list_tag))
+    with_lists = through_files(keyed.join(lists, match, "left").drop(key, list_id, list_tag))
+
+    several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform({listed}, c -> struct(c.hash AS hash, array_join(slice(lines, c.first + 1, c.n), '\\n') AS chunk)))[0]")
+    texts = with_lists.where(F.col(listed).isNotNull()).select(F.explode(several).alias("c")).select("c.hash", "c.chunk").groupBy("hash", "chunk").count()
     if texts.groupBy("hash").count().where("count > 1").limit(1).count():  # one hash for several texts: hash anew
         return drop_repeated_lines(docs, id_column, text_column, seed + 1)
 
@@ -103,7 +104,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
         for batch in slices(batches, text_column):
             at = batch.schema.get_field_index(text_column)
             texts, lines, removed = [], [], []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column("_chunks").to_pylist(), strict=True):
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(listed).to_pylist(), strict=True):
                 parts, gone = (text or "").split("\n"), set()
                 for c in found or ():
                     if not c["stays"]:
@@ -111,8 +112,8 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
                 texts.append("\n".join(p for i, p in enumerate(parts) if i not in gone) if gone else text)
                 lines.append(len(parts))
                 removed.append(len(gone))
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "_chunks"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*(x for x in batch.schema.names if x != "_chunks"), "lines", "removed_lines"])
+            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns) if batch.schema.names[i] != listed]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*(x for x in batch.schema.names if x != listed), "lines", "removed_lines"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lines", T.LongType()), T.StructField("removed_lines", T.LongType())])
     return with_lists.mapInArrow(remove, schema)

@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorewright.llm.common import unused
+
 # The shapes of credentials (Java patterns). In an assignment only the value is the candidate.
 SHAPES = {
     "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
@@ -160,7 +162,8 @@ def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, thresh
 def redact_secrets(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, text_column: str = "text", path_column: str = "source", instead: str = "[secret]") -> DataFrame:
     """docs with every secret in their text replaced; nothing is shuffled, all columns and rows stay as they are."""
     parts, scores = split_candidates(F.col(text_column)), scored_candidates(F.col(text_column), F.col(path_column), model)
-    kept = F.transform(F.col("_parts"), lambda p, i: F.when((i % 2 == 1) & (F.get(F.col("_scores"), ((i - 1) / 2).cast("int"))["probability"] >= threshold), F.lit(instead)).otherwise(p))
+    cut, score = unused("_parts", docs.columns), unused("_scores", docs.columns)
+    kept = F.transform(F.col(cut), lambda p, i: F.when((i % 2 == 1) & (F.get(F.col(score), ((i - 1) / 2).cast("int"))["probability"] >= threshold), F.lit(instead)).otherwise(p))
     hinted = F.col(text_column).rlike(HINT)
-    work = docs.withColumns({"_parts": F.when(hinted, parts), "_scores": F.when(hinted, scores)})
-    return work.withColumn(text_column, F.when(F.exists("_scores", lambda s: s["probability"] >= threshold), F.array_join(kept, "")).otherwise(F.col(text_column))).drop("_parts", "_scores")
+    work = docs.withColumns({cut: F.when(hinted, parts), score: F.when(hinted, scores)})
+    return work.withColumn(text_column, F.when(F.exists(score, lambda s: s["probability"] >= threshold), F.array_join(kept, "")).otherwise(F.col(text_column))).drop(cut, score)

@@ -1,0 +1,353 @@
+"""Quality, SimHash, media, URLs, secrets, lines and the pipeline: against brute force, planted cases or held-out rows."""
+
+from __future__ import annotations
+
+import gzip
+import hashlib
+import io
+import struct
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+import numpy as np
+import pytest
+import regex
+import xxhash
+from conftest import SF
+from pyspark.sql import functions as F
+
+from scorewright.llm import line_dedup, media, quality, queries, secrets, simhash, url_rules
+
+from .conftest import EDGE
+
+
+# -- quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_op5_held_out(spark):
+    """Fitted on every other labelled document, the others are told apart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    model = quality.train(docs, even)
+    assert (np.diff(model.thresholds) >= 0).all()
+    rows = quality.score(docs.join(F.broadcast(odd), "doc_id"), model).select("quality", "toxic", "p_good", "p_above_toxic", "expected_grade").collect()
+    kept = [r.p_good >= quality.LEAST_GOOD and r.p_above_toxic >= 0.5 for r in rows]
+    good, toxic = [r.quality == 1 and r.toxic == 0 for r in rows], [r.toxic == 1 for r in rows]
+    share = lambda of: sum(k for k, o in zip(kept, of, strict=True) if o) / max(1, sum(of))
+    assert share(good) > 0.95 and share(toxic) < 0.1 and sum(k == g for k, g in zip(kept, good, strict=True)) > 0.9 * len(rows)
+    assert all(0 <= r.expected_grade <= 2 for r in rows)
+
+
+def test_op5_score_by_hand(spark):
+    model = quality.Model(np.random.default_rng(1).normal(size=1 << quality.BITS), np.array([-0.3, 0.6]))
+    text = "Good words, good words words 42!"
+    words = text.split(" ")
+    total = sum(model.weights[p] for w in words for p in quality.word_features(w)) + model.weights[quality.REPEAT] * sum(a == b for a, b in zip(words, words[1:], strict=False))
+    s = quality.SCALE * total / (len(words) + quality.PRIOR_WORDS)
+    row = quality.score(spark.createDataFrame([(text, 1)], "text string, p_good int"), model).first()
+    assert row.p_good == pytest.approx(1 / (1 + np.exp(-np.clip(s - 0.6, -40, 40)))) and row.p_above_toxic == pytest.approx(1 / (1 + np.exp(-np.clip(s + 0.3, -40, 40))))
+
+
+def test_op5_edges(spark, edge, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (10, 0, 1), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(edge, labels)
+    assert quality.score(edge, model).count() == len(EDGE) and quality.score(empty, model).count() == 0
+    assert quality.keep_good(edge, model).columns == edge.columns
+    none = quality.train(edge, labels.limit(0))
+    assert quality.score(edge, none).where("p_above_toxic < 0.5").count() == 0
+
+
+# -- near duplicates -------------------------------------------------------------------------------------------------
+
+
+def fingerprint(text, words=3):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    parts = regex.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)] if len(parts) >= words else [" ".join(parts)] if parts else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, distance):
+    """(id -> least id) by comparing everything with everything."""
+    ids = list(prints)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for at, i in enumerate(ids):
+        for j in ids[:at]:
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
+def test_op6_whole_table(spark, texts):
+    found = {r.doc_id: r for r in queries.op6_simhash(spark, SF).collect()}
+    prints = {i: fingerprint(t) for i, t in texts}
+    assert {i: f"{p:016x}" for i, p in prints.items()} == {i: r.fingerprint for i, r in found.items()}
+    assert components(prints, 3) == {i: r.component_id for i, r in found.items()}
+
+
+@pytest.mark.parametrize("distance,blocks,bucket", [(3, 6, 65_536), (3, 6, 4), (5, 9, 65_536), (5, 9, 4), (3, 4, 2)])
+def test_op6_links_against_all_pairs(spark, rng, distance, blocks, bucket):
+    """Chains of close fingerprints, in small buckets and in ones too large for a task."""
+    prints = set()
+    for _ in range(12):
+        p = rng.getrandbits(64)
+        for _ in range(rng.randrange(12)):
+            prints.add(p)
+            for bit in rng.sample(range(64), rng.randrange(1, distance + 2)):
+                p ^= 1 << bit
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    links = simhash.links(spark.createDataFrame([(p,) for p in signed], "fingerprint long"), distance, blocks, bucket)
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links.collect()]
+    assert all((a ^ b).bit_count() <= (distance if bucket > 4 else 2 * distance) for a, b in edges)
+    root = {r.node: r.root for r in simhash.components(links).collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    for p in signed:
+        got[root.get(p, p)].add(p)
+    for p, top in components({p: p % (1 << 64) for p in signed}, distance).items():
+        want[top].add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_op6_edges(edge, empty):
+    found = simhash.near_duplicates(edge).collect()
+    assert len(found) == len(EDGE)
+    by_id = {r.doc_id: r for r in found if r.doc_id is not None}
+    assert by_id[3].fingerprint == by_id[4].fingerprint == by_id[5].fingerprint == 0 and by_id[5].component_id == 3 and by_id[7].component_id == 6 and by_id[15].component_id == 12
+    left = simhash.drop_near_duplicates(edge)
+    assert left.columns == edge.columns and Counter(r.doc_id for r in left.collect())[None] == 2
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+# -- media -----------------------------------------------------------------------------------------------------------
+
+
+def test_op7_whole_table(spark, texts):
+    found = {r.doc_id: r for r in queries.op7_media(spark, SF).collect()}
+    assert len(found) == len(texts)
+    for i, text in texts:
+        raw = text.encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = found[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = media.to_wav(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and r.feature.startswith("audio/wav;")
+
+
+def samples():
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "hello")
+    return {
+        "image/png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b""),
+        "image/gif": b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;",
+        "image/jpeg": b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\3x123\xff\0\xff\xd045\xff\xd9",
+        "image/bmp": b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + struct.pack("<IIHH", 1, 1, 1, 24) + b"\0" * 24 + b"rgb\0",
+        "audio/wav": media.to_wav(b"abcd"),
+        "application/pdf": b"%PDF-1.4\nstartxref\n0\n%%EOF",
+        "application/gzip": gzip.compress(b"hello"),
+        "application/zip": packed.getvalue(),
+        "audio/ogg": b"OggS\0\4" + b"\0" * 20 + b"\1\3abc",
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(samples()))
+def test_op7_formats(kind):
+    data, automaton = samples()[kind], media.signatures()
+    assert (kind, 0, len(data)) in media.sniff_bytes(data, automaton)
+    assert (kind, 5, len(data)) in media.sniff_bytes(b"12345" + data + (b"" if kind == "application/pdf" else b"tail"), automaton)
+    assert not [f for f in media.sniff_bytes(data[:-1], automaton) if f[:2] == (kind, 0)]
+
+
+def test_op7_corrects_and_carves(spark, edge, empty):
+    png = samples()["image/png"]
+    rows = spark.createDataFrame([(1, "image/gif", png), (2, "text/plain", b"ab" + png + b"cd"), (3, "text/plain", b""), (4, None, None)], "doc_id long, declared string, media binary")
+    found = {r.doc_id: r for r in media.sniff(rows).collect()}
+    assert (found[1].media_type, found[1].corrected, found[1].media_length) == ("image/png", True, len(png))
+    assert (found[2].media_type, found[2].corrected, found[4].media_type) == ("text/plain", False, None)
+    assert [(r.doc_id, r.type, bytes(r.bytes)) for r in media.carve(media.sniff(rows)).collect()] == [(2, "image/png", png)]
+    assert media.store_texts(edge).count() == len(EDGE)
+    assert media.describe(media.sniff(media.store_texts(empty))).count() == 0
+
+
+# -- URLs ------------------------------------------------------------------------------------------------------------
+
+
+def test_op8_oracle(assert_oracle):
+    assert_oracle(queries.op8_url_rules, queries.ORACLE_SQL["op8_url_rules"])
+
+
+def test_op8_against_all_rules(spark, rng):
+    """The index finds what trying every rule finds, in one pass or in many."""
+    hosts = ["a.net", "example.net", "www.example.net", "notexample.net", "example.com", "org", "x.org", "b.casino.com", "EXAMPLE.com:80", ""]
+    urls = [None, "", "no scheme", "http://", "https://x"] + [f"{rng.choice(['http', 'HTTPS', 'ftp'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/x', '/de/', '/fr/ads/1', '/tracker', '/de'])}{rng.choice(['', '?q=porn', '#/en/'])}" for _ in range(300)]
+    rules = [*url_rules.SITE_RULES, *url_rules.OWN_RULES, url_rules.wildcard_rule("*/en/*", "allow"), url_rules.wildcard_rule("q=p*")]
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    ranked = sorted(rules, key=lambda r: (-r.level, -len(r.text), r.text))
+
+    def judge(url):
+        rest = url.partition("://")[2] if url and "://" in url else ""
+        host, path = regex.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        hit = next((r for r in ranked if regex.search(r.regex, (url or "").lower() if r.whole else host + path)), None)
+        return host, path, hit and hit.text, hit.verdict if hit else "allow"
+
+    for size in (50_000, 5):
+        url_rules.RULES_A_PASS = size
+        found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(df, rules).collect()}
+        assert found == {i: judge(u) for i, u in enumerate(urls)}
+    url_rules.RULES_A_PASS = 50_000
+    assert url_rules.judge_urls(df.limit(0)).count() == 0
+
+
+# -- secrets ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.default_model(spark)
+
+
+def test_op9_candidates_against_brute_force(spark, forest):
+    """Places and texts of candidates are those of the patterns run over every whole text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    pattern = regex.compile(secrets.CANDIDATE, regex.ASCII)
+    want = Counter((i, m.start(), m.group()) for i, t in texts for m in pattern.finditer(t))
+    found = secrets.find_secrets(docs, forest).collect()
+    assert Counter((r.doc_id, r.start, r.candidate) for r in found) == want and want
+    assert {r.is_secret for r in found} == {True, False} or len(found) < 5
+
+
+def test_op9_held_out(spark):
+    findings = secrets.labelled_findings(spark, 3000).withColumn("n", F.monotonically_increasing_id() % 3).cache()
+    model = secrets.train(findings.where("n < 2"))
+    rows = findings.where("n = 2").select("label", secrets.forest_probability(model, secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))).alias("p")).collect()
+    assert sum((r.p >= 0.5) == (r.label == 1) for r in rows) > 0.97 * len(rows)
+
+
+def test_op9_expression_is_the_forest(spark, forest):
+    """The expression over features gives the model's own probabilities."""
+    from pyspark.ml.feature import VectorAssembler
+
+    table = secrets.labelled_findings(spark, 300).select(secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).alias("f"))
+    table = table.withColumn("p", secrets.forest_probability(forest, F.col("f"))).select("p", "f.*")
+    rows = forest.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(table)).select("p", "probability").collect()
+    assert all(r.p == pytest.approx(r.probability[1], abs=1e-9) for r in rows)
+
+
+def test_op9_edges(edge, empty, forest):
+    found = {r.doc_id: r for r in secrets.find_secrets(edge, forest).collect()}
+    assert found[18].is_secret and found[19].is_secret and not found[20].is_secret
+    clean = secrets.redact_secrets(edge, forest)
+    assert clean.columns == edge.columns and clean.count() == len(EDGE)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert text[18] == 'password = "[secret]" and more' and text[19] == "[secret]" and text[20] == dict(EDGE)[20] and text[3] is None
+    assert secrets.find_secrets(empty, forest).count() == 0 and secrets.redact_secrets(empty, forest).count() == 0
+
+
+def test_op9_is_native(docs, forest):
+    plan = secrets.find_secrets(docs, forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# -- lines -----------------------------------------------------------------------------------------------------------
+
+
+def without_repeats(rows):
+    """(id, text) in order of id; chunks that stood before are taken out."""
+    seen, out = set(), {}
+    for i, text in sorted({(i if i is not None else 1 << 62, t or "") for i, t in rows}):
+        lines, ends, gone, start = text.split("\n"), [], set(), 0
+        ends = line_dedup.chunk_ends([xxhash.xxh64_intdigest(x.encode()) for x in lines]) if len(lines) > 1 else []
+        for end in ends:
+            chunk = "\n".join(lines[start:end])
+            if sum(bool(x.encode().strip()) for x in lines[start:end]) >= 2:
+                if chunk in seen:
+                    gone.update(range(start, end))
+                seen.add(chunk)
+            start = end
+        out[i, text] = ("\n".join(x for n, x in enumerate(lines) if n not in gone), len(gone))
+    return out
+
+
+def test_op10_whole_table(spark, texts):
+    found = {r.doc_id: r for r in queries.op10_line_dedup(spark, SF).collect()}
+    want = without_repeats(texts)
+    for i, text in texts:
+        new, gone = want[i, text]
+        assert (found[i].removed_lines, found[i].lines, found[i].text_sha256) == (gone, text.count("\n") + 1, hashlib.sha256(new.encode()).hexdigest())
+
+
+def test_op10_planted(spark, rng):
+    """A long passage that stands in other documents at other places goes but for its first occurrence."""
+    passage = [f"passage line {i} says {rng.random()}" for i in range(30)]
+    rows = [(i, "\n".join([f"own {i} {j} {rng.random()}" for j in range(rng.randrange(1, 9))] + passage + [f"end {i} {rng.random()}"])) for i in range(20)]
+    found = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        left = sum(line in r.text.split("\n") for line in passage)
+        assert left == 30 if r.doc_id == 0 else left <= 6
+        assert sum(line.startswith(("own", "end")) for line in r.text.split("\n")) == r.lines - 30
+
+
+def test_op10_shifted_boundaries(rng):
+    """Chunks after an inserted line are the same again."""
+    hashes = [rng.getrandbits(64) for _ in range(400)]
+    ends = line_dedup.chunk_ends(hashes)
+    later = [e - 1 for e in line_dedup.chunk_ends([rng.getrandbits(64), *hashes])]
+    assert ends[-1] == 400 and len(set(ends) & set(later)) > 0.9 * len(ends)
+    assert line_dedup.chunk_ends([]) == [] and max(np.diff([0, *line_dedup.chunk_ends([5] * 1000)])) <= line_dedup.MOST
+
+
+def test_op10_edges(edge, empty):
+    found = line_dedup.drop_repeated_lines(edge)
+    rows = found.collect()
+    assert len(rows) == len(EDGE) and set(edge.columns) <= set(found.columns)
+    want = without_repeats(EDGE)
+    assert Counter((r.doc_id, r.text or "") for r in rows) == Counter((i, want[i if i is not None else 1 << 62, t or ""][0]) for i, t in EDGE)
+    assert line_dedup.drop_repeated_lines(empty).count() == 0
+
+
+# -- pipeline --------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage does to its own input what its operator says; packing holds every id of what is left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SF).cache()
+        if name != "packing":
+            assert after.columns == columns, name
+        old, new = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}, {r.doc_id: getattr(r, "text", None) for r in after.collect()}
+        assert set(new) <= set(old)
+        if name in ("line_dedup", "secrets", "packing"):
+            assert set(new) == set(old), name
+        if name in ("quality", "near_dedup"):
+            assert all(new[i] == old[i] for i in new) and len(new) < len(old)
+        if name == "near_dedup":
+            prints = {i: fingerprint(t, corpus_pipeline.NEAR_WORDS) for i, t in old.items()}
+            top = components(prints, corpus_pipeline.NEAR_BITS)
+            assert set(new) == {i for i in old if top[i] == i}
+        before = after
+    assert before.select(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_on_odd_rows(spark, edge, tmp_path):
+    """Nulls, empty texts and repeated rows go through all stages; so does an empty table."""
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    for number, rows in enumerate((edge.select("doc_id", "text", "lang", "source", "n_chars"), edge.select("doc_id", "text", "lang", "source", "n_chars").limit(0))):
+        folder = str(tmp_path / str(number))
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        assert (corpus_pipeline.run(spark, folder).count() > 0) == (number == 0)
