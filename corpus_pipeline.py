@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import line_dedup, packing, quality, secrets, simhash
+from scorewright.llm import line_dedup, near, packing, quality, secrets
 from scorewright.llm.common import shared_dir
 from scorewright.llm.queries import WORD_BPE
 
-#: Near duplicates: fingerprints of three-word shingles within five bits. Pairs of which 0.8 or more of the five-word
-#: shingles agree differ in 4 to 6 bits on average, so that a narrower radius would miss most of them.
-NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS = 3, 5, 9
-
 
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars as the text now is."""
@@ -31,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.drop_near_duplicates(docs, NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS)
+    """One document of each group of near duplicates: texts that have 0.8 or more of their five-word shingles in common."""
+    return near.drop_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
