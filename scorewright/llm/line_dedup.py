@@ -1,4 +1,4 @@
-"""Repeated passages: content-defined chunks of lines that occur before are taken out of documents."""
+"""Repeated passages: lines that follow one another as they do before, and long lines that occur before, are taken out of documents."""
 
 from __future__ import annotations
 
@@ -18,9 +18,12 @@ from scorewright.llm.common import slices, through_files, unused
 WINDOW, SPACING, LEAST, MOST = 2, 3, 2, 64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
+#: Words of a line that counts as a passage by itself.
+LONG = 50
+
 
 def chunk_ends(hashes: list[int]) -> list[int]:
-    """Ends (exclusive) of the chunks of a document with these line hashes.
+    """Ends (exclusive) of the chunks of a document with these line hashes; drop_repeated_lines takes line_passages instead.
 
     A chunk ends after a line where the rolling hash of the last WINDOW lines says so, which hangs on these lines
     alone, so that a passage has the same chunks wherever it stands; chunks have LEAST to MOST lines but for the
@@ -41,18 +44,15 @@ def chunk_ends(hashes: list[int]) -> list[int]:
     return ends
 
 
-def line_chunks(text: str, seed: int = 0) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, 128-bit hash) of the chunks of several lines, at least two of them not blank."""
-    lines = text.split("\n")
-    if len(lines) < 2:
-        return []
-    raw = [line.encode() for line in lines]
-    out, start = [], 0
-    for end in chunk_ends([xxhash.xxh64_intdigest(r) for r in raw]):
-        if sum(map(bool, map(bytes.strip, raw[start:end]))) >= 2:
-            out.append((start, end - start, xxhash.xxh128_digest(b"\n".join(raw[start:end]), seed)))
-        start = end
-    return out
+def line_passages(text: str, seed: int = 0) -> list[tuple[int, int, bytes]]:
+    """(first line, lines, 128-bit hash) of each two lines that follow one another, blank ones between them aside, and of each line of LONG words or more.
+
+    They overlap, so that a passage of several lines is made up of them wherever it stands.
+    """
+    raw = text.encode().split(b"\n")
+    full = [i for i, line in enumerate(raw) if line.strip()]
+    out = [(i, j - i + 1, xxhash.xxh128_digest(raw[i] + b"\n" + raw[j], seed)) for i, j in zip(full, full[1:], strict=False)]
+    return out + [(i, 1, xxhash.xxh128_digest(raw[i], seed)) for i in full if len(raw[i]) >= 2 * LONG - 1 and len(raw[i].split()) >= LONG]
 
 
 def _tag(text: Column) -> Column:
@@ -60,16 +60,18 @@ def _tag(text: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 0) -> DataFrame:
-    """docs with every chunk of lines that stands earlier in the corpus taken out of their texts, plus lines and removed_lines.
+    """docs with every passage that stands earlier in the corpus taken out of their texts, plus lines and removed_lines.
 
-    Chunks have several lines (chunk_ends); earlier means a smaller id, or further up in the same document. Chunks of
-    one hash are compared byte for byte before anything is removed; if texts differ, all is hashed anew by another seed. Columns named lines or removed_lines are
+    A line goes if it and its neighbour (line_passages) stand next to each other earlier, or if it is long and stands
+    earlier by itself; earlier means a smaller id, or further up in the same document. The first occurrence of every
+    line stays. Passages of one hash are compared byte for byte before anything is removed; if texts differ, all is
+    hashed anew by another seed. Columns named lines or removed_lines are
     replaced; all other columns and all rows stay, n_chars included. Null texts stay null; a null id comes last;
     rows that repeat both id and text count as one document, so that they don't empty each other; an empty table
     stays empty.
 
-    Hashes of chunks are counted without texts. Documents move once, to get their list of repeated chunks, and are
-    written to the shared folder; distinct chunk texts of repeated hashes are then compared, and a last pass over the
+    Hashes of passages are counted without texts. Documents move once, to get their list of repeated passages, and are
+    written to the shared folder; distinct texts of repeated hashes are then compared, and a last pass over the
     documents removes lines where they are.
     """
     id_, text = F.col(id_column), F.col(text_column)
@@ -78,7 +80,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
-            found = [line_chunks(t, seed) for t in pc.fill_null(batch.column(text_column), "").to_pylist()]
+            found = [line_passages(t, seed) for t in pc.fill_null(batch.column(text_column), "").to_pylist()]
             n = np.array([len(f) for f in found], np.int64)
             take = pa.array(np.repeat(np.arange(len(found)), n))
             flat = [c for f in found for c in f]
@@ -95,7 +97,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     match = (keyed[key] == lists[key]) & id_.cast("long").eqNullSafe(F.col(list_id)) & (_tag(text) == F.col(list_tag))
     with_lists = through_files(keyed.join(lists, match, "left").drop(key, list_id, list_tag))
 
-    several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform({listed}, c -> struct(c.hash AS hash, array_join(slice(lines, c.first + 1, c.n), '\\n') AS chunk)))[0]")
+    several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform({listed}, c -> struct(c.hash AS hash, if(c.n = 1, lines[c.first], concat(lines[c.first], '\\n', lines[c.first + c.n - 1])) AS chunk)))[0]")
     texts = with_lists.where(F.col(listed).isNotNull()).select(F.explode(several).alias("c")).select("c.hash", "c.chunk").groupBy("hash", "chunk").count()
     if texts.groupBy("hash").count().where("count > 1").limit(1).count():  # one hash for several texts: hash anew
         return drop_repeated_lines(docs, id_column, text_column, seed + 1)
