@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,44 @@ def top_per_group(df: DataFrame, n: int, order: list[Column], *group: str) -> Da
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("place") <= n)
 
 
+def nearest_in_blocks(asked: DataFrame, vectors: DataFrame, n: int, block: int) -> DataFrame:
+    """(query_id, match_id, s): of each block of vectors, the n of largest cosine to each asked one, itself aside; both are (vec_id, embedding).
+
+    Blocks have about `block` rows on either side, each pair of blocks is a task's group. Sums run in the order of the
+    elements, so that equal vectors have equal cosines, and ties go to the smaller id.
+    """
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "match_id": np.zeros(0, np.int64), "s": np.zeros(0)})
+        right = right.sort_values("vec_id")
+        ids, q, v = right["vec_id"].to_numpy(), np.stack(left["embedding"]).astype(float), np.stack(right["embedding"]).astype(float)
+        q_norm, v_norm = (np.sqrt(np.cumsum(m * m, axis=1)[:, -1]) for m in (q, v))
+        asks, found, cosines = [], [], []
+        v = np.ascontiguousarray(v.T)
+        for own, vector, norm in zip(left["vec_id"], q, q_norm, strict=True):
+            s = np.zeros(len(ids))
+            for x, column in zip(vector, v, strict=True):
+                s += x * column
+            norms = norm * v_norm
+            s = np.where(norms < 1e-9, 0.0, s / np.where(norms < 1e-9, 1.0, norms))
+            others = np.flatnonzero(ids != own)
+            if len(others) > n:
+                others = others[s[others] >= np.partition(s[others], -n)[-n]]
+            others = others[np.argsort(-s[others], kind="stable")][:n]
+            asks += [own] * len(others)
+            found += ids[others].tolist()
+            cosines += s[others].tolist()
+        return pd.DataFrame({"query_id": asks, "match_id": found, "s": cosines}).astype({"query_id": "int64", "match_id": "int64", "s": "float64"})
+
+    sides = [(df, max(1, math.ceil(df.count() / block))) for df in (asked, vectors)]
+    (a, x), (b, y) = sides
+    place = F.xxhash64("vec_id")
+    a = a.select("vec_id", "embedding", F.pmod(place, F.lit(x)).alias("qb"), F.explode(F.expr(f"sequence(0L, {y - 1}L)")).alias("vb"))
+    b = b.select("vec_id", "embedding", F.explode(F.expr(f"sequence(0L, {x - 1}L)")).alias("qb"), F.pmod(place, F.lit(y)).alias("vb"))
+    return a.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInPandas(best, "query_id long, match_id long, s double")
+
+
 def outliers(df: DataFrame, group: str, value: str, times: float = 3.0, least: int = 4) -> Column:
     """Whether a row is over `times` sample deviations from its group's median, in groups of `least` rows or more."""
     w = Window.partitionBy(group)

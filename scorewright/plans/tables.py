@@ -163,7 +163,7 @@ def top_posts_then_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nearest_vectors", """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS s FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id < 5)
 SELECT query_id, match_id, round(s, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS r FROM p) WHERE r <= 3""")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest to each of five stated query vectors, which are broadcast: five rows at any size."""
+    """The three nearest to each of the five vectors that its SQL names; nearest_vectors_every_20th asks for a twentieth of all."""
     from scorewright.functions.numeric import cosine
 
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -173,6 +173,15 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "match_id", F.round("s", 5).alias("cosine"))
 
 
+@query("nearest_vectors_every_20th", """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS s FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, match_id, round(s, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS r FROM p) WHERE r <= 3""")
+def nearest_vectors_every_20th(spark: SparkSession, sf_dir: str, block: int = 8192) -> DataFrame:
+    """The three nearest to every vector whose id is divisible by 20, among all vectors."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where("embedding is not null")
+    best = aggregates.nearest_in_blocks(v.where("vec_id % 20 = 0"), v, 3, block)
+    return aggregates.top_per_group(best, 3, [F.desc("s"), F.col("match_id")], "query_id").select("query_id", "match_id", F.round("s", 5).alias("cosine"))
+
+
 @query("running_budget", """WITH r AS (SELECT user_id, event_id, sum(greatest(CAST(floor(value) AS BIGINT), 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)
 SELECT user_id, CAST(max(used) AS BIGINT) AS used, min(event_id) FILTER (used >= 900) AS warned_at, min(event_id) FILTER (used >= 1000) AS exhausted_at FROM r GROUP BY 1""")
 def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
