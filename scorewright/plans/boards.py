@@ -115,17 +115,17 @@ def elo_per_pillar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("elo_with_intervals")
 def elo_with_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.elo_with_intervals(views.battles(spark, sf_dir), resamples=300)
+    return ratings.elo_with_intervals(views.battles(spark, sf_dir))
 
 
 @query("rank_significance")
 def rank_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.rank_significance(views.battles(spark, sf_dir), permutations=300)
+    return ratings.rank_significance(views.battles(spark, sf_dir))
 
 
 @query("separability")
 def separability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.separability(ratings.elo_with_intervals(views.battles(spark, sf_dir), resamples=200))
+    return ratings.separability(ratings.elo_with_intervals(views.battles(spark, sf_dir)))
 
 
 @query("separability_of_means", f"""WITH {SCORES_SQL}, b AS (SELECT agent, avg(url) - stddev_samp(url) / 4 AS lo, avg(url) + stddev_samp(url) / 4 AS hi FROM scores GROUP BY 1)
@@ -147,7 +147,7 @@ def bradley_terry_minorised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bradley_terry_intervals")
 def bradley_terry_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.bradley_terry_intervals(views.battles(spark, sf_dir), resamples=100)
+    return ratings.bradley_terry_intervals(views.battles(spark, sf_dir))
 
 
 @query("kappa_of_labels", """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS n11, count(*) FILTER (quality = 1 AND toxic <> 1) AS n10, count(*) FILTER (quality <> 1 AND toxic = 1) AS n01, count(*) FILTER (quality <> 1 AND toxic <> 1) AS n00 FROM labels),
