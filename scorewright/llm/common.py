@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more rows than this, and more than its part of all rows, doesn't go through a shuffle: HOT_KEYS keys at most do that.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
 #: Bytes of text that a Python task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -28,12 +32,15 @@ def whole_text(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only a session without that setting, such as a local test session, gets a temporary folder.
+    Only a local session without that setting, such as a test, gets a temporary folder; on a cluster that is an error,
+    as executors don't see each other's disks.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="scorewright-")
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/scorewright-{uuid.uuid4().hex}"
@@ -73,3 +80,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
+
+
+def hot_keys(counts: DataFrame, key: str, rows: str = "copies") -> DataFrame | None:
+    """The keys that many rows share, from rows (key, how many have it); None if there are none.
+
+    There are HOT_KEYS of them at most at any size, as each has more than that part of all rows.
+    """
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    hot = counts.where(F.col(rows) > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+    return through_files(hot) if hot.limit(1).count() else None
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """The inner join of left with right, which has one row for each key.
+
+    Hot keys (hot_keys, so a bounded number) are joined where left's rows are; the others meet in a shuffle.
+    """
+    if hot is None:
+        return left.join(right, key)
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return rest.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key))
