@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import through_files
+from scorewright.llm.common import hot_keys, join_unique, through_files
 
 
 def canonical(text: Column) -> Column:
     """The text in Unicode normal form KC, case folded, runs of white space as one space, none at the ends; null as empty.
 
-    The normal form is ICU's, which Spark ships, by Spark's `reflect`; upper and then lower case also joins letters
-    such as the sharp s with ss.
+    Normal form and full case folding (the sharp s becomes ss) are ICU's, which Spark ships, by Spark's `reflect`;
+    folding can undo the normal form, so that it is made again. ASCII texts need neither, only lower case.
     """
-    form = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(F.upper(form)), r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+", " "))
+    whole = F.coalesce(text, F.lit(""))
+    compose = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    folded = compose(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), compose(whole), F.lit(True)))
+    form = F.when(F.octet_length(whole) == F.char_length(whole), F.lower(whole)).otherwise(folded)
+    return F.trim(F.regexp_replace(form, r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+", " "))
 
 
 def digest(canonical_text: Column) -> Column:
@@ -55,15 +58,17 @@ def fingerprint_documents(docs: DataFrame, id_column: str = "doc_id", text_colum
     return through_files(narrow)
 
 
-def grouped_by_bytes(texts: DataFrame) -> DataFrame:
+def grouped_by_bytes(texts: DataFrame, names: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """(doc_id, tag, group_id) from rows (doc_id, tag, fingerprint, c) with canonical texts c whose fingerprint several rows share.
 
     Rows are grouped by digest and bytes, each task passing on one row per text; group_id is the least doc_id. A
-    digest of one text names its group; where texts clash under a digest, rows find their group by the text.
+    digest of one text names its group; where texts clash under a digest, rows find their group by the text. `names`
+    are the same rows without c, where they can be had without texts; `hot` the digests that many rows share.
     """
     exact = texts.groupBy("fingerprint", "c").agg(F.min("doc_id").alias("group_id"))
     by_digest = exact.groupBy("fingerprint").agg(F.min("group_id").alias("group_id"), F.count("*").alias("texts"))
-    plain = texts.select("doc_id", "tag", "fingerprint").join(by_digest.where("texts = 1"), "fingerprint").select("doc_id", "tag", "group_id")
+    names = (texts if names is None else names).select("doc_id", "tag", "fingerprint")
+    plain = join_unique(names, by_digest.where("texts = 1"), "fingerprint", hot).select("doc_id", "tag", "group_id")
     clash = by_digest.where("texts > 1").select("fingerprint")
     apart = texts.join(clash, "fingerprint").join(exact, ["fingerprint", "c"]).select("doc_id", "tag", "group_id")
     return plain.union(apart)
@@ -100,8 +105,9 @@ def spliced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     distinct = narrow.distinct()
     if narrow.count() != distinct.count():
         rows = rows.distinct()
-    shared = narrow.groupBy("fingerprint").agg((F.count("*") > 1).alias("shared"))
-    facts = through_files(neighbours(distinct).join(shared, "fingerprint"))
+    counts = through_files(distinct.groupBy("fingerprint").agg(F.count("*").alias("copies")))
+    hot = hot_keys(counts, "fingerprint")
+    facts = through_files(join_unique(neighbours(distinct), counts.select("fingerprint", (F.col("copies") > 1).alias("shared")), "fingerprint", hot))
     keyed = facts.withColumns({"key": F.xxhash64("doc_id", "tag"), "prev_key": F.xxhash64("prev.doc_id", "prev.tag")})
     texts = rows.withColumn("_tag", F.xxhash64("_text")).withColumn("key", F.xxhash64("_id", "_tag"))
     located = keyed.join(texts, "key").where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
@@ -109,7 +115,7 @@ def spliced(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     kept = located.select("key", "doc_id", "tag", "n_chars", "fingerprint", "shared", F.col("next.fingerprint").alias("next_fingerprint"), head.alias("head"))
     lent = located.select(F.col("prev_key").alias("key"), F.col("prev.doc_id").alias("_prev_id"), F.col("prev.tag").alias("_prev_tag"), F.expr("substring(_text, 1, cast(prev.n_chars div 2 as int))").alias("tail"))
     edited = kept.join(lent, "key").where(F.col("doc_id").eqNullSafe(F.col("_prev_id")) & (F.col("tag") == F.col("_prev_tag"))).withColumn("edited", F.concat("head", "tail"))
-    groups = grouped_by_bytes(located.where("shared").select("doc_id", "tag", "fingerprint", canonical(F.col("_text")).alias("c")))
+    groups = grouped_by_bytes(located.where("shared").select("doc_id", "tag", "fingerprint", canonical(F.col("_text")).alias("c")), facts.where("shared"), hot)
     groups = groups.select(F.xxhash64("doc_id", "tag").alias("key"), F.col("doc_id").alias("_group_of"), F.col("tag").alias("_group_tag"), "group_id")
     same = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     out = edited.select("key", "doc_id", "tag", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", "shared")
