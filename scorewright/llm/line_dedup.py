@@ -1,4 +1,4 @@
-"""Repeated passages: lines that follow one another as they do before, and long lines that occur before, are taken out of documents."""
+"""Repeated passages: content-defined chunks of lines that stand before in the corpus are taken out of documents."""
 
 from __future__ import annotations
 
@@ -12,47 +12,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.llm.common import slices, through_files, unused
+from scorewright.llm.common import hot_keys, join_unique, slices, through_files, unused
 
-#: Lines whose hashes are rolled over, one chunk end in so many places on average, and least and most lines in a chunk.
-WINDOW, SPACING, LEAST, MOST = 2, 3, 2, 64
-_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Words that a chunk has at least on average, most lines of a chunk, and words of a line that counts as a passage by itself.
+CHUNK_WORDS, MOST, LONG = 8, 64, 50
+_MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 
-#: Words of a line that counts as a passage by itself.
-LONG = 50
 
+def chunk_ends(hashes: list[int], words: list[int]) -> list[int]:
+    """Ends (exclusive) of the chunks of a document whose lines have these hashes and numbers of words.
 
-def chunk_ends(hashes: list[int]) -> list[int]:
-    """Ends (exclusive) of the chunks of a document with these line hashes; drop_repeated_lines takes line_passages instead.
-
-    A chunk ends after a line where the rolling hash of the last WINDOW lines says so, which hangs on these lines
-    alone, so that a passage has the same chunks wherever it stands; chunks have LEAST to MOST lines but for the
-    last. Where the hash would end chunks more often than LEAST allows, the next place counts.
+    A chunk ends between two lines where the rolling hash of the two says so. That hangs on them alone, so a passage
+    has the same chunks wherever it stands, but for those at its edges. The more words the longer of the two has, the
+    more often: one place in CHUNK_WORDS / words, so that chunks have few words however long the lines are, and a
+    line of CHUNK_WORDS words is a chunk of its own. A chunk has MOST lines at most, for the sake of equal lines.
     """
-    ends, start, lead = [], 0, pow(_MULTIPLIER, WINDOW, 1 << 64)
-    rolled = 0
-    for i, h in enumerate(hashes):
-        rolled = (rolled * _MULTIPLIER + h) & 0xFFFFFFFFFFFFFFFF
-        if i >= WINDOW:
-            rolled = (rolled - lead * hashes[i - WINDOW]) & 0xFFFFFFFFFFFFFFFF
-        n = i + 1 - start
-        if n >= MOST or n >= LEAST and (rolled >> 32) % SPACING == 0:
-            ends.append(i + 1)
-            start = i + 1
-    if start < len(hashes):
-        ends.append(len(hashes))
-    return ends
+    ends, start = [], 0
+    for i in range(1, len(hashes)):
+        rolled = (hashes[i - 1] * _MULTIPLIER + hashes[i]) * _MULTIPLIER & _MASK
+        if (rolled >> 32) % max(1, CHUNK_WORDS // max(words[i - 1], words[i])) == 0 or i - start >= MOST:
+            ends.append(i)
+            start = i
+    return [*ends, len(hashes)] if hashes else []
 
 
 def line_passages(text: str, seed: int = 0) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, 128-bit hash) of each two lines that follow one another, blank ones between them aside, and of each line of LONG words or more.
+    """(first line, lines, 128-bit hash) of each run of lines that is looked for elsewhere; blank lines in it don't count.
 
-    They overlap, so that a passage of several lines is made up of them wherever it stands.
+    These are the chunks of several lines and of one line of LONG words or more. A chunk of one shorter line is no
+    passage by itself: it is taken together with the chunk before it, and with the one after.
     """
     raw = text.encode().split(b"\n")
     full = [i for i, line in enumerate(raw) if line.strip()]
-    out = [(i, j - i + 1, xxhash.xxh128_digest(raw[i] + b"\n" + raw[j], seed)) for i, j in zip(full, full[1:], strict=False)]
-    return out + [(i, 1, xxhash.xxh128_digest(raw[i], seed)) for i in full if len(raw[i]) >= 2 * LONG - 1 and len(raw[i].split()) >= LONG]
+    hashes, words = [xxhash.xxh64_intdigest(raw[i]) for i in full], [len(raw[i].split()) for i in full]
+    starts = [0, *(ends := chunk_ends(hashes, words))]
+    short = [b - a == 1 and words[a] < LONG for a, b in zip(starts, ends, strict=False)]
+    runs = [(a, b) for a, b, alone in zip(starts, ends, short, strict=False) if not alone]
+    runs += [(starts[k], ends[k + 1]) for k in range(len(ends) - 1) if short[k] or short[k + 1]]
+    return [(full[a], full[b - 1] - full[a] + 1, xxhash.xxh128_digest(b"\n".join(raw[i] for i in full[a:b]), seed)) for a, b in runs]
 
 
 def _tag(text: Column) -> Column:
@@ -62,13 +59,13 @@ def _tag(text: Column) -> Column:
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 0) -> DataFrame:
     """docs with every passage that stands earlier in the corpus taken out of their texts, plus lines and removed_lines.
 
-    A line goes if it and its neighbour (line_passages) stand next to each other earlier, or if it is long and stands
-    earlier by itself; earlier means a smaller id, or further up in the same document. The first occurrence of every
-    line stays. Passages of one hash are compared byte for byte before anything is removed; if texts differ, all is
-    hashed anew by another seed. Columns named lines or removed_lines are
-    replaced; all other columns and all rows stay, n_chars included. Null texts stay null; a null id comes last;
-    rows that repeat both id and text count as one document, so that they don't empty each other; an empty table
-    stays empty.
+    Documents are cut into content-defined chunks of lines (chunk_ends). Lines go if a passage of theirs
+    (line_passages: a chunk of several lines, two chunks in a row of which one is a single line, or a long line)
+    stands earlier; earlier means a smaller id, or further up in the same document. The first occurrence of every
+    passage stays. Passages of one hash are compared byte for byte before anything is removed; if texts differ, all
+    is hashed anew by another seed. Columns named lines or removed_lines are replaced; all other columns and all rows
+    stay, n_chars included. Null texts stay null; a null id comes last; rows that repeat both id and text count as one
+    document, so that they don't empty each other; an empty table stays empty.
 
     Hashes of passages are counted without texts. Documents move once, to get their list of repeated passages, and are
     written to the shared folder; distinct texts of repeated hashes are then compared, and a last pass over the
@@ -89,15 +86,17 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     chunks = docs.select(id_.cast("long").alias("_id"), _tag(text).alias("_tag"), text_column).mapInArrow(cut, "_id long, _tag long, first int, n int, hash binary")
     chunks = through_files(chunks).distinct()
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("_id"), "_tag", "first")).alias("keep")).where("times > 1")
-    marked = chunks.join(repeated, "hash").withColumn("stays", (F.coalesce("_id", F.lit((1 << 63) - 1)) == F.col("keep._id")) & (F.col("_tag") == F.col("keep._tag")) & (F.col("first") == F.col("keep.first")))
+    place = F.struct(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("_id"), "_tag", "first")
+    repeated = through_files(chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep")).where("times > 1"))
+    marked = join_unique(chunks, repeated, "hash", hot_keys(repeated, "hash", "times")).withColumn("stays", (F.coalesce("_id", F.lit((1 << 63) - 1)) == F.col("keep._id")) & (F.col("_tag") == F.col("keep._tag")) & (F.col("first") == F.col("keep.first")))
     lists = marked.groupBy("_id", "_tag").agg(F.sort_array(F.collect_list(F.struct("first", "n", "hash", "stays"))).alias(listed))
     lists = lists.select(F.xxhash64("_id", "_tag").alias(key), F.col("_id").alias(list_id), F.col("_tag").alias(list_tag), listed)
     keyed = kept.withColumn(key, F.xxhash64(id_.cast("long"), _tag(text)))
     match = (keyed[key] == lists[key]) & id_.cast("long").eqNullSafe(F.col(list_id)) & (_tag(text) == F.col(list_tag))
     with_lists = through_files(keyed.join(lists, match, "left").drop(key, list_id, list_tag))
 
-    several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform({listed}, c -> struct(c.hash AS hash, if(c.n = 1, lines[c.first], concat(lines[c.first], '\\n', lines[c.first + c.n - 1])) AS chunk)))[0]")
+    full = "filter(slice(lines, c.first + 1, c.n), line -> btrim(line, ' \t\r\x0b\x0c') <> '')"
+    several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform({listed}, c -> struct(c.hash AS hash, array_join({full}, '\\n') AS chunk)))[0]")
     texts = with_lists.where(F.col(listed).isNotNull()).select(F.explode(several).alias("c")).select("c.hash", "c.chunk").groupBy("hash", "chunk").count()
     if texts.groupBy("hash").count().where("count > 1").limit(1).count():  # one hash for several texts: hash anew
         return drop_repeated_lines(docs, id_column, text_column, seed + 1)
