@@ -1,4 +1,4 @@
-"""Near duplicates by the shingle sets themselves: bands of MinHash values find groups, in which sets are compared."""
+"""Near duplicates by SimHash: blocks of a wide fingerprint find close texts, Hamming distance and then the shingle sets decide."""
 
 from __future__ import annotations
 
@@ -11,19 +11,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import slices, through_files
+from scorewright.llm.common import hot_keys, join_unique, slices, through_files
 from scorewright.llm.simhash import components
 
 #: Words of a shingle, and the least share of all shingles of two texts that both have, in hundredths.
 WORDS, PERCENT = 5, 80
 
-#: Bands, and MinHash values in each. Two sets meet in a band with chance 1 - (1 - s^8)^32: 0.997 at s = 0.8, 0.9999 at 0.85.
-BANDS, ROWS = 32, 8
+#: Bits of the fingerprint, of a block, and of the part whose Hamming distance is checked; and how many of these may differ.
+#: Texts at 0.8 differ in a bit with chance 0.1515: they share a block of 180 with chance 0.993 and pass the check with 0.987.
+WIDE, BLOCK, CHECK, RADIUS = 4096, 22, 128, 28
+BLOCKS = (WIDE - CHECK) // BLOCK
+
+#: Parts over which the members of a large group are spread.
+SALT = 32
 
 _RNG = np.random.default_rng(42)
-_TURN = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
-_FLIP = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_SIGNS = _RNG.choice(np.array([-1.0, 1.0], np.float32), (3, WIDE))
+_HALF = np.array([[1.0]], np.float32)
+while len(_HALF) ** 2 < WIDE:
+    _HALF = np.block([[_HALF, _HALF], [_HALF, -_HALF]]).astype(np.float32)
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -37,33 +43,93 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS keys for each set, none of them empty."""
-    flat = np.concatenate(sets)
-    flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
-    first = np.cumsum([0, *map(len, sets[:-1])])
-    least = np.empty((len(sets), BANDS * ROWS), np.uint64)
-    for k in range(BANDS * ROWS):
-        least[:, k] = np.minimum.reduceat((flat ^ _FLIP[k]) * _TURN[k], first)
-    keys = (least.reshape(-1, BANDS, ROWS) * _MIX).sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """WIDE bits (0 or 1) for each set: the signs of as many sums over its shingles, each with random signs of its own.
+
+    A shingle's hash puts it in one of WIDE places with a sign; three rounds of random signs and a Hadamard matrix,
+    here the product of its two halves, then mix all places into each sum. Sets whose vectors are at an angle differ
+    in that share of half a turn.
+    """
+    side, out = len(_HALF), np.empty((len(sets), WIDE), np.uint8)
+    for at in range(0, len(sets), 256):
+        part = sets[at : at + 256]
+        flat = np.concatenate(part)
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        place = row * WIDE + (flat % np.uint64(WIDE)).astype(np.int64)
+        sums = np.bincount(place, np.where(flat >> np.uint64(40) & np.uint64(1), 1.0, -1.0), len(part) * WIDE).astype(np.float32).reshape(len(part), WIDE)
+        for signs in _SIGNS:
+            for _ in range(2):
+                sums = ((sums * signs).reshape(-1, side) @ _HALF / np.float32(side**0.5)).reshape(-1, side, side).transpose(0, 2, 1).reshape(-1, WIDE)
+                signs = np.float32(1)
+        out[at : at + 256] = sums > 0
+    return out
+
+
+def block_keys(bits: np.ndarray) -> np.ndarray:
+    """The blocks of each fingerprint, each with its number above it."""
+    weights = (1 << np.arange(BLOCK)).astype(np.float32)
+    values = (bits[:, CHECK : CHECK + BLOCKS * BLOCK].reshape(-1, BLOCK).astype(np.float32) @ weights).astype(np.int32)
+    return values.reshape(-1, BLOCKS) + (np.arange(BLOCKS, dtype=np.int32) << BLOCK)
 
 
 def _signed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, copy, bands) of every row: copy is a 128-bit digest of the shingle set; no bands for texts without words."""
+    """(doc_id, copy, check_a, check_b, keys) of every row: copy is a 128-bit digest of the shingle set; no keys for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column, 1 << 20):
             sets = [shingles(t) for t in pc.fill_null(batch.column(text_column), "").to_pylist()]
-            some = [s for s in sets if len(s)]
-            keys = band_keys(some).ravel() if some else np.zeros(0, np.int64)
-            offsets = np.cumsum([0, *(BANDS if len(s) else 0 for s in sets)])
-            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys))
+            full = np.array([len(s) > 0 for s in sets])
+            bits = np.zeros((len(sets), WIDE), np.uint8)
+            if full.any():
+                bits[full] = wide_fingerprints([s for s in sets if len(s)])
+            check = np.packbits(bits[:, :CHECK], axis=1).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(full * BLOCKS)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(block_keys(bits[full]).ravel()))
             copies = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), copies, bands], names=["doc_id", "copy", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_column).cast(pa.int64()), copies, pa.array(np.ascontiguousarray(check[:, 0])), pa.array(np.ascontiguousarray(check[:, 1])), keys], names=["doc_id", "copy", "check_a", "check_b", "keys"])
+
+    return docs.select(id_column, text_column).mapInArrow(run, "doc_id long, copy binary, check_a long, check_b long, keys array<int>")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (key, check_a, check_b, node) sorted by key: links (a, b) that connect all nodes of a key within RADIUS bits."""
+
+    def links(key: np.ndarray, check: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        far = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        a, b = [], []
+        small = np.repeat(sizes <= 8, sizes)
+        for step in range(1, min(8, int(sizes.max()))):  # few under a key: all pairs, for all keys at once
+            same = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
+            same = same[far(check[same], check[same + step]) <= RADIUS]
+            a.append(node[same])
+            b.append(node[same + step])
+        for at in np.flatnonzero(sizes > 8):  # many: each one reached is compared with those not yet reached
+            left = np.arange(starts[at], starts[at] + sizes[at])
+            while len(left) > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    here = queue.pop()
+                    hit = far(check[left], check[here]) <= RADIUS
+                    found = left[hit]
+                    a.append(np.full(len(found), node[here]))
+                    b.append(node[found])
+                    queue += found.tolist()
+                    left = left[~hit]
+        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, "doc_id long, copy binary, bands array<long>")
+    key, check, node = np.zeros(0, np.int32), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        key = np.concatenate([key, batch.column("key").to_numpy()])
+        check = np.concatenate([check, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("check_a", "check_b")], axis=1)])
+        node = np.concatenate([node, batch.column("node").to_numpy()])
+        if len(key) and (done := int(np.searchsorted(key, key[-1]))):  # the last key may go on
+            yield links(key[:done], check[:done], node[:done])
+            key, check, node = key[done:], check[done:], node[done:]
+    if len(key):
+        yield links(key, check, node)
 
 
 def close_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -120,29 +186,71 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links(ids, sets)
 
 
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (root, node, text, pivot, pivot_text): root, node, pivot and how many hundredths of all their shingles both have."""
+    last, known = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        out = []
+        for root, text, pivot in zip(batch.column("root").to_pylist(), batch.column("text").to_pylist(), batch.column("pivot_text").to_pylist(), strict=True):
+            if root != last:
+                last, known = root, shingles(pivot or "")
+            own = shingles(text or "")
+            both = len(np.intersect1d(own, known, assume_unique=True))
+            out.append(100.0 * both / max(1, len(own) + len(known) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(out, pa.float64())], names=["root", "node", "percent"])
+
+
+def _against_least(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(root, node, percent) for all members (root, node, text) of groups but the root itself: how far they agree with the root's text.
+
+    Large groups are spread: their root's text goes to SALT parts, and each member to one of them.
+    """
+    hot = hot_keys(sizes, "root", "members")
+    part = F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")
+    parts = F.sequence(F.lit(0), F.lit(SALT - 1))
+    if hot is None:
+        part, parts = F.lit(0), F.array(F.lit(0))
+        marked = members.withColumn("hot", F.lit(False))
+    else:
+        marked = members.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "root", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    pivots = marked.where("node = root").select("root", F.col("text").alias("pivot_text"), F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit(0)))).alias("part"))
+    others = marked.where("node != root").withColumn("part", F.when(F.col("hot"), part).otherwise(F.lit(0))).select("root", "node", "text", "part")
+    return others.join(pivots, ["root", "part"]).select("root", "node", "text", "pivot_text").mapInArrow(_agree, "root long, node long, percent double")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with an id: the smallest id that links reach.
 
     Texts link where 0.8 or more of all their distinct five-word shingles are in both. Equal sets are linked first, by
-    a 128-bit digest. Sets that share a band of MinHash values get into one group, by links to the smallest id of the
-    band, so in work linear in the band; then the sets of a group are compared, so that nothing is linked by its
-    fingerprint alone. A group is compared in one task, in work linear in it if its texts hold together, quadratic if
-    they don't.
+    a 128-bit digest. Of the others, SimHash fingerprints are split into blocks; those that share a block and are
+    within RADIUS bits are candidates, and candidates that hang together are a group. In each group all are compared
+    with its smallest id, spread over tasks, so a large group whose texts hold together is settled there. What does
+    not agree with the smallest id is compared within a task, together with those that could lie between: as
+    1 - agreement is a distance, these agree no more with the smallest id than the closest of the others does, plus
+    0.2. Nothing is linked by its fingerprint alone. Null and empty texts are one class; rows with a null id get no
+    row; repeated rows give theirs each; an empty table gives none; other columns are ignored.
     """
     rows = docs.where(F.col(id_column).isNotNull())
     signed = through_files(_signed(rows, id_column, text_column))
-    distinct = through_files(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    keys = distinct.select(F.explode("bands").alias("key"), "node")
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub != top").select("key", "hub")
-    groups = components(keys.join(hubs, "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    distinct = through_files(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("check_a", "check_b", "keys"))))
+    keys = distinct.select(F.explode("keys").alias("key"), "check_a", "check_b", "node")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
+    groups = components(met)
     groups = through_files(groups.union(groups.select("root", "root")).distinct())
     texts = rows.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    members = texts.join(groups, texts.doc_id == groups.node).select("root", "doc_id", "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = members.repartition(n, "root").sortWithinPartitions("root").mapInArrow(_compare, "a long, b long")
-    roots = components(found)
+    members = through_files(texts.join(groups, texts.doc_id == groups.node).select("root", "node", "text"))
+    sizes = through_files(groups.groupBy("root").agg(F.count("*").alias("members")))
+    agreed = through_files(_against_least(members, sizes))
+    # The closest that does not agree with the root, and all that don't agree with it more than that by a further 0.2.
+    open_ = agreed.where(F.col("percent") < PERCENT).groupBy("root").agg(F.max("percent").alias("closest"))
+    between = agreed.join(open_, "root").where(F.col("percent") <= F.col("closest") + (100 - PERCENT) + 1e-6).select("root", "node")
+    rest = members.join(between.distinct(), ["root", "node"]).select("root", F.col("node").alias("doc_id"), "text")
+    found = rest.repartition(n, "root").sortWithinPartitions("root").mapInArrow(_compare, "a long, b long")
+    direct = agreed.where(F.col("percent") >= PERCENT).select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = components(direct.union(found))
     named = distinct.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
-    return signed.join(named, "copy").select("doc_id", "component_id")
+    return join_unique(signed.select("doc_id", "copy"), named, "copy", hot_keys(distinct, "copy")).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
