@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -83,16 +84,24 @@ class PieceEncoder:
 
     def merge(self, text: str) -> list[str]:
         """The text's symbols after merging the best pair, leftmost first, until none is a piece."""
-        parts, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score, n = list(text), self.score, len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # Pairs by score and place, with their length: a pair one of whose symbols has since changed has another one.
+        waiting = [(-s, i, 2) for i in range(n - 1) if (s := score.get(text[i : i + 2])) is not None]
+        heapify(waiting)
+        while waiting:
+            _, i, size = heappop(waiting)
+            j = after[i]
+            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (s := score.get(parts[left] + parts[right])) is not None:
+                    heappush(waiting, (-s, left, len(parts[left]) + len(parts[right])))
+        return [p for p in parts if p]
 
     def _of_parts(self, parts: list[str]) -> list[int]:
         return [i for p in parts for i in ([self.ids[p]] if p in self.ids else [self.bytes_at + b for b in p.encode()])]
