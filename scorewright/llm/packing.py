@@ -67,23 +67,45 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return windows
 
 
-def split_tail(pieces: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
-    """Pieces (name, length) of a loosely filled window, cut into sequences of powers of two, which need no padding.
+def filled(windows: list[list[tuple[int, int, int]]], size: int, gap: int) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Windows of pieces (name, start, length) whose room is over `gap` filled up with cut pieces of the emptiest ones; and what is left over.
 
-    Returns the sequences as lists of (name, start in the piece, length).
+    The pieces of the emptiest window go into the fullest ones, cut where they don't fit, and so on until the two meet.
     """
-    left, out, todo = sum(n for _, n in pieces), [], [(name, 0, n) for name, n in pieces]
+    used = [sum(n for _, _, n in w) for w in windows]
+    order = sorted((k for k in range(len(windows)) if size - used[k] > gap), key=lambda k: -used[k])
+    done = [w for w, n in zip(windows, used, strict=True) if size - n <= gap]
+    front, back, todo = 0, len(order) - 1, []
+    while front < back or front == back and todo:
+        window, room = list(windows[order[front]]), size - used[order[front]]
+        while room and (todo or front < back):
+            if not todo:
+                todo, back = list(reversed(windows[order[back]])), back - 1
+            name, start, n = todo.pop()
+            window.append((name, start, min(n, room)))
+            if n > room:
+                todo.append((name, start + room, n - room))
+            room -= min(n, room)
+        front += 1
+        if room > gap:  # nothing is left to fill it with
+            return done, window
+        done.append(window)
+    return done, todo[::-1] + (windows[order[front]] if front == back else [])
+
+
+def split_tail(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Pieces (name, start, length) cut into sequences of powers of two, which need no padding."""
+    left, out, todo = sum(n for _, _, n in pieces), [], list(reversed(pieces))
     while left:
         room = 1 << (left.bit_length() - 1)
         left -= room
         out.append([])
         while room:
-            name, start, n = todo.pop(0)
-            used = min(n, room)
-            out[-1].append((name, start, used))
-            room -= used
-            if used < n:
-                todo.insert(0, (name, start + used, n - used))
+            name, start, n = todo.pop()
+            out[-1].append((name, start, min(n, room)))
+            if n > room:
+                todo.append((name, start + room, n - room))
+            room -= min(n, room)
     return out
 
 
@@ -92,8 +114,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
 
     A document is its token ids, then end_id. A document longer than the window is first cut into full windows, which
     are sequences of their own; what remains is packed by best-fit decreasing among the pieces of the same input
-    partition, so that nothing is shuffled and each task stays within FLUSH_PIECES and FLUSH_IDS. Windows whose gap
-    is over `tail_gap` at the end (a few for each task) are cut into sequences of powers of two, which are not padded.
+    partition, so that nothing is shuffled and each task stays within FLUSH_PIECES and FLUSH_IDS. Windows that best fit
+    leaves with a gap over `tail_gap` are filled with cut pieces of the emptiest of them. What is left at the end, less
+    than a window each time pieces are packed, is cut into sequences of powers of two, which are not padded.
     sequence_id is unique in the result: the partition's number and a count.
 
     Null and empty texts are documents of one id; null ids stay null; repeated rows are documents of their own; an
@@ -121,14 +144,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal waiting, waiting_ids
-            sequences = []
-            for found in best_fit([len(p[3]) for p in waiting], window):
-                gap = window - sum(len(waiting[i][3]) for i in found)
-                if gap <= tail_gap:
-                    sequences.append([waiting[i] for i in found])
-                    continue
-                for part in split_tail([(i, len(waiting[i][3])) for i in found]):
-                    sequences.append([(waiting[i][0], waiting[i][1] + s, waiting[i][2], waiting[i][3][s : s + n]) for i, s, n in part])
+            windows, left = filled([[(i, 0, len(waiting[i][3])) for i in found] for found in best_fit([len(p[3]) for p in waiting], window)], window, tail_gap)
+            tail = [left] if window - sum(n for _, _, n in left) <= tail_gap else split_tail(left)
+            sequences = [[(waiting[i][0], waiting[i][1] + s, waiting[i][2], waiting[i][3][s : s + n]) for i, s, n in found] for found in windows + tail]
             waiting, waiting_ids = [], 0
             yield from rows(sequences)
 
