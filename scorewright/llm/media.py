@@ -16,7 +16,19 @@ from pyspark.sql import types as T
 from scorewright.llm.common import slices
 
 
-def _png(b: memoryview, at: int) -> int:
+class Data(bytes):
+    """Bytes that remember where needles come next, so that places asked for in rising order take one search in all."""
+
+    def after(self, needle: bytes, at: int) -> int:
+        """Where the needle begins at `at` or later, -1 if nowhere."""
+        known = self.__dict__.setdefault("known", {})
+        asked, found = known.get(needle, (len(self) + 1, 0))
+        if not (asked <= at and (at <= found or found < 0)):
+            known[needle] = at, (found := self.find(needle, at))
+        return found
+
+
+def _png(b: Data, at: int) -> int:
     end = at + 8
     while end + 12 <= len(b):
         size, kind = struct.unpack(">I4s", b[end : end + 8])
@@ -28,8 +40,8 @@ def _png(b: memoryview, at: int) -> int:
     return 0
 
 
-def _gif(b: memoryview, at: int) -> int:
-    if len(b) < at + 13 or bytes(b[at + 3 : at + 6]) not in (b"87a", b"89a"):
+def _gif(b: Data, at: int) -> int:
+    if len(b) < at + 13 or b[at + 3 : at + 6] not in (b"87a", b"89a"):
         return 0
     colours = lambda flags: 3 << (flags & 7) + 1 if flags & 128 else 0
     end = at + 13 + colours(b[at + 10])
@@ -49,7 +61,7 @@ def _gif(b: memoryview, at: int) -> int:
     return 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
+def _jpeg(b: Data, at: int) -> int:
     end = at + 2
     while end + 4 <= len(b):
         if b[end] != 0xFF:
@@ -62,17 +74,16 @@ def _jpeg(b: memoryview, at: int) -> int:
             return 0
         end += 2 + size
         if mark == 0xDA:  # coded data: on to the next marker that isn't stuffed or a restart
-            data = bytes(b[end:])
-            here = data.find(b"\xff")
-            while here >= 0 and here + 1 < len(data) and (data[here + 1] == 0 or 0xD0 <= data[here + 1] <= 0xD7):
-                here = data.find(b"\xff", here + 2)
+            here = b.find(b"\xff", end)
+            while here >= 0 and here + 1 < len(b) and (b[here + 1] == 0 or 0xD0 <= b[here + 1] <= 0xD7):
+                here = b.find(b"\xff", here + 2)
             if here < 0:
                 return 0
-            end += here
-    return end + 2 - at if bytes(b[end : end + 2]) == b"\xff\xd9" else 0
+            end = here
+    return end + 2 - at if b[end : end + 2] == b"\xff\xd9" else 0
 
 
-def _bmp(b: memoryview, at: int) -> int:
+def _bmp(b: Data, at: int) -> int:
     if len(b) < at + 30:
         return 0
     size, reserved, offset, header = struct.unpack("<IIII", b[at + 2 : at + 18])
@@ -81,9 +92,9 @@ def _bmp(b: memoryview, at: int) -> int:
     return size if not reserved and header in (40, 52, 56, 64, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and fits else 0
 
 
-def _riff(form: bytes) -> Callable[[memoryview, int], int]:
-    def check(b: memoryview, at: int) -> int:
-        if len(b) < at + 20 or bytes(b[at + 8 : at + 12]) != form:
+def _riff(form: bytes) -> Callable[[Data, int], int]:
+    def check(b: Data, at: int) -> int:
+        if len(b) < at + 20 or b[at + 8 : at + 12] != form:
             return 0
         size = struct.unpack("<I", b[at + 4 : at + 8])[0] + 8
         end = at + 12
@@ -94,35 +105,43 @@ def _riff(form: bytes) -> Callable[[memoryview, int], int]:
     return check
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    data = bytes(b[at:])
-    end = data.rfind(b"%%EOF")
-    return end + 5 if end > 8 and b"startxref" in data[:end] else 0
+def _pdf(b: Data, at: int) -> int:
+    """To the last end mark before the next header: later versions of a file are appended to it, each with its own."""
+    if (last := b.after(b"startxref", at)) < 0:
+        return 0
+    limit = b.after(b"%PDF-", at + 5)
+    limit = len(b) if limit < 0 else limit
+    if last > limit:
+        return 0
+    end = b.rfind(b"%%EOF", at, limit)
+    return end + 5 - at if end > last else 0
 
 
-def _gzip(b: memoryview, at: int) -> int:
-    stream, left = zlib.decompressobj(31), b[at:]
+def _gzip(b: Data, at: int) -> int:
+    stream, here = zlib.decompressobj(31), at
     try:
-        while len(left) and not stream.eof:
-            stream.decompress(left, 1 << 20)  # what comes out is dropped
-            left = stream.unconsumed_tail
+        while here < len(b) and not stream.eof:
+            left = b[here : here + (64 << 10)]
+            here += len(left)
+            while left and not stream.eof:
+                stream.decompress(left, 1 << 20)  # what comes out is dropped
+                left = stream.unconsumed_tail
     except zlib.error:
         return 0
-    return len(b) - at - len(stream.unused_data) if stream.eof else 0
+    return here - len(stream.unused_data) - at if stream.eof else 0
 
 
-def _zip(b: memoryview, at: int) -> int:
-    data = bytes(b[at:])
-    end = data.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(data):
+def _zip(b: Data, at: int) -> int:
+    end = b.after(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > len(b):
         return 0
-    size, start, note = struct.unpack("<IIH", data[end + 12 : end + 22])
-    return end + 22 + note if start + size == end and end + 22 + note <= len(data) and data[start : start + 4] == b"PK\x01\x02" else 0
+    size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
+    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02" else 0
 
 
-def _ogg(b: memoryview, at: int) -> int:
+def _ogg(b: Data, at: int) -> int:
     end = at
-    while end + 27 <= len(b) and bytes(b[end : end + 5]) == b"OggS\0":
+    while end + 27 <= len(b) and b[end : end + 5] == b"OggS\0":
         n = b[end + 26]
         page = 27 + n + sum(b[end + 27 : end + 27 + n])
         if end + page > len(b):
@@ -134,7 +153,7 @@ def _ogg(b: memoryview, at: int) -> int:
 
 
 # Magic bytes, the type they announce, and what confirms it.
-FORMATS: list[tuple[bytes, str, Callable[[memoryview, int], int]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Data, int], int]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF8", "image/gif", _gif),
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
@@ -160,7 +179,7 @@ def signatures():  # noqa: ANN201  an Aho-Corasick automaton over all magic byte
 
 def sniff_bytes(data: bytes, automaton) -> list[tuple[str, int, int]]:  # noqa: ANN001
     """(type, offset, length) of all media in `data` whose structure holds, in order of offset; magic bytes inside them count too."""
-    view, found = memoryview(data), []
+    view, found = Data(data), []
     for last, magic in automaton.iter(data.decode("latin-1")):
         at = last + 1 - len(magic)
         for known, kind, check in FORMATS:
