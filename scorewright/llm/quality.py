@@ -77,11 +77,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = len(GRADES
     if not rows:
         return Model(weights, thresholds)
     y = np.array([r[0] for r in rows])
-    where, share = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(np.float64)
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    where, share = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
     common = np.bincount(where, minlength=1 << BITS) >= min(3, len(rows))
     keep = common[where]
-    names, where = np.unique(where[keep], return_inverse=True)
+    names = np.flatnonzero(common)
+    where = (np.cumsum(common) - 1).astype(np.int32)[where[keep]]
     share, doc = share[keep], doc[keep]
     each = np.maximum(1, np.bincount(y, minlength=grades))[y] ** -0.5
     each /= each.sum()
@@ -112,7 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_colum
     """A model from documents with labels (doc_id, quality, toxic): grade 0 for toxic ones, else 1 or 2 by quality.
 
     At most `fit_rows` labelled documents are used, those whose ids have the least hashes; they are the only rows
-    that come to the driver. Labels with nulls don't count.
+    that come to the driver, a partition at a time. Labels with nulls don't count; of an id's several texts the one
+    with the least hash does.
     """
     graded = labels.dropna(subset=["doc_id", "quality", "toxic"]).select("doc_id", F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1).alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows)
@@ -122,10 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_colum
             found = list(_counts(batch.column(text_column)))
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["grade", "places", "shares"])
 
-    rows = docs.select(F.col(id_column).alias("doc_id"), text_column).join(F.broadcast(chosen), "doc_id").select("grade", text_column)
-    found = rows.mapInArrow(run, "grade int, places binary, shares binary").limit(fit_rows).toArrow()  # repeated ids can't add to it
-    found = sorted(zip(found["grade"].to_pylist(), found["places"].to_pylist(), found["shares"].to_pylist(), strict=True))
-    return fit([(g, np.frombuffer(p, np.int32), np.frombuffer(s, np.float32)) for g, p, s in found])
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column)).join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    rows = rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text"))).alias("one")).select("grade", F.col("one.text").alias(text_column))  # one text of a repeated id
+    found = sorted(rows.mapInArrow(run, "grade int, places binary, shares binary").toLocalIterator(prefetchPartitions=True))
+    return fit([(r.grade, np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in found])
 
 
 SCORES = ["expected_grade", "p_above_toxic", "p_good"]
