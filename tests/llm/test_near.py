@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
-import corpus_pipeline
+import numpy as np
 from conftest import SF
+from scorewright.llm import near, stages
+
+from .conftest import EDGE
 
 LEVELS = (0.80, 0.85, 0.90)
 PAIRS = 60
@@ -51,7 +54,7 @@ def planted():
 
 def test_recall_on_planted_pairs(spark):
     rows, pairs = planted()
-    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    left = {r.doc_id for r in stages.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     assert all(i in left for i in pairs)
     for level in LEVELS:
         caught = sum(i + 1 not in left for i, at in pairs.items() if at == level)
@@ -76,4 +79,54 @@ def test_whole_table_by_brute_force(spark, texts):
             if (5 * len(x & y) >= 4 * len(x | y)) and find(a) != find(b):
                 top[max(find(a), find(b))] = min(find(a), find(b))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == {i for i in ids if find(i) == i}
+    assert {r.doc_id for r in stages.drop_near_duplicates(spark, docs, SF).collect()} == {i for i in ids if find(i) == i}
+
+
+def test_large_group(spark):
+    """Many texts near one, more than go through one task, and some that only hang on through another."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        words[rng.randrange(200)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    step = list(base)  # away from the base word by word: each step near the one before
+    for k in range(12):
+        for place in range(16 * k, 16 * k + 6):
+            step[place] = f"far{k}.{place}"
+        rows.append((2000 + k, " ".join(step)))
+    found = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {0}
+    sets = {i: frozenset(near.shingles(t).tolist()) for i, t in rows}
+    todo = [0]
+    while todo:
+        here = sets[todo.pop()]
+        fresh = [i for i, s in sets.items() if i not in linked and 5 * len(here & s) >= 4 * len(here | s)]
+        linked.update(fresh)
+        todo += fresh[:20] if len(fresh) > 100 else fresh
+    assert sum(i >= 2000 for i in linked) > 1
+    assert all(found[i] == 0 for i in linked)
+
+
+def test_fingerprints_differ_by_angle():
+    """Sets that agree in 0.8 differ in about the share of bits that their angle says."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(50):
+        pool = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+        rng.shuffle(pool)
+        sets += [np.sort(pool[:900]), np.sort(pool[100:1000])]
+    bits = near.wide_fingerprints(sets)
+    share = (bits[::2] != bits[1::2]).mean()
+    assert abs(share - np.arccos(800 / 900) / np.pi) < 0.01 and abs(bits.mean() - 0.5) < 0.02
+
+
+def test_edges(edge, empty):
+    found = [(r.doc_id, r.component_id) for r in near.near_duplicates(edge).collect()]
+    assert sorted(i for i, _ in found) == sorted(i for i, _ in EDGE if i is not None)
+    top = dict(found)
+    assert top[2] == 1 and top[5] == top[4] == 3 and top[7] == 6 and top[15] == top[13] == 12
+    left = near.drop_near_duplicates(edge)
+    assert left.columns == edge.columns and sum(r.doc_id is None for r in left.collect()) == 2
+    assert near.near_duplicates(empty).count() == 0 and near.drop_near_duplicates(empty).count() == 0

@@ -18,7 +18,7 @@ from .conftest import EDGE
 
 
 def canonical(text):
-    folded = unicodedata.normalize("NFKC", text or "").upper().lower()
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
     return " ".join(folded.split())
 
 
@@ -87,6 +87,38 @@ def test_op2_edges(edge, empty):
     assert pieces.recode_pieces(empty, queries.PIECES).count() == 0
 
 
+def test_op2_long_runs_of_spaces():
+    """As the library, and in time that does not grow with the square of the run."""
+    import time
+
+    import pyarrow as pa
+
+    model, ours = library(), pieces.PieceEncoder(queries.PIECES)
+    for text in (" " * 1_000_000, "a" + " " * 1001 + "b", " " * 77 + "x  y   z", "  ", "\n  \n", "ab" * 3000):
+        began = time.time()
+        assert ours.encode(pa.array([text]))[0].tolist() == model.encode(text)
+        assert time.time() - began < 60
+
+
+def test_op1_folds_case_and_is_native(spark):
+    """Full case folding, also where it is longer than the letter; no Python in the plan."""
+    from pyspark.sql import functions as F
+
+    rows = [("Straße", "STRASSE"), ("ŉ", "ʼn"), ("ΌΣΟΣ", "όσος"), ("ǅ", "ǆ"), ("ﬃ", "FFI"), ("İ", "i̇"), ("ᾳ", "ΑΙ"), ("É", "e\u0301"), ("a\u00a0b", "A  B")]
+    df = spark.createDataFrame(rows, "a string, b string").select(fingerprints.canonical(F.col("a")).alias("a"), fingerprints.canonical(F.col("b")).alias("b"))
+    assert [(r.a, r.b) for r in df.collect()] == [(canonical(a), canonical(b)) for a, b in rows] and df.where("a != b").count() == 0
+    plan = fingerprints.spliced(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Python", "Arrow", "Pandas") if x in plan]
+
+
+def test_op1_hot_group(spark):
+    """One text in a third of all rows and more goes another way through the joins, to the same result."""
+    rows = [(i, "the same text" if i % 3 else f"text number {i}") for i in range(4500)]
+    found = {r.doc_id: r for r in fingerprints.spliced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == len(rows) and {found[i].group_id for i, _ in rows if i % 3} == {1} and all(found[i].group_id == i for i, _ in rows if not i % 3)
+    assert len({r.fingerprint for r in found.values()}) == 1501 and all(found[i].near_next == (i % 3 == 2) for i, _ in rows[1:])
+
+
 def tokens(text, end):
     from tokenizers import Tokenizer
 
@@ -174,3 +206,26 @@ def test_op4_tightest_window(rng):
             want.append(fit)
         windows = packing.best_fit(lengths, size)
         assert sorted(size - sum(lengths[i] for i in w) for w in windows) == sorted(rooms) and sorted(i for w in windows for i in w) == list(range(len(lengths)))
+
+
+def test_op4_fills_windows(spark):
+    """Documents of a little over half a window: no sequence is short but at the end of a task."""
+    words = "word " * 1099
+    rows = packing.pack(spark.createDataFrame([(i, words.strip()) for i in range(1000)], "doc_id long, text string").coalesce(2), queries.WORD_BPE).collect()
+    n = len(tokens(words.strip(), 1))
+    assert_packed(rows, {i: tokens(words.strip(), 1).tobytes() for i in range(1000)}, padding=0.01)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.sequence_id] += r.length
+    assert 1024 < n < 2048 and sum(s < 512 for s in sizes.values()) <= 2 * 11
+
+
+def test_op4_filled_by_hand(rng):
+    """Every piece is there whole, in windows that are filled or left over."""
+    for _ in range(50):
+        size, gap = 64, rng.randrange(8)
+        windows = [[(i, 0, rng.randrange(1, size // k + 1)) for i in range(j * 3, j * 3 + k)] for j, k in enumerate(rng.randrange(1, 4) for _ in range(rng.randrange(12)))]
+        done, left = packing.filled(windows, size, gap)
+        assert all(size - gap <= sum(n for _, _, n in w) <= size for w in done) and sum(n for _, _, n in left) < size
+        want = sorted((name, k) for w in windows for name, start, n in w for k in range(start, start + n))
+        assert sorted((name, k) for w in [*done, left] for name, start, n in w for k in range(start, start + n)) == want
