@@ -56,3 +56,32 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm < 1e-9, 0.0).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))
+
+
+NUMBER = r"-?[0-9]+(?:[.,][0-9]+)?"
+
+
+def canonical_number(text: Column) -> Column:
+    """The first number of a text in one form: no marks between thousands; a point before one or two digits is a decimal one. Null if there is none."""
+    raw = F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit(""))
+    return F.when(raw.rlike(r"^-?[0-9]+\.[0-9]{1,2}$"), raw).otherwise(F.regexp_replace(raw, "[.,]", ""))
+
+
+def value_in_page(value: Column, kind: Column, page: Column) -> Column:
+    """Whether a page has a value: as it stands, whatever its case, or by the rule of its kind.
+
+    A price equals one of the page's prices, a percentage one of its percentages, counts and measures one of its
+    numbers, all by canonical form; of a relation the page has the first eight words of three or more characters.
+    Null and empty values and pages give false.
+    """
+    v, low = F.trim(value), F.lower(page)
+    among = lambda pattern, own: F.array_contains(F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)), canonical_number), canonical_number(own))
+    words = F.slice(F.filter(F.split(F.lower(v), r"\s+"), lambda w: F.char_length(w) >= 3), 1, 8)
+    by_kind = (
+        F.when(kind == "price", among(r"[$£€¥]\s?([0-9]+(?:[.,][0-9]+)?)", v))
+        .when(kind == "percentage", among(r"([0-9]+(?:[.,][0-9]+)?)\s*%", v))
+        .when(kind.isin("count", "duration", "rating", "frequency", "dimension", "weight", "version"), among(f"({NUMBER})", v))
+        .when(kind == "relation", (F.size(words) > 0) & F.forall(words, lambda w: F.contains(low, w)))
+        .otherwise(F.lit(False))
+    )
+    return F.when((F.coalesce(value, F.lit("")) == "") | (F.coalesce(page, F.lit("")) == ""), False).otherwise(F.contains(low, F.lower(v)) | F.coalesce(by_kind, F.lit(False)))

@@ -40,7 +40,7 @@ def landis_koch(k: Column) -> Column:
 
 
 def label_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, agreement, kappa) over any labels, from a table of label pairs and their margins."""
+    """(n, agreement, kappa) over any labels, from a table of label pairs and their margins; kappa is null where chance alone would always agree."""
     cells = pairs.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
     x = cells.groupBy("x").agg(F.sum("n").alias("nx"))
     y = cells.groupBy("y").agg(F.sum("n").alias("ny"))
@@ -48,7 +48,7 @@ def label_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     chance = x.join(y, F.col("x") == F.col("y")).agg(F.coalesce(F.sum(F.col("nx") * F.col("ny")), F.lit(0)).alias("both"))
     row = total.join(F.broadcast(chance))
     seen, by_chance = F.col("same") / F.col("n"), F.col("both") / (F.col("n") * F.col("n"))
-    return row.select("n", F.round(seen, 6).alias("agreement"), F.round(F.when(by_chance >= 1, 1.0).otherwise((seen - by_chance) / F.nullif(1 - by_chance, F.lit(0.0))), 6).alias("kappa"))
+    return row.select("n", F.round(seen, 6).alias("agreement"), F.round(F.when(F.abs(1 - by_chance) >= 1e-12, (seen - by_chance) / (1 - by_chance)), 6).alias("kappa"))
 
 
 def average_rank(by: str, *within: str) -> Column:
@@ -138,7 +138,7 @@ def item_parameters(scores: DataFrame, agent: str, task: str, value: str) -> Dat
         _, a, b = two_parameter(m.to_numpy(float))
         return pd.DataFrame({"task": m.columns.astype(str), "a": np.round(a, 4), "b": np.round(b, 4)})
 
-    flag = F.when(F.abs("a") < 0.3, "LOW_DISCRIM").when(F.abs("b") >= 4, "SATURATED").when(F.col("a") < 0, "INVERTED").otherwise("OK")
+    flag = F.when(F.abs("a") < 0.5, "LOW_DISCRIM").when(F.abs("b") > 2.5, "SATURATED").when(F.col("a") < 0, "INVERTED").otherwise("OK")
     return split.groupBy(F.lit(0).alias("board")).applyInPandas(fit, "task string, a double, b double").withColumn("flag", flag)
 
 
@@ -183,3 +183,17 @@ def fitted_weights(prefs: DataFrame, features: list[str], folds: int = 5) -> Dat
 
     schema = "fold int, n_test long, loglik double, loglik_uniform double, " + ", ".join(f"w_{f} double" for f in features)
     return spread.groupBy("held").applyInPandas(fit, schema)
+
+
+def length_bias(df: DataFrame, length: str, values: list[str]) -> DataFrame:
+    """(pillar, spearman, slope_per_1k, flag): how each value goes with length: OK below 0.4 either way, SUSPECT below 0.6, else STRONG; null where either doesn't vary."""
+    long = df.select(F.col(length).cast("double").alias("length"), F.explode(F.array(*(F.struct(F.lit(v).alias("pillar"), F.col(v).alias("value")) for v in values))).alias("p")).select("length", "p.*")
+    slope = long.groupBy("pillar").agg(F.round(F.regr_slope("value", "length") * 1000, 6).alias("slope_per_1k"))
+    found = spearman(long, "length", "value", "pillar").join(slope, "pillar")
+    size = F.abs("spearman")
+    return found.select("pillar", F.round("spearman", 3).alias("spearman"), F.when(F.col("spearman").isNotNull(), F.col("slope_per_1k")).alias("slope_per_1k"), F.when(size < 0.4, "OK").when(size < 0.6, "SUSPECT").when(size.isNotNull(), "STRONG").alias("flag"))
+
+
+def correlation_label(n: Column, r: Column) -> Column:
+    """What a correlation of n pairs amounts to; null r is that a side doesn't vary."""
+    return F.when(n < 3, "insufficient data").when(r.isNull() | F.isnan(r), "no variance").when(F.abs(r) < 0.2, "no meaningful correlation").when(r > 0.5, "strong positive").when(r > 0.2, "weak positive").when(r < -0.5, "strong negative").otherwise("weak negative")

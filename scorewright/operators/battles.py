@@ -39,9 +39,9 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.select(a.alias("a"), b.alias("b"), score.alias("score_a")).where("a is not null and b is not null")
 
 
-def both_sides(battles: DataFrame) -> DataFrame:
-    """(agent, rival, points): each battle as seen from either side."""
-    return battles.select(F.col("a").alias("agent"), F.col("b").alias("rival"), F.col("score_a").alias("points")).unionByName(battles.select(F.col("b").alias("agent"), F.col("a").alias("rival"), (1 - F.col("score_a")).alias("points")))
+def both_sides(battles: DataFrame, *by: str) -> DataFrame:
+    """([by], agent, rival, points): each battle as seen from either side."""
+    return battles.select(*by, F.col("a").alias("agent"), F.col("b").alias("rival"), F.col("score_a").alias("points")).unionByName(battles.select(*by, F.col("b").alias("agent"), F.col("a").alias("rival"), (1 - F.col("score_a")).alias("points")))
 
 
 def record(battles: DataFrame) -> DataFrame:
@@ -50,9 +50,9 @@ def record(battles: DataFrame) -> DataFrame:
     return both_sides(battles).groupBy("agent").agg(F.count_if(points == 1.0).alias("wins"), F.count_if(points == 0.0).alias("losses"), F.count_if(points == 0.5).alias("draws"), F.count("*").alias("n_battles"))
 
 
-def win_matrix(battles: DataFrame) -> DataFrame:
-    """(agent, rival, won): points of each agent against each rival, draws as half."""
-    return both_sides(battles).groupBy("agent", "rival").agg(F.sum("points").alias("won"))
+def win_matrix(battles: DataFrame, *by: str) -> DataFrame:
+    """([by], agent, rival, won): points of each agent against each rival, draws as half."""
+    return both_sides(battles, *by).groupBy(*by, "agent", "rival").agg(F.sum("points").alias("won"))
 
 
 def reconcile(first: Column, swapped: Column) -> Column:

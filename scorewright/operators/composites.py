@@ -10,8 +10,9 @@ QUALITY = {"url": 0.40, "chk": 0.40, "spc": 0.20}
 V3 = {"url": 0.20, "qm": 0.20, "chk": 0.20, "spc": 0.10, "cit": 0.15, "depth": 0.10, "pres": 0.05}
 V4 = {"url": 0.10, "spc": 0.05, "chk": 0.10, "cit": 0.10, "qm": 0.05, "fe": 0.13, "ic": 0.13, "pb": 0.08, "sd": 0.06, "depth": 0.10, "pres": 0.10}
 V4B = V4 | {"ic": 0.07, "sd": 0.12}
-REWARD_V2 = {"reach": 0.30, "url": 0.15, "chk": 0.25, "cit": 0.15, "depth": 0.10, "pres": 0.05}
-REWARD_V3 = {"spc": 0.10, "cit": 0.15, "fe": 0.30, "chk": 0.20, "depth": 0.20, "pres": 0.05}
+SOFT = {"url": 0.20, "v3_depth": 0.20, "v3_rigor": 0.20, "v3_style": 0.10, "chk": 0.20, "spc": 0.10}
+REWARD_V2 = {"deterministic": 0.30, "cit": 0.15, "factuality": 0.25, "judge": 0.15, "comprehensive": 0.10, "efficiency": 0.05}
+REWARD_V3 = {"markdown": 0.10, "cit": 0.15, "fact_kg": 0.30, "judge": 0.20, "chk": 0.20, "efficiency": 0.05}
 
 
 def pillar(name: str) -> Column:
@@ -69,27 +70,58 @@ def all_composites(scores: DataFrame) -> DataFrame:
     found = {
         "quality": quality, "v2_truthful": reach * quality, "v2_factored": reach * (0.5 + 0.5 * pillar("qm")) * (0.5 + 0.5 * pillar("nli")) * quality,
         "v2_floored": gated(reach, quality, 0.1), "v3": gated(reach, raw, 0.1), "v4": gated(reach, weighted(V4)),
-        "v4b": gated(reach, weighted(V4B, ic=rescaled(pillar("ic")))), "v4c": reach * standardised(V4),
-        "v3_soft": half_open(pillar("qm")) * raw, "reward_v2": weighted(REWARD_V2), "reward_v3": weighted(REWARD_V3),
+        "v4b": gated(reach, weighted(V4B, ic=rescaled(pillar("ic")))), "v4c": reach * standardised(V4B),
+        "v3_soft": half_open(pillar("qm")) * weighted(SOFT), "reward_v2": weighted(REWARD_V2), "reward_v3": weighted(REWARD_V3),
     }
     return with_statistics(scores, list(V4)).select("agent", "task", *(F.round(c + 1e-9, 6).alias(n) for n, c in found.items()))
 
 
-def without_each(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(agent, dropped, mean): the gated composite with one pillar at zero, for each pillar, mean per agent."""
-    versions = F.array(*(F.struct(F.lit(d).alias("dropped"), gated(pillar("reach"), weighted(weights, **{d: F.lit(0.0)})).alias("score")) for d in weights))
-    return scores.select("agent", F.explode(versions).alias("v")).groupBy("agent", "v.dropped").agg(F.round(F.avg("v.score"), 6).alias("mean"))
+def factored(quality: Column, **instead: Column) -> Column:
+    """Quality times reach, and half to all of each of quotes and claims that hold."""
+    part = lambda name: instead.get(name, pillar(name))
+    return part("reach") * (0.5 + 0.5 * part("qm")) * (0.5 + 0.5 * part("nli")) * quality
 
 
-def reweighted(scores: DataFrame, weights: dict[str, float], multipliers: list[float]) -> DataFrame:
-    """(agent, changed, factor, mean): each weight times each factor, weights then scaled to one sum."""
-    versions = []
-    for name in weights:
+def soft_breakdown(scores: DataFrame) -> DataFrame:
+    """(agent, task, dim, contribution, reach_soft, q_value, composite): what each dimension adds to the soft-floored composite's quality."""
+    soft, q = half_open(pillar("qm")), weighted(SOFT)
+    parts = F.array(*(F.struct(F.lit(n).alias("dim"), F.round(F.lit(w) * pillar(n) + 1e-9, 6).alias("contribution")) for n, w in SOFT.items()))
+    return scores.select("agent", "task", F.explode(parts).alias("d"), F.round(soft + 1e-9, 6).alias("reach_soft"), F.round(q + 1e-9, 6).alias("q_value"), F.round(soft * q + 1e-9, 6).alias("composite")).select("agent", "task", "d.*", "reach_soft", "q_value", "composite")
+
+
+def _versions(scores: DataFrame, versions: list[Column], *names: str) -> DataFrame:
+    """(names, agent, mean, rank, tau): each version's mean per agent, its board, and how far that agrees with the board of the version whose names are all null.
+
+    Boards are agents; ranks of equal means go by name. tau is Kendall's over all pairs of agents.
+    """
+    # groupBy keeps null names apart as one group.
+    means = scores.select("agent", F.explode(F.array(*versions)).alias("v")).groupBy("agent", *(F.col(f"v.{n}").alias(n) for n in names)).agg(F.round(F.avg("v.score") + 1e-9, 6).alias("mean"))
+    board = ranked(means, "mean", "agent", *names)
+    base = board.where(" and ".join(f"{n} is null" for n in names)).select("agent", F.col("rank").alias("base"))
+    board = board.where(" or ".join(f"{n} is not null" for n in names)).join(F.broadcast(base), "agent")
+    other = board.select(*names, F.col("agent").alias("_agent"), F.col("rank").alias("_rank"), F.col("base").alias("_base"))
+    sign = F.signum((F.col("rank") - F.col("_rank")) * (F.col("base") - F.col("_base")))
+    tau = board.join(other, list(names)).where(F.col("agent") < F.col("_agent")).groupBy(*names).agg(F.round(F.avg(sign), 6).alias("tau"))
+    return board.join(tau, list(names), "left").select(*names, "agent", "mean", "rank", "tau")
+
+
+def without_each(scores: DataFrame, names: list[str]) -> DataFrame:
+    """(dropped, agent, mean, rank, tau): the factored composite's boards with one pillar at zero, for each pillar, against the board with all."""
+    zero = F.lit(0.0)
+    quality = lambda d: weighted(QUALITY, **({d: zero} if d in QUALITY else {}))
+    one = lambda d: F.struct(F.lit(d).cast("string").alias("dropped"), factored(quality(d), **({d: zero} if d else {})).alias("score"))
+    return _versions(scores, [one(None), *(one(d) for d in names)], "dropped")
+
+
+def reweighted(scores: DataFrame, multipliers: list[float]) -> DataFrame:
+    """(changed, factor, agent, mean, rank, tau): the factored composite's boards with each quality weight times each factor, all weights then scaled to one sum, against the board as it is."""
+    versions = [F.struct(F.lit(None).cast("string").alias("changed"), F.lit(None).cast("double").alias("factor"), factored(weighted(QUALITY)).alias("score"))]
+    for name in QUALITY:
         for m in multipliers:
-            changed = weights | {name: weights[name] * m}
+            changed = QUALITY | {name: QUALITY[name] * m}
             total = sum(changed.values())
-            versions.append(F.struct(F.lit(name).alias("changed"), F.lit(float(m)).alias("factor"), gated(pillar("reach"), weighted({k: w / total for k, w in changed.items()})).alias("score")))
-    return scores.select("agent", F.explode(F.array(*versions)).alias("v")).groupBy("agent", "v.changed", "v.factor").agg(F.round(F.avg("v.score"), 6).alias("mean"))
+            versions.append(F.struct(F.lit(name).alias("changed"), F.lit(float(m)).alias("factor"), factored(weighted({k: w / total for k, w in changed.items()})).alias("score")))
+    return _versions(scores, versions, "changed", "factor")
 
 
 def ranked(df: DataFrame, by: str, agent: str = "agent", *within: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, K, PASSES = 1000.0, 32.0, 20
-#: Battles that a table of outcomes per pair may have to be handed to the tasks that resample them.
-MAX_RESAMPLED = 2_000_000
 
 
 def expected(own: Column, rival: Column) -> Column:
@@ -58,29 +56,30 @@ def elo(battles: DataFrame, passes: int = PASSES, k: float = K, seed: int = 42,
     return found.withColumnRenamed("board", by) if by else found.drop("board")
 
 
-def _handed_out(battles: DataFrame) -> pd.DataFrame:
-    """The battles of one board for every task, within a checked size."""
-    rows = battles.select("a", "b", "score_a").limit(MAX_RESAMPLED + 1).toPandas()
-    if len(rows) > MAX_RESAMPLED:
-        raise ValueError(f"over {MAX_RESAMPLED} battles: resample boards by groups instead")
-    return rows
+def _for_each_sample(battles: DataFrame, samples: int, draw: Callable[[np.random.Generator, list[str], np.ndarray, np.ndarray, np.ndarray], np.ndarray], stream: int, seed: int) -> DataFrame:
+    """(sample, agent, value): what `draw` makes of the battles, for each sample number.
 
+    Every sample gets the board's battles as a group of its own, so samples spread over tasks and nothing comes to the
+    driver; a group is one board, as large as the group that elo() folds. Each is seeded by its own number, so that a
+    lost task gives the same rows again.
+    """
 
-def elo_samples(battles: DataFrame, resamples: int = 1000, k: float = K, seed: int = 42) -> DataFrame:
-    """(sample, agent, elo): a single shuffled pass over battles drawn with replacement, for each sample number.
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, a, b, s = _coded(rows)
+        sample = int(rows["sample"].iloc[0])
+        return pd.DataFrame({"sample": sample, "agent": names, "value": draw(np.random.default_rng([seed, stream, sample]), names, a, b, s)})
+
+    return battles.select("a", "b", "score_a", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).groupBy("sample").applyInPandas(run, "sample long, agent string, value double")
 
-    Samples are spread over tasks; each is seeded by its own number, so that a lost task gives the same rows again.
-    """
-    rows = _handed_out(battles)
-    names, a, b, s = _coded(rows) if len(rows) else ([], np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for sample in part["id"] if len(names) else ():
-                pick = np.random.default_rng([seed, sample]).integers(0, len(a), len(a))
-                yield pd.DataFrame({"sample": sample, "agent": names, "elo": elo_pass(a[pick], b[pick], s[pick], len(names), k)})
+def elo_samples(battles: DataFrame, resamples: int = 1000, k: float = K, seed: int = 42) -> DataFrame:
+    """(sample, agent, elo): a single shuffled pass over battles drawn with replacement, for each sample number."""
+
+    def draw(rng: np.random.Generator, names: list[str], a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+        pick = rng.integers(0, len(a), len(a))
+        return elo_pass(a[pick], b[pick], s[pick], len(names), k)
 
-    return battles.sparkSession.range(resamples).mapInPandas(run, "sample long, agent string, elo double")
+    return _for_each_sample(battles, resamples, draw, 0, seed).withColumnRenamed("value", "elo")
 
 
 def nearest(values: Column, q: float) -> Column:
@@ -100,17 +99,12 @@ def elo_with_intervals(battles: DataFrame, resamples: int = 1000, confidence: fl
 
 def rank_significance(battles: DataFrame, permutations: int = 1000, k: float = K, seed: int = 42) -> DataFrame:
     """(higher, lower, gap, p_value): how often shuffled outcomes give neighbours on the board as large a gap, either way."""
-    rows = _handed_out(battles)
-    names, a, b, s = _coded(rows) if len(rows) else ([], np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for sample in part["id"] if len(names) else ():
-                rng = np.random.default_rng([seed, 1, sample])
-                order = rng.permutation(len(a))
-                yield pd.DataFrame({"sample": sample, "agent": names, "null_elo": np.round(elo_pass(a[order], b[order], rng.permutation(s)[order], len(names), k), 1)})
+    def draw(rng: np.random.Generator, names: list[str], a: np.ndarray, b: np.ndarray, s: np.ndarray) -> np.ndarray:
+        order = rng.permutation(len(a))
+        return np.round(elo_pass(a[order], b[order], rng.permutation(s)[order], len(names), k), 1)
 
-    null = battles.sparkSession.range(permutations).mapInPandas(run, "sample long, agent string, null_elo double")
+    null = _for_each_sample(battles, permutations, draw, 1, seed).withColumnRenamed("value", "null_elo")
     board = elo(battles, k=k, seed=seed).selectExpr("agent", "elo", "lead(agent) OVER (ORDER BY elo DESC, agent) AS lower", "lead(elo) OVER (ORDER BY elo DESC, agent) AS lower_elo").where("lower is not null")  # a row an agent
     gaps = board.select(F.col("agent").alias("higher"), "lower", (F.col("elo") - F.col("lower_elo")).alias("gap"))
     tried = gaps.join(null.withColumnsRenamed({"agent": "higher", "null_elo": "x"}), "higher").join(null.withColumnsRenamed({"agent": "lower", "null_elo": "y"}), ["sample", "lower"])
@@ -141,13 +135,11 @@ def strengths(won: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     return r - r.mean()
 
 
-def by_minorisation(won: np.ndarray, steps: int = 500, tolerance: float = 1e-6) -> np.ndarray:
-    """Bradley-Terry strengths of mean one, with half a win added each way between those who met."""
-    met = (won + won.T) > 0
-    w = np.where(met, won + 0.5, 0.0)
-    played, p = w + w.T, np.ones(len(won))
+def by_minorisation(won: np.ndarray, steps: int = 500, tolerance: float = 1e-6, prior: float = 0.5) -> np.ndarray:
+    """Bradley-Terry strengths of mean one by minorisation-maximisation; `prior` counts as wins and as playing time of each agent."""
+    played, p = won + won.T, np.ones(len(won))
     for _ in range(steps):
-        new = w.sum(axis=1) / np.maximum((played / (p[:, None] + p[None, :])).sum(axis=1), 1e-12)
+        new = (prior + won.sum(axis=1)) / (prior + (played / (p[:, None] + p[None, :])).sum(axis=1))
         new /= new.mean()
         done = np.abs(new - p).max() < tolerance
         p = new
@@ -159,32 +151,37 @@ def by_minorisation(won: np.ndarray, steps: int = 500, tolerance: float = 1e-6)
 SCALE = 400 / np.log(10)
 
 
-def bradley_terry(wins: DataFrame, method: str = "newton") -> DataFrame:
-    """(agent, rating) from (agent, rival, won). The matrix is agents squared, whatever the battles were."""
+def bradley_terry(wins: DataFrame, method: str = "newton", by: str | None = None) -> DataFrame:
+    """([by], agent, rating) from ([by], agent, rival, won). A board's matrix is agents squared, whatever the battles were."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(rows.agent) | set(rows.rival))
         won = rows.pivot_table(index="agent", columns="rival", values="won", aggfunc="sum").reindex(index=names, columns=names).fillna(0.0).to_numpy(float, copy=True)
         np.fill_diagonal(won, 0)
-        r = SCALE * strengths(won) if method == "newton" else 400 * np.log10(np.maximum(by_minorisation(won), 1e-12))
-        return pd.DataFrame({"agent": names, "rating": np.round(START + r, 1)})
+        logs = strengths(won) if method == "newton" else np.log(np.maximum(by_minorisation(won), 1e-300))
+        r = SCALE * (logs - logs.mean())
+        return pd.DataFrame({"board": rows.board.iloc[0], "agent": names, "rating": np.round(START + r, 1)})
 
-    return wins.groupBy(F.lit(0).alias("board")).applyInPandas(fit, "agent string, rating double")
+    found = wins.withColumn("board", F.col(by) if by else F.lit("all"))
+    kind = found.schema["board"].dataType.simpleString()
+    found = found.groupBy("board").applyInPandas(fit, f"board {kind}, agent string, rating double")
+    return found.withColumnRenamed("board", by) if by else found.drop("board")
 
 
 def bradley_terry_intervals(battles: DataFrame, resamples: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(agent, lo, hi): percentiles of refits to battles drawn with replacement, interpolated."""
-    rows = _handed_out(battles)
-    names, a, b, s = _coded(rows) if len(rows) else ([], np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for sample in part["id"] if len(names) else ():
-                pick = np.random.default_rng([seed, 2, sample]).integers(0, len(a), len(a))
-                won = np.zeros((len(names), len(names)))
-                np.add.at(won, (a[pick], b[pick]), s[pick])
-                np.add.at(won, (b[pick], a[pick]), 1 - s[pick])
-                yield pd.DataFrame({"agent": names, "rating": START + SCALE * strengths(won)})
-
-    fits = battles.sparkSession.range(resamples).mapInPandas(run, "agent string, rating double")
+    counts = battles.groupBy("a", "b", "score_a").agg(F.count("*").alias("n"))
+
+    def refit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["a", "b", "score_a"])
+        names, a, b, s = _coded(rows)
+        n = rows["n"].to_numpy()
+        drawn = np.random.default_rng([seed, 2, int(rows["sample"].iloc[0])]).multinomial(n.sum(), n / n.sum())
+        won = np.zeros((len(names), len(names)))
+        np.add.at(won, (a, b), s * drawn)
+        np.add.at(won, (b, a), (1 - s) * drawn)
+        return pd.DataFrame({"agent": names, "rating": START + SCALE * strengths(won)})
+
+    spread = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("sample"))
+    fits = spread.groupBy("sample").applyInPandas(refit, "agent string, rating double")
     return fits.groupBy("agent").agg(F.round(F.percentile("rating", F.lit(alpha / 2)), 1).alias("lo"), F.round(F.percentile("rating", F.lit(1 - alpha / 2)), 1).alias("hi"))

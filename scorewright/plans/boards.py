@@ -11,10 +11,11 @@ from scorewright.plans.views import BATTLES_SQL, PREFS_SQL, QUALITY_SQL, SCORES_
 from scorewright.registry import query, table
 
 _V3 = "(0.2*url + 0.2*qm + 0.2*chk + 0.1*spc + 0.15*cit + 0.1*depth + 0.05*pres)"
+_SOFT = "(0.2*url + 0.2*v3_depth + 0.2*v3_rigor + 0.1*v3_style + 0.2*chk + 0.1*spc)"
 _V4 = "(0.1*url + 0.05*spc + 0.1*chk + 0.1*cit + 0.05*qm + 0.13*fe + 0.13*ic + 0.08*pb + 0.06*sd + 0.1*depth + 0.1*pres)"
 _V4B = "(0.1*url + 0.05*spc + 0.1*chk + 0.1*cit + 0.05*qm + 0.13*fe + 0.07*least(1, greatest(0, (ic - 0.85) / 0.1)) + 0.08*pb + 0.12*sd + 0.1*depth + 0.1*pres)"
 _Z = lambda n: f"CASE WHEN coalesce(s_{n}, 0) < 1e-6 THEN 0.5 ELSE 1 / (1 + exp(-least(6, greatest(-6, 1.2 * ({n} - m_{n}) / s_{n})))) END"
-_V4C = " + ".join(f"{w} * {_Z(n)}" for n, w in composites.V4.items())
+_V4C = " + ".join(f"{w} * {_Z(n)}" for n, w in composites.V4B.items())
 _STATS = ", ".join(f"avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}" for n in composites.V4)
 
 
@@ -31,19 +32,35 @@ def leaderboard_truthful(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("composites_all", f"""WITH {SCORES_SQL}, st AS (SELECT {_STATS} FROM scores)
 SELECT agent, task, round({QUALITY_SQL} + 1e-9, 6) AS quality, round(reach * {QUALITY_SQL} + 1e-9, 6) AS v2_truthful, round(reach * (0.5 + 0.5*qm) * (0.5 + 0.5*nli) * {QUALITY_SQL} + 1e-9, 6) AS v2_factored,
  round(greatest(reach, 0.1) * {QUALITY_SQL} + 1e-9, 6) AS v2_floored, round(greatest(reach, 0.1) * {_V3} + 1e-9, 6) AS v3, round(reach * {_V4} + 1e-9, 6) AS v4, round(reach * {_V4B} + 1e-9, 6) AS v4b, round(reach * ({_V4C}) + 1e-9, 6) AS v4c,
- round((0.5 + 0.5*qm) * {_V3} + 1e-9, 6) AS v3_soft, round(0.3*reach + 0.15*url + 0.25*chk + 0.15*cit + 0.1*depth + 0.05*pres + 1e-9, 6) AS reward_v2, round(0.1*spc + 0.15*cit + 0.3*fe + 0.2*chk + 0.2*depth + 0.05*pres + 1e-9, 6) AS reward_v3 FROM scores, st""")
+ round((0.5 + 0.5*qm) * {_SOFT} + 1e-9, 6) AS v3_soft, round(0.3*deterministic + 0.15*cit + 0.25*factuality + 0.15*judge + 0.1*comprehensive + 0.05*efficiency + 1e-9, 6) AS reward_v2, round(0.1*markdown + 0.15*cit + 0.3*fact_kg + 0.2*judge + 0.2*chk + 0.05*efficiency + 1e-9, 6) AS reward_v3 FROM scores, st""")
 def composites_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composites.all_composites(views.scores(spark, sf_dir))
 
 
-@query("composite_leave_one_out", f"WITH {SCORES_SQL} " + " UNION ALL ".join(f"SELECT agent, '{d}' AS dropped, round(avg(reach * ({' + '.join(f'{w}*{n}' for n, w in composites.V3.items() if n != d)})), 6) AS mean FROM scores GROUP BY 1" for d in composites.V3))
+@query("soft_breakdown", f"WITH {SCORES_SQL} " + " UNION ALL ".join(f"SELECT agent, task, '{d}' AS dim, round({w} * {d} + 1e-9, 6) AS contribution, round(0.5 + 0.5*qm + 1e-9, 6) AS reach_soft, round({_SOFT} + 1e-9, 6) AS q_value, round((0.5 + 0.5*qm) * {_SOFT} + 1e-9, 6) AS composite FROM scores" for d, w in composites.SOFT.items()))
+def soft_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composites.soft_breakdown(views.scores(spark, sf_dir))
+
+
+_FACTORED = lambda quality, **zero: f"{zero.get('reach', 'reach')} * (0.5 + 0.5 * {zero.get('qm', 'qm')}) * (0.5 + 0.5 * {zero.get('nli', 'nli')}) * ({quality})"
+_TAUS = lambda names: f""", b AS (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY mean DESC, agent) AS rank FROM m), x AS (SELECT b.*, o.rank AS base FROM b JOIN o USING (agent)),
+t AS (SELECT {', '.join(f'x.{n}' for n in names.split(', '))}, avg(sign((x.rank - y.rank) * (x.base - y.base))) AS tau FROM x JOIN x y ON {' AND '.join(f'x.{n} = y.{n}' for n in names.split(', '))} AND x.agent < y.agent GROUP BY ALL)
+SELECT {', '.join(f'x.{n}' for n in names.split(', '))}, agent, mean, rank, round(tau, 6) AS tau FROM x JOIN t ON {' AND '.join(f'x.{n} = t.{n}' for n in names.split(', '))}"""
+_BASE = f"o AS (SELECT agent, row_number() OVER (ORDER BY round(avg({_FACTORED('0.4*url + 0.4*chk + 0.2*spc')}) + 1e-9, 6) DESC, agent) AS rank FROM scores GROUP BY 1)"
+_DROPS = ("url", "chk", "spc", "reach", "qm", "nli")
+
+
+@query("composite_leave_one_out", f"WITH {SCORES_SQL}, {_BASE}, m AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dropped, agent, round(avg({_FACTORED(' + '.join(f'{w}*{n}' for n, w in composites.QUALITY.items() if n != d), **{d: '0'})}) + 1e-9, 6) AS mean FROM scores GROUP BY 2" for d in _DROPS) + ")" + _TAUS("dropped"))
 def composite_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composites.without_each(views.scores(spark, sf_dir), composites.V3)
+    return composites.without_each(views.scores(spark, sf_dir), list(_DROPS))
+
+
+_FACTORS = (0.5, 0.75, 1.0, 1.25, 1.5)
 
 
-@query("composite_weight_sweep", f"WITH {SCORES_SQL} " + " UNION ALL ".join(f"SELECT agent, '{c}' AS changed, CAST({m} AS DOUBLE) AS factor, round(avg(reach * ({' + '.join(f'{w * (m if n == c else 1)}*{n}' for n, w in composites.QUALITY.items())}) / {1 + composites.QUALITY[c] * (m - 1)}), 6) AS mean FROM scores GROUP BY 1" for c in composites.QUALITY for m in (0.5, 0.75, 1.25, 1.5, 2.0)))
+@query("composite_weight_sweep", f"WITH {SCORES_SQL}, {_BASE}, m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS changed, CAST({f} AS DOUBLE) AS factor, agent, round(avg({_FACTORED(' + '.join(f'{w * (f if n == c else 1)}*{n}' for n, w in composites.QUALITY.items()))}) / {1 + composites.QUALITY[c] * (f - 1)} + 1e-9, 6) AS mean FROM scores GROUP BY 3" for c in composites.QUALITY for f in _FACTORS) + ")" + _TAUS("changed, factor"))
 def composite_weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return composites.reweighted(views.scores(spark, sf_dir), composites.QUALITY, [0.5, 0.75, 1.25, 1.5, 2.0])
+    return composites.reweighted(views.scores(spark, sf_dir), list(_FACTORS))
 
 
 @query("floor_sweep", f"WITH {SCORES_SQL} SELECT agent, f AS floor, round(avg(greatest(reach, f) * {QUALITY_SQL}), 6) AS mean FROM scores, (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.2), (0.5)) t(f) GROUP BY 1, 2")
@@ -52,6 +69,21 @@ def floor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("agent", "floor").agg(F.round(F.avg(F.greatest("reach", "floor") * composites.weighted(composites.QUALITY)), 6).alias("mean"))
 
 
+@query("floor_ranking")
+def floor_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(floor, agent, rating, rank, tau): Bradley-Terry boards of the floored composite, each against that of floor 0.1."""
+    rows = views.scores(spark, sf_dir).withColumn("floor", F.explode(F.array(*map(F.lit, (0.0, 0.05, 0.1, 0.2, 0.5)))))
+    rows = rows.select("agent", F.concat_ws("/", "floor", "task").alias("key"), (F.greatest("reach", "floor") * composites.weighted(composites.QUALITY)).alias("score"))
+    fought = battles.pair_battles(rows, "key", "agent", "score", tie=0.0).where("score_a != 0.5").withColumn("floor", F.substring_index("task", "/", 1).cast("double"))
+    board = composites.ranked(ratings.bradley_terry(battles.win_matrix(fought, "floor"), "mm", "floor"), "rating", "agent", "floor")
+    base = board.where("floor = 0.1").select("agent", F.col("rank").alias("base"))
+    board = board.join(F.broadcast(base), "agent")
+    other = board.select("floor", F.col("agent").alias("_agent"), F.col("rank").alias("_rank"), F.col("base").alias("_base"))
+    sign = F.signum((F.col("rank") - F.col("_rank")) * (F.col("base") - F.col("_base")))
+    tau = board.join(other, "floor").where(F.col("agent") < F.col("_agent")).groupBy("floor").agg(F.round(F.avg(sign), 6).alias("tau"))
+    return board.join(tau, "floor").select("floor", "agent", "rating", "rank", "tau")
+
+
 @query("battles_with_ties", f"WITH {BATTLES_SQL} SELECT task, a, b, CAST(score_a AS DOUBLE) AS score_a FROM battles")
 def battles_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.battles(spark, sf_dir)
@@ -142,7 +174,8 @@ def bradley_terry_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bradley_terry_minorised")
 def bradley_terry_minorised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.bradley_terry(battles.win_matrix(views.battles(spark, sf_dir)), "mm")
+    fought = battles.pair_battles(views.truthful(spark, sf_dir), "task", "agent", "composite", tie=0.0).where("score_a != 0.5")  # ties tell it nothing
+    return ratings.bradley_terry(battles.win_matrix(fought), "mm")
 
 
 @query("bradley_terry_intervals")
@@ -159,11 +192,11 @@ def kappa_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("label", agreement.landis_koch(F.col("kappa")))
 
 
-@query("kappa_of_preferences", f"""WITH {PREFS_SQL}, x AS (SELECT winner AS x, CASE WHEN a < b THEN 'a' ELSE 'b' END AS y FROM prefs), c AS (SELECT x, y, count(*) AS n FROM x GROUP BY 1, 2),
+@query("kappa_of_preferences", f"""WITH {PREFS_SQL}, x AS (SELECT winner AS x, CASE WHEN a < b THEN 'a' ELSE 'b' END AS y FROM prefs WHERE winner <> 'tie'), c AS (SELECT x, y, count(*) AS n FROM x GROUP BY 1, 2),
 t AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN x = y THEN n ELSE 0 END) AS same FROM c), m AS (SELECT sum(u.n * v.n)::DOUBLE AS chance FROM (SELECT x, sum(n) AS n FROM c GROUP BY 1) u JOIN (SELECT y, sum(n) AS n FROM c GROUP BY 1) v ON u.x = v.y)
 SELECT n, round(same / n, 6) AS agreement, round((same / n - chance / (n * n)) / (1 - chance / (n * n)), 6) AS kappa FROM t, m""")
 def kappa_of_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agreement.label_kappa(views.prefs(spark, sf_dir).withColumn("by_name", F.when(F.col("a") < F.col("b"), "a").otherwise("b")), "winner", "by_name")
+    return agreement.label_kappa(views.prefs(spark, sf_dir).where("winner != 'tie'").withColumn("by_name", F.when(F.col("a") < F.col("b"), "a").otherwise("b")), "winner", "by_name")
 
 
 _CORR = ("reach", "url", "chk", "qm", "nli", "cit")
@@ -218,10 +251,13 @@ def length_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.length_normalised(views.scores(spark, sf_dir), "chars", "url", "agent")
 
 
-@query("length_bias", f"WITH {SCORES_SQL} SELECT round(regr_slope(url, chars) * 1000, 6) AS slope_per_1k, round(corr(url, chars), 6) AS pearson, CASE WHEN abs(corr(url, chars)) >= 0.6 THEN 'HIGH' WHEN abs(corr(url, chars)) >= 0.4 THEN 'WARN' ELSE 'OK' END AS flag FROM scores")
+_BIAS = ("url", "chk", "qm", "cit", "depth", "pres")
+
+
+@query("length_bias", f"WITH {SCORES_SQL}, l AS (" + " UNION ALL ".join(f"SELECT '{p}' AS pillar, CAST(chars AS DOUBLE) AS x, {p} AS y FROM scores" for p in _BIAS) + """), r AS (SELECT *, rank() OVER (PARTITION BY pillar ORDER BY x) + (count(*) OVER (PARTITION BY pillar, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY pillar ORDER BY y) + (count(*) OVER (PARTITION BY pillar, y) - 1) / 2.0 AS ry FROM l),
+g AS (SELECT pillar, round(corr(rx, ry), 6) AS rho, regr_slope(y, x) AS slope FROM r GROUP BY 1) SELECT pillar, round(rho, 3) AS spearman, round(slope * 1000, 6) AS slope_per_1k, CASE WHEN abs(rho) < 0.4 THEN 'OK' WHEN abs(rho) < 0.6 THEN 'SUSPECT' ELSE 'STRONG' END AS flag FROM g""")
 def length_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.corr("url", "chars")
-    return views.scores(spark, sf_dir).agg(F.round(F.regr_slope("url", "chars") * 1000, 6).alias("slope_per_1k"), F.round(r, 6).alias("pearson"), F.when(F.abs(r) >= 0.6, "HIGH").when(F.abs(r) >= 0.4, "WARN").otherwise("OK").alias("flag"))
+    return agreement.length_bias(views.scores(spark, sf_dir), "chars", list(_BIAS))
 
 
 @query("item_parameters")

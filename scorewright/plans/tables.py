@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorewright.operators import aggregates
+from scorewright.operators import aggregates, agreement, filters
 from scorewright.plans import views
 from scorewright.plans.views import PRODUCTS_SQL, QUALITY_SQL, SCORES_SQL, SUBMISSIONS_SQL
 from scorewright.registry import query, table
@@ -39,12 +39,31 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("agent").agg(F.count("*").alias("files"), F.count_if(F.col("composite") >= 0.2).alias("kept"), low.alias("dropped"), F.count_if(F.col("reach") < 0.45).alias("low_reach"), F.round(F.avg("chars"), 4).alias("mean_chars"), F.when(low > 0.3 * F.count("*"), "FAIL").when(low > 0, "WARN").otherwise("PASS").alias("verdict"))
 
 
-@query("outlier_flags", f"""WITH {_T}, m AS (SELECT agent, median(c) AS med, stddev_samp(c) AS sd, count(*) AS n FROM t GROUP BY 1), r AS (SELECT agent, round(c, 2) AS v, count(DISTINCT task) AS k FROM t GROUP BY 1, 2)
-SELECT t.agent, t.task, n >= 4 AND abs(c - med) > 2 * sd AS outlier, k >= 4 AS repeated FROM t JOIN m USING (agent) JOIN r ON r.agent = t.agent AND r.v = round(c, 2)""")
+#: Facts of a score file beside its pillars, by rule from runs and characters: answer_chars, cited, judge_error.
+_FILES = f"""{_T}, f AS (SELECT t.agent, t.task, c, s.reach, s.chk, CASE WHEN s.chars % 7 = 0 THEN 0 WHEN s.chars % 5 = 0 THEN s.chars % 600 ELSE s.chars + 600 END AS answer_chars, CASE WHEN s.runs % 4 = 0 THEN 0 ELSE s.runs END AS cited, s.chars % 3 = 0 AS ck_error, s.chars % 3 = 0 AND s.runs % 2 = 0 AS ad_error, s.runs % 2 = 0 AS pres_error, s.chars % 11 = 0 AS infra_failure, CASE WHEN s.chars % 13 = 0 THEN '(Agent X produced no report after 12s, exit=1)' WHEN s.chars % 17 = 0 THEN ' (Storm error: x' ELSE 'A report' END AS head FROM t JOIN scores s USING (agent, task)),
+d AS (SELECT *, CASE WHEN answer_chars = 0 OR (answer_chars < 600 AND reach = 0 AND chk = 0) THEN 'short' WHEN infra_failure THEN 'infra' WHEN ck_error AND ad_error AND pres_error THEN 'judge_err' WHEN regexp_matches(head, '^\\s*\\([^)]*produced no report') OR regexp_matches(head, '(?i)^\\s*\\(\\s*[a-z][\\w\\- ]*\\s+(error|stderr)\\s*:') THEN 'placeholder' END AS reason FROM f)"""
+
+
+def _score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(agent, task, composite, reach, chk, answer_chars, cited, ck_error, ad_error, pres_error, infra_failure, head) of every score row."""
+    chars, runs = F.col("chars"), F.col("runs")
+    rows = views.truthful(spark, sf_dir).join(views.scores(spark, sf_dir).select("agent", "task", "reach", "chk", "chars", "runs"), ["agent", "task"])
+    return rows.select(
+        "agent", "task", "composite", "reach", "chk", F.when(chars % 7 == 0, 0).when(chars % 5 == 0, chars % 600).otherwise(chars + 600).alias("answer_chars"), F.when(runs % 4 == 0, 0).otherwise(runs).alias("cited"),
+        (chars % 3 == 0).alias("ck_error"), ((chars % 3 == 0) & (runs % 2 == 0)).alias("ad_error"), (runs % 2 == 0).alias("pres_error"), (chars % 11 == 0).alias("infra_failure"),
+        F.when(chars % 13 == 0, "(Agent X produced no report after 12s, exit=1)").when(chars % 17 == 0, " (Storm error: x").otherwise("A report").alias("head"),
+    )
+
+
+@query("score_drops", f"""WITH {_FILES} SELECT agent, count(*) AS total, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS degenerate, count(*) FILTER (reason = 'short') AS "short", count(*) FILTER (reason = 'infra') AS infra, count(*) FILTER (reason = 'judge_err') AS judge_err, count(*) FILTER (reason = 'placeholder') AS placeholder, round(avg(c) FILTER (reason IS NULL) + 1e-9, 6) AS mean_kept FROM d GROUP BY 1""")
+def score_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_counts(_score_files(spark, sf_dir))
+
+
+@query("outlier_flags", f"""WITH {_FILES}, m AS (SELECT agent, median(c) AS med, stddev_samp(c) AS sd, count(*) AS n FROM d WHERE reason IS NULL GROUP BY 1), r AS (SELECT agent, round(c, 3) AS v, count(DISTINCT task) AS k FROM d WHERE reason IS NULL GROUP BY 1, 2)
+SELECT d.agent, d.task, coalesce(reason IS NULL AND n >= 4 AND sd > 0 AND abs(c - med) > 3 * sd, false) AS outlier, coalesce(reason IS NULL AND k >= 4, false) AS repeated, reach >= 0.999 AND cited = 0 AS reach_without_urls, ck_error AND chk > 0 AS judged_despite_error FROM d LEFT JOIN m USING (agent) LEFT JOIN r ON r.agent = d.agent AND r.v = round(c, 3)""")
 def outlier_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.truthful(spark, sf_dir).withColumn("v", F.round("composite", 2))
-    same = F.size(F.collect_set("task").over(Window.partitionBy("agent", "v")))
-    return rows.select("agent", "task", aggregates.outliers(rows, "agent", "composite", 2.0).alias("outlier"), (same >= 4).alias("repeated"))
+    return filters.anomalies(_score_files(spark, sf_dir))
 
 
 @query("top_runs_per_task", f"WITH {_T} SELECT task, agent, c AS composite, place FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY c DESC, agent) AS place FROM t) WHERE place <= 3")
@@ -111,11 +130,10 @@ def most_reviewed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.products(spark, sf_dir).orderBy(F.desc("review_count"), "product_id").limit(2).select("product_id", "review_count", F.round(F.col("price") / F.col("rating"), 4).alias("price_per_star"))
 
 
-@query("reviews_against_rating", f"WITH {PRODUCTS_SQL}, r AS (SELECT count(*) AS n, corr(CAST(review_count AS DOUBLE), rating) AS r FROM products WHERE rating IS NOT NULL) SELECT n, round(r, 5) AS pearson, CASE WHEN n < 3 THEN 'insufficient' WHEN abs(r) < 0.1 THEN 'none' WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.6 THEN 'moderate' ELSE 'strong' END AS label FROM r")
+@query("reviews_against_rating", f"WITH {PRODUCTS_SQL}, r AS (SELECT count(*) AS n, corr(CAST(review_count AS DOUBLE), rating) AS r FROM products WHERE rating IS NOT NULL) SELECT n, round(coalesce(r, 0), 3) AS pearson, CASE WHEN n < 3 THEN 'insufficient data' WHEN r IS NULL OR isnan(r) THEN 'no variance' WHEN abs(r) < 0.2 THEN 'no meaningful correlation' WHEN r > 0.5 THEN 'strong positive' WHEN r > 0.2 THEN 'weak positive' WHEN r < -0.5 THEN 'strong negative' ELSE 'weak negative' END AS label FROM r")
 def reviews_against_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.products(spark, sf_dir).where("rating is not null").agg(F.count("*").alias("n"), F.corr(F.col("review_count").cast("double"), "rating").alias("r"))
-    size = F.abs("r")
-    return r.select("n", F.round("r", 5).alias("pearson"), F.when(F.col("n") < 3, "insufficient").when(size < 0.1, "none").when(size < 0.3, "weak").when(size < 0.6, "moderate").otherwise("strong").alias("label"))
+    return r.select("n", F.round(F.coalesce("r", F.lit(0.0)), 3).alias("pearson"), agreement.correlation_label(F.col("n"), F.col("r")).alias("label"))
 
 
 @query("best_per_kind", f"WITH {PRODUCTS_SQL} SELECT kind, product_id, price, rating FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY rating DESC NULLS LAST, price NULLS LAST, product_id) AS r FROM products) WHERE r = 1")

@@ -9,7 +9,7 @@ from scorewright.operators.battles import pair_battles
 from scorewright.registry import table
 
 #: Pillars of a score row, each a mean of hundredths that an event's number, payload and value give.
-PILLARS = {"reach": (3, 7), "url": (5, 11), "chk": (7, 3), "qm": (11, 5), "nli": (13, 2), "cit": (17, 9), "depth": (19, 4), "pres": (23, 6), "fe": (29, 8), "ic": (31, 10), "pb": (37, 12), "sd": (41, 1)}
+PILLARS = {"reach": (3, 7), "url": (5, 11), "chk": (7, 3), "qm": (11, 5), "nli": (13, 2), "cit": (17, 9), "depth": (19, 4), "pres": (23, 6), "fe": (29, 8), "ic": (31, 10), "pb": (37, 12), "sd": (41, 1), "v3_depth": (43, 13), "v3_rigor": (47, 14), "v3_style": (53, 15), "deterministic": (59, 16), "factuality": (61, 17), "judge": (67, 18), "comprehensive": (71, 19), "efficiency": (73, 20), "markdown": (79, 21), "fact_kg": (83, 22)}
 _AVERAGES = ", ".join(f"round(avg((event_id * {a} + k * {b} + v * length(agent)) % 101) / 100 + 1e-9, 6) AS {name}" for name, (a, b) in PILLARS.items())
 
 SCORES_SQL = f"""
@@ -49,22 +49,33 @@ def battles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_battles(truthful(spark, sf_dir), "task", "agent", "composite", tie=0.005)
 
 
-REPORTS_SQL = """
-linked AS (SELECT d.doc_id, d.text, p.url AS u1, q.url AS u2 FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id // 4 LEFT JOIN pages q ON q.page_id = d.doc_id // 5),
-reports AS (SELECT doc_id, concat('# Report ', doc_id, chr(10), chr(10), '## Findings', chr(10), chr(10), text, chr(10), chr(10), '## Sources', chr(10), chr(10),
-            coalesce('- [one](' || u1 || ')', ''), chr(10), coalesce('- see [two](' || u2 || '), however', ''), chr(10)) AS md FROM linked)"""
+#: Reports in the forms that writers use, by id: <1> and <2> are URLs of two pages, <t> is a document's text.
+FORMS = [
+    "# Report\n\n## Findings\n\n<t>\n\n## Sources\n\n- [one](<1>)\n- see [two](<2>), however\n",
+    "# Report\n\n<t>\n",
+    "<t>\n\nAs seen at <1>, and at <2>. Not at <1>!\n",
+    "# Report\n\nMost agree [1], others differ [2][1] and some are lost [9].\n\n<t>\n\n## References\n\n[1] A title. <1>\n[2]: [two](<2>)\n",
+    "# Report\n\nOne says so[^a]. Another does not[^b].\n\n<t>\n\n[^a]: <1>\n[^b]: see [it](<2>)\n",
+    "## Findings\n\n<t>\n\nSource: <1>\n\n- <2>\n* <1>\n",
+    "",
+    "# Report\n\n## One\n\nIt is better than [one](<1>), see <1>, whereas [two](<2>) and [three](http://localhost:9999/f/audio/1/) differ. However, it fails.\n\n### Sony X-100\n\n<t>\n\n1. first\n",
+]
+_FORM = "CASE d.doc_id % 8 " + " ".join(f"WHEN {k} THEN '{form}'" for k, form in enumerate(FORMS)) + " END"
+
+REPORTS_SQL = f"""
+linked AS (SELECT d.doc_id, d.doc_id % 3 AS task, d.text, coalesce(p.url, '') AS u1, coalesce(q.url, '') AS u2, {_FORM} AS form FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id // 4 LEFT JOIN pages q ON q.page_id = d.doc_id // 5),
+reports AS (SELECT doc_id, task, replace(replace(replace(form, '<1>', u1), '<2>', u2), '<t>', coalesce(text, '')) AS md FROM linked)"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, md): a markdown report around each document's text, citing two pages."""
+    """(doc_id, task, md): a report around each document's text, citing two pages in one of FORMS."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 4").alias("p1"), F.expr("doc_id div 5").alias("p2"))
     linked = docs.join(pages.withColumnsRenamed({"page_id": "p1", "url": "u1"}), "p1", "left").join(pages.withColumnsRenamed({"page_id": "p2", "url": "u2"}), "p2", "left")
-    md = F.concat(
-        F.lit("# Report "), F.col("doc_id").cast("string"), F.lit("\n\n## Findings\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\n## Sources\n\n"),
-        F.coalesce(F.concat(F.lit("- [one]("), "u1", F.lit(")")), F.lit("")), F.lit("\n"), F.coalesce(F.concat(F.lit("- see [two]("), "u2", F.lit("), however")), F.lit("")), F.lit("\n"),
-    )
-    return linked.select("doc_id", md.alias("md"))
+    md = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    for mark, column in (("<1>", "u1"), ("<2>", "u2"), ("<t>", "text")):
+        md = F.replace(md, F.lit(mark), F.coalesce(column, F.lit("")))
+    return linked.select("doc_id", (F.col("doc_id") % 3).alias("task"), md.alias("md"))
 
 
 PRODUCTS_SQL = """
