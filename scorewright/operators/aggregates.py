@@ -70,12 +70,57 @@ def in_every_group(df: DataFrame, item: str, group: str) -> DataFrame:
     return df.groupBy(item).agg(F.count_distinct(group).alias("own")).join(F.broadcast(groups)).where(F.col("own") == F.col("all")).select(item)
 
 
-def missing_pairs(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of a left and a right value that no row has: the work still to do on a board of these sides."""
-    board = df.agg(F.collect_set(left).alias("x"), F.collect_set(right).alias("y")).select(F.explode("x").alias(left), "y").select(left, F.explode("y").alias(right))
+def missing_pairs(df: DataFrame, left: str, right: str, most: int = 1_000_000) -> DataFrame:
+    """Pairs of a left and a right value that no row has: the work still to do on a board of these sides.
+
+    The board has as many rows as it has places, in the result and so in the work. The shorter side is broadcast,
+    after a check that it has at most `most` values.
+    """
+    sides = [df.select(c).where(F.col(c).isNotNull()).distinct() for c in (left, right)]
+    sizes = [side.count() for side in sides]
+    if min(sizes) > most:
+        raise ValueError(f"both sides of the board have over {most} values")
+    short, long = (0, 1) if sizes[0] <= sizes[1] else (1, 0)
+    board = sides[long].join(F.broadcast(sides[short])).select(left, right)
     return board.join(df.select(left, right).distinct(), [left, right], "left_anti")
 
 
+def best_by_words(asked: DataFrame, rows: DataFrame, n: int, block: int = 2000) -> DataFrame:
+    """(query_id, row_id, score): the n rows that hold the largest share of each asked one's words, ties to the smaller id.
+
+    asked is (query_id, words), rows (row_id, words), words being arrays of distinct ones. Queries in blocks of about
+    `block` meet blocks of rows; of each pair of blocks only n rows a query go on, however common the words are.
+    """
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": np.zeros(0, np.int64), "row_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(left) or not len(right):
+            return out
+        places: dict[str, list[int]] = {}
+        for i, words in enumerate(left["words"]):
+            for word in words:
+                places.setdefault(word, []).append(i)
+        index = {word: np.array(at) for word, at in places.items()}
+        ids = right["row_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        counts = np.zeros((len(left), len(right)), np.int32)
+        for column, at in enumerate(order):
+            for word in right["words"].iloc[at]:
+                if (hit := index.get(word)) is not None:
+                    counts[hit, column] += 1
+        top = np.argsort(-counts, axis=1, kind="stable")[:, :n]
+        which = np.repeat(np.arange(len(left)), top.shape[1])
+        sizes = np.array([len(w) for w in left["words"]])
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[which], "row_id": ids[order][top.ravel()], "score": counts[which, top.ravel()] / sizes[which]})
+
+    sides = [(df, max(1, math.ceil(df.count() / size))) for df, size in ((asked, block), (rows, 4 * block))]
+    (a, x), (b, y) = sides
+    a = a.select("query_id", "words", F.pmod(F.xxhash64("query_id"), F.lit(x)).alias("qb"), F.explode(F.expr(f"sequence(0L, {y - 1}L)")).alias("rb"))
+    b = b.select("row_id", "words", F.explode(F.expr(f"sequence(0L, {x - 1}L)")).alias("qb"), F.pmod(F.xxhash64("row_id"), F.lit(y)).alias("rb"))
+    each = a.groupBy("qb", "rb").cogroup(b.groupBy("qb", "rb")).applyInPandas(best, "query_id long, row_id long, score double")
+    return top_per_group(each, n, [F.desc("score"), F.col("row_id")], "query_id").drop("place")
+
+
 def quota_sample(df: DataFrame, stratum: str, quotas: dict[str, int], key: str, seed: int = 42) -> DataFrame:
     """Exactly the quota of each stratum (or all it has), drawn by a hash of the key."""
     quota = F.coalesce(*(F.when(F.col(stratum) == s, F.lit(n)) for s, n in quotas.items()), F.lit(0))

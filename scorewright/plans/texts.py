@@ -241,12 +241,10 @@ def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("claim_search", """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark WHERE item_id % 20 = 0), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM documents),
 s AS (SELECT item_id, doc_id, len(list_intersect(q.w, d.w)) / len(q.w) AS s FROM q, d WHERE len(q.w) > 0) SELECT item_id, doc_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS r FROM s) WHERE r <= 3""")
 def claim_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three documents that hold most of each stated query's words, found by an inverted index of the queries' words."""
-    from scorewright.operators.aggregates import top_per_group
-
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), 0))
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    index = asked.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.coalesce("text", F.lit("")))).alias("word"))
-    scored = docs.join(index, "word").groupBy("item_id", "doc_id", "n").agg((F.count("*") / F.col("n")).alias("s"))
-    return top_per_group(scored, 3, [F.desc("s"), F.col("doc_id")], "item_id").select("item_id", "doc_id", F.round("s", 6).alias("score"))
+    """The three documents that hold most of each stated query's words, in blocks of queries and documents."""
+    from scorewright.operators.aggregates import best_by_words
+
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), words(F.coalesce("text", F.lit(""))).alias("words"))
+    return best_by_words(asked, docs, 3).select(F.col("query_id").alias("item_id"), F.col("row_id").alias("doc_id"), F.round("score", 6).alias("score"))

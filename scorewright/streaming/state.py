@@ -40,10 +40,17 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there, into a table in memory."""
-    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs the stream over what is there since the last time, each batch into a folder of its own below `path`, and returns all of them.
+
+    A batch that is run again after a failure overwrites its folder. Rows have their batch's number.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", path).parquet(path)
 
 
 def keep_best(stream: DataFrame, path: str, checkpoint: str, keep: int = 5, least: float = 0.04) -> None:
