@@ -186,6 +186,38 @@ def containment(claim: Column, page: Column) -> Column:
     return F.when(F.size(claim) == 0, 0.0).otherwise(F.size(F.array_intersect(claim, page)) / F.nullif(F.size(claim), F.lit(0)))
 
 
+# Headings of sections that are about the report itself, and shop pages that are no products.
+META_HEADING = r"(?iU)^#{1,6}\s+(methodology|limitations?|future research|future work|survey note|literature review|critical discussion|key citations|research methodology|data extraction|theoretical framework|data access|access limitations|extraction challenges|future research directions)\b"
+NO_PRODUCTS = ["home-kitchen", "office-products", "electronics", "health-household", "cell-phones-accessories", "beauty-personal-care", "sports-outdoors", "grocery-gourmet-food", "video-games", "clothing-shoes-jewelry", "baby", "toys-games", "pet-supplies", "tools-home-improvement", "automotive", "patio-lawn-garden", "kitchen-dining", "cell-phones", "computers-accessories", "musical-instruments"]
+
+
+def product_links(md: Column) -> Column:
+    """Distinct products that a report links to: slugs with two hyphens or more, and numbers."""
+    slugs = F.transform(F.regexp_extract_all(md, F.lit(r"(?i)http://localhost:7770/([a-z0-9][a-z0-9\-]+)\.html"), F.lit(1)), F.lower)
+    named = F.filter(slugs, lambda s: ~s.isin(NO_PRODUCTS) & (F.regexp_count(s, F.lit("-")) >= 2))
+    numbers = F.regexp_extract_all(md, F.lit(r"(?i)http://localhost:7770/catalog/product/view/id/(\d+)"), F.lit(1))
+    return F.array_distinct(F.concat(named, F.transform(numbers, lambda n: F.concat(F.lit("#"), n))))
+
+
+def post_links(md: Column) -> Column:
+    """Distinct forum posts that a report links to."""
+    return F.array_distinct(F.regexp_extract_all(md, F.lit(r"http://localhost:9999/f/[A-Za-z0-9_]+/(\d+)"), F.lit(1)))
+
+
+def meta_ratio(md: Column) -> Column:
+    """Share of a report's words that stand in sections about the report itself; zero for a report without words."""
+    parts = F.split(F.concat(F.lit("\n"), md), r"(?dU)\n(?=#{1,6}\s+)")
+    under = lambda p: F.when(p.rlike(META_HEADING), tokens(F.regexp_replace(p, r"(?d)^[^\n]*", ""))).otherwise(0)
+    return F.coalesce(F.aggregate(F.transform(parts, under), F.lit(0), lambda a, n: a + n) / F.nullif(tokens(md), F.lit(0)), F.lit(0.0))
+
+
+def evidence(md: Column, products: int = 6, posts: int = 4) -> Column:
+    """(products, posts, meta_ratio, score) of a report: 0.4 for so many products, 0.3 for so many posts, 0.3 for words that are not about the report itself."""
+    counted = F.struct(F.size(product_links(md)).alias("products"), F.size(post_links(md)).alias("posts"), meta_ratio(md).alias("meta_ratio"))
+    score = lambda c: 0.4 * F.least(F.lit(1.0), c["products"] / products) + 0.3 * F.least(F.lit(1.0), c["posts"] / posts) + 0.3 * F.greatest(F.lit(0.0), 1 - c["meta_ratio"])
+    return let(counted, lambda c: F.struct(c["products"].alias("products"), c["posts"].alias("posts"), c["meta_ratio"].alias("meta_ratio"), score(c).alias("score")))
+
+
 def prose_sentences(text: Column, least: int = 30, most: int = 400) -> Column:
     """Sentences of a report without headings, tables, bullets, links and code, of `least` to `most` characters."""
     flat = text
