@@ -122,10 +122,10 @@ def best_by_words(asked: DataFrame, rows: DataFrame, n: int, block: int = 2000)
 
 
 def quota_sample(df: DataFrame, stratum: str, quotas: dict[str, int], key: str, seed: int = 42) -> DataFrame:
-    """Exactly the quota of each stratum (or all it has), drawn by a hash of the key."""
+    """Exactly the quota of each stratum (or all it has), drawn by a digest of seed and key; strata without a quota have none."""
     quota = F.coalesce(*(F.when(F.col(stratum) == s, F.lit(n)) for s, n in quotas.items()), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return df.withColumn("place", place).where(F.col("place") <= quota).drop("place")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("/", F.lit(seed), F.col(key))), key))
+    return df.where(F.col(stratum).isin(list(quotas))).withColumn("_place", place).where(F.col("_place") <= quota).drop("_place")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -107,16 +107,15 @@ def last_event_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.latest_override(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], F.col("event_id"))
 
 
-@query("quota_sample", "SELECT least(count(*), CASE event_type WHEN 'view' THEN 45 WHEN 'click' THEN 30 WHEN 'error' THEN 25 END)::BIGINT AS n, event_type FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY event_type")
+@query("quota_sample", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42/' || event_id), event_id) AS place FROM events) WHERE place <= CASE event_type WHEN 'view' THEN 45 WHEN 'click' THEN 30 WHEN 'error' THEN 25 ELSE 0 END")
 def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = aggregates.quota_sample(table(spark, sf_dir, "events"), "event_type", {"view": 45, "click": 30, "error": 25}, "event_id")
-    return drawn.groupBy("event_type").agg(F.count("*").alias("n"))
+    return aggregates.quota_sample(table(spark, sf_dir, "events"), "event_type", {"view": 45, "click": 30, "error": 25}, "event_id").select("event_type", "event_id")
 
 
-@query("top_three_both_ways", f"WITH {SUBMISSIONS_SQL}, a AS (SELECT post_id FROM submissions ORDER BY score DESC, post_id LIMIT 30), b AS (SELECT post_id FROM submissions ORDER BY comments DESC, post_id LIMIT 30) SELECT count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
+@query("top_three_both_ways", f"WITH {SUBMISSIONS_SQL}, a AS (SELECT post_id FROM submissions ORDER BY score DESC, post_id LIMIT 3), b AS (SELECT post_id FROM submissions ORDER BY comments DESC, post_id LIMIT 3) SELECT count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b)")
 def top_three_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = views.submissions(spark, sf_dir)
-    top = lambda by: posts.orderBy(F.desc(by), "post_id").limit(30).select("post_id")
+    top = lambda by: posts.orderBy(F.desc(by), "post_id").limit(3).select("post_id")
     return top("score").intersect(top("comments")).agg(F.count("*").alias("n"))
 
 
@@ -178,21 +177,12 @@ def top_posts_then_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.top_per_group(items, 3, [F.desc("l_extendedprice"), F.col("l_linenumber")], "l_orderkey")
 
 
-@query("nearest_vectors", """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS s FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id < 5)
-SELECT query_id, match_id, round(s, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS r FROM p) WHERE r <= 3""")
-def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest to each of the five vectors that its SQL names; nearest_vectors_every_20th asks for a twentieth of all."""
-    from scorewright.functions.numeric import cosine
+_NEAREST = """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS s FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, match_id, round(s, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS r FROM p) WHERE r <= 3"""
 
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = v.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("match_id"), cosine(F.col("q"), F.col("embedding")).alias("s"))
-    best = aggregates.top_per_group(scored, 3, [F.desc("s"), F.col("match_id")], "query_id")
-    return best.select("query_id", "match_id", F.round("s", 5).alias("cosine"))
 
-
-@query("nearest_vectors_every_20th", """WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS s FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, match_id, round(s, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, match_id) AS r FROM p) WHERE r <= 3""")
+@query("nearest_vectors", _NEAREST)
+@query("nearest_vectors_every_20th", _NEAREST)
 def nearest_vectors_every_20th(spark: SparkSession, sf_dir: str, block: int = 8192) -> DataFrame:
     """The three nearest to every vector whose id is divisible by 20, among all vectors."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where("embedding is not null")
