@@ -250,7 +250,10 @@ def sniff(df: DataFrame, media_column: str = "media", declared_column: str = "de
 
 
 def carve(df: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """(id, type, offset, length, bytes): a row for each medium embedded in the rows of sniff()."""
+    """(id, type, offset, length, bytes): a row for each medium embedded in the rows of sniff().
+
+    Rows without any, null bytes among them, give none; repeated rows give theirs each; an empty table gives none.
+    """
     rows = df.selectExpr(id_column, media_column, "explode(embedded) AS e")
     return rows.selectExpr(id_column, "e.type", "e.offset", "e.length", f"substring({media_column}, cast(e.offset + 1 AS int), cast(e.length AS int)) AS bytes")
 
@@ -259,7 +262,8 @@ def describe(sniffed: DataFrame) -> DataFrame:
     """Digests of stored WAVs and of their samples, for rows of store_texts() after sniff().
 
     feature names the confirmed type, the number of samples, their mean and deviation, how often they change, and
-    the embedded media.
+    the embedded media. What is no WAV has no samples and is silent. Every row gives one, repeated rows alike; an
+    empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

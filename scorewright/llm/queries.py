@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, and their SQL where SQL can say the same."""
+"""The registered queries of this subpackage, and their SQL where SQL can say the same.
+
+Each applies its operator to its whole table. Null texts are empty ones; empty and very long texts, ties, repeated
+rows and empty tables have the results that the operator's docstring states; other columns are ignored.
+"""
 
 from __future__ import annotations
 
@@ -17,26 +21,31 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact fingerprints of whole texts and of texts with their last half replaced by the next document's beginning."""
     return fingerprints.spliced(documents(spark, sf_dir))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and checksums of every text's pieces, and whether decoding gives the text back."""
     coded = pieces.recode_pieces(documents(spark, sf_dir).select("doc_id", "text"), PIECES)
     return coded.select("doc_id", (F.length("piece_ids") / 4).cast("long").alias("n_pieces"), F.crc32("piece_ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == whole_text()).alias("same_text"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to files in order of doc_id and read back: where each begins, how many, and their checksum."""
     path = shared_dir(spark)
     token_files.write_ids(documents(spark, sf_dir), path, WORD_BPE, end_id=2)
     return token_files.summarise(token_files.read_ids(spark, path))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of at most 2048 ids."""
     packed = packing.pack(documents(spark, sf_dir), WORD_BPE, window=2048, end_id=1)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document, and whether the pipeline would keep it."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model)
@@ -45,27 +54,32 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles of every document, and the smallest id that links of three bits reach."""
     found = simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as samples of a WAV, sniffed and read back: digests and a feature."""
     stored = through_files(media.store_texts(documents(spark, sf_dir)))
     return media.describe(media.sniff(stored))
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the site's and the own rules on every page's URL."""
     judged = url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     site = [r.text for r in url_rules.SITE_RULES]
     return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(site), F.col("rule")).alias("rule"), "verdict")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret in every text, with its place and the forest's probability."""
     found = secrets.find_secrets(documents(spark, sf_dir), secrets.default_model(spark))
     return found.select("doc_id", "start", "length", "shape", F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "is_secret")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, how many of them repeat earlier passages, and a digest of what stays."""
     found = line_dedup.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "lines", "removed_lines", F.char_length(whole_text()).cast("long").alias("n_chars"), F.sha2(whole_text(), 256).alias("text_sha256"))
 
