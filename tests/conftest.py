@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def spark(tmp_path_factory: pytest.TempPathFactory) -> Iterator[SparkSession]:
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.executorEnv.PYTHONPATH": str(REPO),
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")), "spark.executorEnv.PYTHONPATH": str(REPO), "spark.sql.codegen.wholeStage": "false",
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
