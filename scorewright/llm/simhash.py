@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import slices, through_files
+from scorewright.llm.common import hot_keys, join_unique, slices, through_files
 
 #: A fingerprint has this many blocks; pairs with up to `distance` other bits share all but `distance` of them.
 BLOCKS = 6
@@ -196,12 +196,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks:
     as they went in; an empty table gives no rows; other columns are ignored.
     """
     prints = through_files(fingerprints(docs, words, id_column, text_column))
-    distinct = through_files(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
+    distinct = through_files(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("fingerprint"), distance, blocks, bucket))
     named = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = named.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return join_unique(prints, names, "fingerprint", hot_keys(distinct, "fingerprint")).select("doc_id", "fingerprint", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = BLOCKS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -166,6 +166,14 @@ def test_op6_edges(edge, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_op6_hot_fingerprint(spark):
+    """One text in most rows goes another way through the join, to the same result."""
+    rows = [(i, "the same words again and again" if i % 3 else f"words of {i} alone {i * 7}") for i in range(3000)]
+    found = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == 3000 and len({found[i].component_id for i in found if i % 3}) == 1
+    assert all(found[i].fingerprint % (1 << 64) == fingerprint(t) for i, t in rows[:30])
+
+
 # -- media -----------------------------------------------------------------------------------------------------------
 
 
