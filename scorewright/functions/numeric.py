@@ -47,8 +47,14 @@ def grade(score: Column) -> Column:
     return label.otherwise("F")
 
 
-def evidence_density(products: Column, posts: Column, meta: Column) -> Column:
-    return 0.4 * F.least(products / 6, F.lit(1.0)) + 0.3 * F.least(posts / 4, F.lit(1.0)) + 0.3 * F.greatest(F.lit(0.0), 1 - meta)
+def evidence_density(products: Column, posts: Column, meta: Column, enough_products: int = 6, enough_posts: int = 4) -> Column:
+    """0.4 for enough products, 0.3 for enough posts, 0.3 for words that are not about the report itself."""
+    return 0.4 * F.least(F.lit(1.0), products / enough_products) + 0.3 * F.least(F.lit(1.0), posts / enough_posts) + 0.3 * F.greatest(F.lit(0.0), 1 - meta)
+
+
+def cost_efficiency(cost: Column, seconds: Column, budget: float = 0.10, time_budget: float = 300.0) -> Column:
+    """Seven tenths for cost and three for time, each full within its budget and nothing at three times it."""
+    return 0.7 * decay(cost, budget) + 0.3 * decay(seconds, time_budget)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scorewright.functions import numeric
+
 # Patterns of citations in reports.
 MD_LINK = r"(?U)\[[^\]]*\]\(https?://[^)\s]+\)"
 MD_URL = r"(?U)\[[^\]]*\]\((https?://[^)\s]+)\)"
@@ -212,9 +214,9 @@ def meta_ratio(md: Column) -> Column:
 
 
 def evidence(md: Column, products: int = 6, posts: int = 4) -> Column:
-    """(products, posts, meta_ratio, score) of a report: 0.4 for so many products, 0.3 for so many posts, 0.3 for words that are not about the report itself."""
+    """(products, posts, meta_ratio, score) of a report: links to products and posts against so many of each, and words that are not about the report itself."""
     counted = F.struct(F.size(product_links(md)).alias("products"), F.size(post_links(md)).alias("posts"), meta_ratio(md).alias("meta_ratio"))
-    score = lambda c: 0.4 * F.least(F.lit(1.0), c["products"] / products) + 0.3 * F.least(F.lit(1.0), c["posts"] / posts) + 0.3 * F.greatest(F.lit(0.0), 1 - c["meta_ratio"])
+    score = lambda c: numeric.evidence_density(c["products"], c["posts"], c["meta_ratio"], products, posts)
     return let(counted, lambda c: F.struct(c["products"].alias("products"), c["posts"].alias("posts"), c["meta_ratio"].alias("meta_ratio"), score(c).alias("score")))
 
 

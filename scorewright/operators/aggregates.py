@@ -58,12 +58,6 @@ def nearest_in_blocks(asked: DataFrame, vectors: DataFrame, n: int, block: int)
     return a.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInPandas(best, "query_id long, match_id long, s double")
 
 
-def outliers(df: DataFrame, group: str, value: str, times: float = 3.0, least: int = 4) -> Column:
-    """Whether a row is over `times` sample deviations from its group's median, in groups of `least` rows or more."""
-    w = Window.partitionBy(group)
-    return (F.count("*").over(w) >= least) & (F.abs(F.col(value) - F.median(value).over(w)) > times * F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)))
-
-
 def in_every_group(df: DataFrame, item: str, group: str) -> DataFrame:
     """Relational division: the items that occur with every group."""
     groups = df.agg(F.count_distinct(group).alias("all"))
