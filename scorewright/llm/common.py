@@ -87,9 +87,9 @@ def hot_keys(counts: DataFrame, key: str, rows: str = "copies") -> DataFrame | N
 
     There are HOT_KEYS of them at most at any size, as each has more than that part of all rows.
     """
-    total = counts.agg(F.sum(rows)).first()[0] or 0
-    hot = counts.where(F.col(rows) > max(HOT_ROWS, total // HOT_KEYS)).select(key)
-    return through_files(hot) if hot.limit(1).count() else None
+    total, most = counts.agg(F.sum(rows), F.max(rows)).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    return through_files(counts.where(F.col(rows) > limit).select(key)) if (most or 0) > limit else None
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
