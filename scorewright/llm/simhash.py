@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import hot_keys, join_unique, slices, through_files
@@ -180,9 +180,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(least, "a")
         moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", "m"))
-        edges = through_files(moved.distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state:
+        seen = Observation()  # counted while they are written, so that a round is one job
+        edges = through_files(moved.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("hash")))
+        now = (seen.get["n"], seen.get["hash"])
+        if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
 
