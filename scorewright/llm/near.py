@@ -22,8 +22,8 @@ WORDS, PERCENT = 5, 80
 WIDE, BLOCK, CHECK, RADIUS = 4096, 22, 128, 28
 BLOCKS = (WIDE - CHECK) // BLOCK
 
-#: Parts over which the members of a large group are spread.
-SALT = 32
+#: Members of a group that all others are compared with first, and parts over which the members of a large group are spread.
+PIVOTS, SALT = 8, 32
 
 _RNG = np.random.default_rng(42)
 _SIGNS = _RNG.choice(np.array([-1.0, 1.0], np.float32), (3, WIDE))
@@ -92,7 +92,10 @@ def _signed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (key, check_a, check_b, node) sorted by key: links (a, b) that connect all nodes of a key within RADIUS bits."""
+    """For rows (key, check_a, check_b, node) sorted by key: links (a, b) that connect all nodes of a key within RADIUS bits.
+
+    Of a key's nodes each b has one a at most where many meet, and as many as there are others where few do.
+    """
 
     def links(key: np.ndarray, check: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         far = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1)
@@ -118,7 +121,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     queue += found.tolist()
                     left = left[~hit]
         x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     key, check, node = np.zeros(0, np.int32), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
     for batch in batches:
@@ -132,90 +135,60 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(key, check, node)
 
 
-def close_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Places of sets that hold together all those that agree in PERCENT, though not one pair for each.
-
-    Each one reached is compared with all those not yet reached whose size allows it.
-    """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    size = np.array([len(sets[i]) for i in order])
-    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    start = np.cumsum(size) - size
-    mark, left, out = np.zeros(len(names), np.int64), np.arange(len(order)), []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            here = queue.pop()
-            a, b = np.searchsorted(size[left] * 100, size[here] * PERCENT), np.searchsorted(size[left] * PERCENT, size[here] * 100, side="right")
-            near = left[a:b]
-            if not len(near):
-                continue
-            own = flat[start[here] : start[here] + size[here]]
-            mark[own] = 1
-            lengths = size[near]
-            ends = np.cumsum(lengths)
-            at = np.repeat(start[near] - (ends - lengths), lengths) + np.arange(ends[-1])
-            both = np.add.reduceat(mark[flat[at]], ends - lengths)
-            mark[own] = 0
-            hit = both * 100 >= (size[here] + lengths - both) * PERCENT
-            if hit.any():
-                found = near[hit]
-                out += [(int(order[here]), int(order[f])) for f in found]
-                queue += found.tolist()
-                left = np.concatenate([left[:a], near[~hit], left[b:]])
-    return out
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (root, doc_id, text) sorted by root: (a, b) of ids whose shingle sets agree."""
-
-    def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = [(ids[x], ids[y]) for x, y in close_pairs(sets)] if len(sets) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    """For rows (root, part, asked, node, text), sorted so that the asked of a root and part come first: links (a, b) that connect them as all do where a node agrees with an asked one.
 
-    root, ids, sets = None, [], []
-    for batch in batches:
-        for r, i, text in zip(*(batch.column(c).to_pylist() for c in ("root", "doc_id", "text")), strict=True):
-            if r != root:
-                yield links(ids, sets)
-                root, ids, sets = r, [], []
-            found = shingles(text or "")
-            if len(found):
-                ids.append(i)
-                sets.append(found)
-    yield links(ids, sets)
-
-
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (root, node, text, pivot, pivot_text): root, node, pivot and how many hundredths of all their shingles both have."""
-    last, known = None, np.zeros(0, np.uint64)
+    One link for each node, and one more wherever a node is the first to bring two of the asked together.
+    """
+    here, nodes, sizes, flat = None, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    asked: list[tuple[int, np.ndarray]] = []
+    top = np.zeros(0, np.int64)
     for batch in batches:
-        out = []
-        for root, text, pivot in zip(batch.column("root").to_pylist(), batch.column("text").to_pylist(), batch.column("pivot_text").to_pylist(), strict=True):
-            if root != last:
-                last, known = root, shingles(pivot or "")
+        a, b = [], []
+        for root, part, is_asked, node, text in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "asked", "node", "text")), strict=True):
             own = shingles(text or "")
-            both = len(np.intersect1d(own, known, assume_unique=True))
-            out.append(100.0 * both / max(1, len(own) + len(known) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(out, pa.float64())], names=["root", "node", "percent"])
-
+            if (root, part) != here:
+                here, asked, flat = (root, part), [], None
+            if is_asked:
+                asked.append((node, own))
+                continue
+            if flat is None:
+                nodes, sizes = np.array([n for n, _ in asked], np.int64), np.array([len(x) for _, x in asked], np.int64)
+                flat = np.concatenate([x for _, x in asked]) if asked else np.zeros(0, np.uint64)
+                top = np.arange(len(asked))  # which of the asked hang together so far
+            if len(flat) and len(own):
+                at = np.searchsorted(own, flat)
+                both = np.add.reduceat((own[np.minimum(at, len(own) - 1)] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                hit = np.flatnonzero((both * 100 >= (sizes + len(own) - both) * PERCENT) & (nodes != node))
+                if len(hit):
+                    sets, first = np.unique(top[hit], return_index=True)
+                    a += nodes[hit[first]].tolist()
+                    b += [node] * len(first)
+                    if len(sets) > 1:
+                        top[np.isin(top, sets)] = sets[0]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _links_of(asked: DataFrame, members: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Links (a, b) between the asked (root, node) and all members (root, node, text) of their groups whose sets agree.
+
+    Members of hot groups are spread over SALT parts, to each of which the asked of the group go.
+    """
+    parts = F.sequence(F.lit(0), F.lit(SALT - 1)) if hot is not None else F.array(F.lit(0))
+    marked = members.join(asked.select("root").distinct(), "root", "left_semi")
+    marked = marked.withColumn("hot", F.lit(False)) if hot is None else marked.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "root", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spread = lambda several, one: F.when(F.col("hot"), several).otherwise(one)
+    first = marked.join(asked, ["root", "node"], "left_semi").select("root", F.explode(spread(parts, F.array(F.lit(0)))).alias("part"), F.lit(True).alias("asked"), "node", "text")
+    others = marked.select("root", spread(F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"), F.lit(0)).alias("part"), F.lit(False).alias("asked"), "node", "text")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.union(others).repartition(n, "root", "part").sortWithinPartitions("root", "part", F.desc("asked")).mapInArrow(_compare, "a long, b long")
 
-def _against_least(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(root, node, percent) for all members (root, node, text) of groups but the root itself: how far they agree with the root's text.
 
-    Large groups are spread: their root's text goes to SALT parts, and each member to one of them.
-    """
-    hot = hot_keys(sizes, "root", "members")
-    part = F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")
-    parts = F.sequence(F.lit(0), F.lit(SALT - 1))
-    if hot is None:
-        part, parts = F.lit(0), F.array(F.lit(0))
-        marked = members.withColumn("hot", F.lit(False))
-    else:
-        marked = members.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "root", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    pivots = marked.where("node = root").select("root", F.col("text").alias("pivot_text"), F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit(0)))).alias("part"))
-    others = marked.where("node != root").withColumn("part", F.when(F.col("hot"), part).otherwise(F.lit(0))).select("root", "node", "text", "part")
-    return others.join(pivots, ["root", "part"]).select("root", "node", "text", "pivot_text").mapInArrow(_agree, "root long, node long, percent double")
+def _thinned(met: DataFrame) -> DataFrame:
+    """Links that connect what `met` (a, b) does, about one for each node: each b to its least a, and that to its others, of which there are BLOCKS at most but for pairs."""
+    each = met.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("all"))
+    least = F.least(F.get("all", F.lit(0)), F.col("b"))
+    return each.select(least.alias("a"), F.explode(F.concat("all", F.array("b"))).alias("b")).where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -223,33 +196,40 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Texts link where 0.8 or more of all their distinct five-word shingles are in both. Equal sets are linked first, by
     a 128-bit digest. Of the others, SimHash fingerprints are split into blocks; those that share a block and are
-    within RADIUS bits are candidates, and candidates that hang together are a group. In each group all are compared
-    with its smallest id, spread over tasks, so a large group whose texts hold together is settled there. What does
-    not agree with the smallest id is compared within a task, together with those that could lie between: as
-    1 - agreement is a distance, these agree no more with the smallest id than the closest of the others does, plus
-    0.2. Nothing is linked by its fingerprint alone. Null and empty texts are one class; rows with a null id get no
-    row; repeated rows give theirs each; an empty table gives none; other columns are ignored.
+    within RADIUS bits are candidates, and candidates that hang together are a group. Nothing is linked by its
+    fingerprint alone: all members of a group are compared with PIVOTS of them by their sets, which settles groups
+    that hold together; what that does not link to the group's smallest id is then compared with every member.
+    Members of large groups are spread over tasks, and no task holds a group, only what it is compared with.
+
+    Null and empty texts are one class; rows with a null id get no row; repeated rows give theirs each; an empty table
+    gives none; other columns are ignored.
     """
     rows = docs.where(F.col(id_column).isNotNull())
     signed = through_files(_signed(rows, id_column, text_column))
     distinct = through_files(signed.groupBy("copy").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("check_a", "check_b", "keys"))))
     keys = distinct.select(F.explode("keys").alias("key"), "check_a", "check_b", "node")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_met, "a long, b long").distinct()
-    groups = components(met)
+    # Sorted by node, so that the members of a group meet the same few of it under most keys.
+    met = keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_met, "a long, b long")
+    groups = components(_thinned(met))
     groups = through_files(groups.union(groups.select("root", "root")).distinct())
     texts = rows.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    members = through_files(texts.join(groups, texts.doc_id == groups.node).select("root", "node", "text"))
-    sizes = through_files(groups.groupBy("root").agg(F.count("*").alias("members")))
-    agreed = through_files(_against_least(members, sizes))
-    # The closest that does not agree with the root, and all that don't agree with it more than that by a further 0.2.
-    open_ = agreed.where(F.col("percent") < PERCENT).groupBy("root").agg(F.max("percent").alias("closest"))
-    between = agreed.join(open_, "root").where(F.col("percent") <= F.col("closest") + (100 - PERCENT) + 1e-6).select("root", "node")
-    rest = members.join(between.distinct(), ["root", "node"]).select("root", F.col("node").alias("doc_id"), "text")
-    found = rest.repartition(n, "root").sortWithinPartitions("root").mapInArrow(_compare, "a long, b long")
-    direct = agreed.where(F.col("percent") >= PERCENT).select(F.col("root").alias("a"), F.col("node").alias("b"))
-    roots = components(direct.union(found))
-    named = distinct.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
+    members = through_files(texts.join(groups, texts.doc_id == groups.node).select("root", "node", "text").distinct())
+    hot = hot_keys(groups.groupBy("root").agg(F.count("*").alias("members")), "root", "members")
+    least = groups.groupBy("root").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("hash"), "node")).alias(f"p{i}") for i in range(1, PIVOTS)))
+    pivots = least.select("root", F.explode(F.array_distinct(F.array("root", *(f"p{i}.node" for i in range(1, PIVOTS))))).alias("node"))
+    links = through_files(_links_of(pivots, members, hot))
+    settled = components(links)
+    left = through_files(groups.join(settled.withColumnRenamed("root", "top"), "node", "left").where(F.coalesce("top", "node") != F.col("root")).select("root", "node"))
+    named = distinct.join(settled, "node", "left").select("copy", F.coalesce("root", "node").alias("top"))
+    if left.limit(1).count():  # what is settled counts as one from here on
+        tops = settled.select("node", F.col("root").alias("top"))
+        more = _links_of(left, members, hot)
+        for side in ("a", "b"):
+            more = more.join(tops.withColumnsRenamed({"node": side, "top": f"top_{side}"}), side, "left").withColumn(side, F.coalesce(f"top_{side}", side)).drop(f"top_{side}")
+        roots = components(more.where("a != b").distinct())
+        named = named.join(roots.withColumnRenamed("node", "top"), "top", "left").withColumn("top", F.coalesce("root", "top"))
+    named = named.select("copy", F.col("top").alias("component_id"))
     return join_unique(signed.select("doc_id", "copy"), named, "copy", hot_keys(distinct, "copy")).select("doc_id", "component_id")
 
 
