@@ -134,7 +134,9 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 7) -> RandomForestC
     """A random forest on labelled findings (candidate, before, after, path, label)."""
     table = findings.select("label", features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).alias("f")).select("label", "f.*")
     table = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).select("label", "features")
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=7).fit(table)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=7).fit(table)
+    model._java_obj.setSummary(table.sparkSession._jvm.scala.Option.empty())  # it holds the training rows and the session
+    return model
 
 
 def forest_probability(model: RandomForestClassificationModel, f: Column) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import hot_keys, join_unique, slices, through_files
@@ -168,26 +168,29 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = BLOCKS, bucket: in
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (a, b) reaches.
 
-    Alternating large-star and small-star rounds; each round is a table in the shared folder, and rounds end when
-    none of its links moved.
+    Alternating large-star and small-star rounds; every second round is a table in the shared folder, and they end
+    when two such tables hold the same links.
     """
     edges = through_files(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"))
     state = None
     while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a")
-        moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", "m"))
-        seen = Observation()  # counted while they are written, so that a round is one job
-        edges = through_files(moved.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("hash")))
-        now = (seen.get["n"], seen.get["hash"])
+        edges = through_files(_starred(_starred(edges)))
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
 
 
+def _starred(edges: DataFrame) -> DataFrame:
+    """Links after a large-star and a small-star round: larger neighbours, then all others, move to the least one."""
+    both = edges.union(edges.select("b", "a"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", "m")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = BLOCKS, bucket: int = BUCKET, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id, the smallest doc_id that links reach.
 

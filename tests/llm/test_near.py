@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 from conftest import SF
-from scorewright.llm import near, stages
+from scorewright.llm import near, simhash, stages
 
 from .conftest import EDGE
 
@@ -130,3 +130,15 @@ def test_edges(edge, empty):
     left = near.drop_near_duplicates(edge)
     assert left.columns == edge.columns and sum(r.doc_id is None for r in left.collect()) == 2
     assert near.near_duplicates(empty).count() == 0 and near.drop_near_duplicates(empty).count() == 0
+
+
+def test_op6_leaves_the_session_as_it_was(spark):
+    """Spark's own classifiers work in the session after op6 has run in it."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    rows = spark.createDataFrame([(i, f"some words {i // 2} and more of them") for i in range(20)], "doc_id long, text string")
+    assert simhash.near_duplicates(rows).count() == 20
+    table = spark.createDataFrame([(float(i % 2), Vectors.dense([i % 2, i])) for i in range(40)], ["label", "features"])
+    for learner in (RandomForestClassifier(numTrees=3, seed=1), LogisticRegression()):
+        assert learner.fit(table).transform(table).select("prediction").distinct().count() == 2
