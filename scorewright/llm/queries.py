@@ -12,13 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import fingerprints, line_dedup, media, packing, pieces, quality, secrets, simhash, token_files, url_rules
+from scorewright.llm import conversations, fingerprints, jaccard, line_dedup, media, merkle, oracles, packing, pieces, quality, secrets, simhash, token_files, url_rules
 from scorewright.llm.common import documents, shared_dir, through_files, whole_text
 
 #: The vocabularies that the token queries use.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact fingerprints of whole texts and of texts with their last half replaced by the next document's beginning."""
@@ -84,6 +86,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines", "removed_lines", F.char_length(whole_text()).cast("long").alias("n_chars"), F.sha2(whole_text(), 256).alias("text_sha256"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its tree's root and the root of all, its proof, and whether a tampered text is told by it."""
+    docs = documents(spark, sf_dir)
+    fields = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(changed, fields(F.translate("text", UPPER, UPPER.lower())))
+    rows = docs.select("doc_id", "lang", fields(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    proven = merkle.proofs(rows, other_column="tampered")
+    folded = merkle.folded(F.coalesce("other", "leaf"), F.col("path")).alias("folded_root")
+    told = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded)
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage by rule: its faults, the cheapest repair and the digest of what that gives."""
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    damage = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.translate(blank("text"), ".!?", "")).otherwise(blank("text"))
+    role = F.when(damage == 4, "user").otherwise(blank("role"))
+    rows = told.where(damage != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(damage == 3, 2).otherwise(1))).alias("copy"))
+    repaired = conversations.repair(rows.drop("copy")).withColumnRenamed("conv_id", "_conv")
+    every = told.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of every document's set of three-word shingles, and the smallest id that links of 0.9 reach."""
+    return jaccard.jaccard_join(documents(spark, sf_dir), words=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_pieces": op2_pieces,
@@ -95,9 +129,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_manifest": op11_manifest,
+    "op12_repair": op12_repair,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_manifest": oracles.manifest(),
+    "op12_repair": oracles.repair(),
+    "op13_jaccard": oracles.jaccard(),
     "op8_url_rules": r"""
 WITH cut AS (
   SELECT page_id, lower(coalesce(url, '')) AS low,
