@@ -31,10 +31,13 @@ STUCK = 0.8
 
 @cache
 def size_classes(percent: int) -> list[int]:
-    """First sizes of the classes: sets of which `percent` hundredths can be shared are in one class or in neighbouring ones."""
+    """First sizes of the classes: sets of which `percent` hundredths can be shared are in one class or in neighbouring ones.
+
+    Three steps of that share make a class: a set is then in one level or two, and together these have the fewest parts.
+    """
     edges = [1]
     while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, -(-edges[-1] * 100 // percent)))
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * 100**3 // percent**3)))
     return edges
 
 
@@ -276,13 +279,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     distinct = through_files(known.groupBy("copy").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
     keys = distinct.select(F.explode("keys").alias("key"), "node")
     met = through_files(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("size")).where("size > 1"))
-    more = keys.join(met.where("size > 2").select("key", "pivot"), "key").select("pivot", "node")
+    more = keys.join(met.where("size > 2").select("key", "pivot").hint("merge"), "key").select("pivot", "node")  # as many keys as there are near copies: never a table to broadcast
     near = through_files(met.where("size = 2").select("pivot", F.col("last").alias("node")).union(more).where("pivot != node").distinct())
     regions = near.select(F.col("pivot").alias("region"), "node").union(near.select("pivot", "pivot").distinct()).withColumn("tile", F.lit(False))
     texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
     edges = _same_ids(known, distinct)
     while True:
-        members = through_files(texts.join(regions, "node").select("region", "node", "text", "tile").distinct())
+        asked = texts.join(regions.select("node").distinct(), "node", "left_semi")  # ids alone are few enough to go to the texts for longest
+        members = through_files(asked.join(regions, "node").select("region", "node", "text", "tile").distinct())
         sizes = members.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).alias("bytes"), F.max("tile").alias("tile"))
         large = through_files(sizes.where(f"NOT tile AND members > 2 AND (members > {limit} OR bytes > {LIMIT_BYTES})"))
         if not large.limit(1).count():
