@@ -14,42 +14,56 @@ from pyspark.sql import types as T
 
 from scorewright.llm.common import hot_keys, join_unique, slices, through_files, unused
 
-#: Words that a chunk has at least on average, most lines of a chunk, and words of a line that counts as a passage by itself.
-CHUNK_WORDS, MOST, LONG = 8, 64, 50
+#: Lines of a chunk on average and at most; words that a chunk has at least to count; words that make any run of lines a passage.
+CHUNK_LINES, MOST, LEAST, LONG = 3, 64, 20, 50
+#: Of lines with this many words every one of a repeated passage of LONG words goes, however it is cut.
+CHUNK_WORDS = 8
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
 
 
-def chunk_ends(hashes: list[int], words: list[int]) -> list[int]:
-    """Ends (exclusive) of the chunks of a document whose lines have these hashes and numbers of words.
+def chunk_ends(hashes: list[int]) -> list[int]:
+    """Ends (exclusive) of the chunks of a document whose lines have these hashes.
 
-    A chunk ends between two lines where the rolling hash of the two says so. That hangs on them alone, so a passage
-    has the same chunks wherever it stands, but for those at its edges. The more words the longer of the two has, the
-    more often: one place in CHUNK_WORDS / words, so that chunks have few words however long the lines are, and a
-    line of CHUNK_WORDS words is a chunk of its own. A chunk has MOST lines at most, for the sake of equal lines.
+    A chunk ends between two lines where the rolling hash of the two says so: at one place in CHUNK_LINES, whatever
+    the lines are like. That hangs on the two alone, so a passage has the same chunks wherever it stands, but for those
+    at its edges. A chunk has MOST lines at most, for the sake of equal lines.
     """
     ends, start = [], 0
     for i in range(1, len(hashes)):
         rolled = (hashes[i - 1] * _MULTIPLIER + hashes[i]) * _MULTIPLIER & _MASK
-        if (rolled >> 32) % max(1, CHUNK_WORDS // max(words[i - 1], words[i])) == 0 or i - start >= MOST:
+        if (rolled >> 32) % CHUNK_LINES == 0 or i - start >= MOST:
             ends.append(i)
             start = i
     return [*ends, len(hashes)] if hashes else []
 
 
-def line_passages(text: str, seed: int = 0) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, 128-bit hash) of each run of lines that is looked for elsewhere; blank lines in it don't count.
+def runs_of(hashes: list[int], words: list[int]) -> set[tuple[int, int]]:
+    """(start, end) of the runs of lines that are looked for elsewhere.
 
-    These are the chunks of several lines and of one line of LONG words or more. A chunk of one shorter line is no
-    passage by itself: it is taken together with the chunk before it, and with the one after.
+    These are the content-defined chunks of several lines and LEAST words or more. No chunk lies in a passage of a
+    line or two for certain, as its edges hang on what stands beside it; so the shortest run of LONG words or more
+    from each line on is one too, and a repeated passage of so many words is found at any place, all of its lines.
     """
+    starts = [0, *(ends := chunk_ends(hashes))]
+    runs = {(a, b) for a, b in zip(starts, ends, strict=False) if b - a > 1 and sum(words[a:b]) >= LEAST}
+    end = total = 0
+    for start in range(len(words)):
+        while end < len(words) and total < LONG:
+            total += words[end]
+            end += 1
+        if total < LONG:
+            break
+        runs.add((start, end))
+        total -= words[start]
+    return runs
+
+
+def line_passages(text: str, seed: int = 0) -> list[tuple[int, int, bytes]]:
+    """(first line, lines, 128-bit hash) of each run of lines that is looked for elsewhere (runs_of); blank lines in it don't count."""
     raw = text.encode().split(b"\n")
     full = [i for i, line in enumerate(raw) if line.strip()]
     hashes, words = [xxhash.xxh64_intdigest(raw[i]) for i in full], [len(raw[i].split()) for i in full]
-    starts = [0, *(ends := chunk_ends(hashes, words))]
-    short = [b - a == 1 and words[a] < LONG for a, b in zip(starts, ends, strict=False)]
-    runs = [(a, b) for a, b, alone in zip(starts, ends, short, strict=False) if not alone]
-    runs += [(starts[k], ends[k + 1]) for k in range(len(ends) - 1) if short[k] or short[k + 1]]
-    return [(full[a], full[b - 1] - full[a] + 1, xxhash.xxh128_digest(b"\n".join(raw[i] for i in full[a:b]), seed)) for a, b in runs]
+    return [(full[a], full[b - 1] - full[a] + 1, xxhash.xxh128_digest(b"\n".join(raw[i] for i in full[a:b]), seed)) for a, b in sorted(runs_of(hashes, words))]
 
 
 def _tag(text: Column) -> Column:
@@ -59,10 +73,9 @@ def _tag(text: Column) -> Column:
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 0) -> DataFrame:
     """docs with every passage that stands earlier in the corpus taken out of their texts, plus lines and removed_lines.
 
-    Documents are cut into content-defined chunks of lines (chunk_ends). Lines go if a passage of theirs
-    (line_passages: a chunk of several lines, two chunks in a row of which one is a single line, or a long line)
-    stands earlier; earlier means a smaller id, or further up in the same document. The first occurrence of every
-    passage stays. Passages of one hash are compared byte for byte before anything is removed; if texts differ, all
+    Documents are cut into content-defined chunks of lines (chunk_ends). Lines go if a passage of theirs (runs_of: a
+    chunk of several lines and LEAST words, or any run of LONG words) stands earlier; earlier means a smaller id, or
+    further up in the same document. The first occurrence of every passage stays, and single lines of fewer words do. Passages of one hash are compared byte for byte before anything is removed; if texts differ, all
     is hashed anew by another seed. Columns named lines or removed_lines are replaced; all other columns and all rows
     stay, n_chars included. Null texts stay null; a null id comes last; rows that repeat both id and text count as one
     document, so that they don't empty each other; an empty table stays empty.

@@ -24,13 +24,15 @@ def passages(text):
     for k in range(len(full)):
         if k:
             pair = xxhash.xxh64_intdigest(lines[full[k - 1]].encode()) * line_dedup._MULTIPLIER + xxhash.xxh64_intdigest(lines[full[k]].encode())
-            apart = ((pair * line_dedup._MULTIPLIER) % 2**64 >> 32) % max(1, line_dedup.CHUNK_WORDS // max(words[k - 1], words[k])) == 0
+            apart = ((pair * line_dedup._MULTIPLIER) % 2**64 >> 32) % 3 == 0
         if not k or apart or len(chunks[-1]) >= line_dedup.MOST:
             chunks.append([])
         chunks[-1].append(k)
-    single = [len(c) == 1 and words[c[0]] < 50 for c in chunks]
-    runs = [c for c, alone in zip(chunks, single, strict=True) if not alone]
-    runs += [a + b for a, b, x, y in zip(chunks, chunks[1:], single, single[1:], strict=False) if x or y]
+    runs = [c for c in chunks if len(c) > 1 and sum(words[k] for k in c) >= 20]
+    for k in range(len(full)):
+        long = next((m for m in range(k, len(full)) if sum(words[k : m + 1]) >= 50), None)
+        if long is not None:
+            runs.append(list(range(k, long + 1)))
     return [(full[r[0]], full[r[-1]], tuple(lines[full[k]] for k in r)) for r in runs]
 
 
@@ -90,17 +92,41 @@ def test_op10_single_lines_stay(spark):
 
 
 def test_op10_shifted_boundaries(rng):
-    """Chunks after an inserted line are the same again."""
-    hashes, words = [rng.getrandbits(64) for _ in range(400)], [rng.randrange(1, 12) for _ in range(400)]
-    ends = line_dedup.chunk_ends(hashes, words)
-    later = [e - 1 for e in line_dedup.chunk_ends([rng.getrandbits(64), *hashes], [3, *words])]
-    assert ends[-1] == 400 and set(ends) <= set(later)
-    assert line_dedup.chunk_ends([], []) == [] and max(np.diff([0, *line_dedup.chunk_ends([5] * 1000, [1] * 1000)])) <= line_dedup.MOST
+    """Chunks after an inserted line are the same again; fewer than half of all have one line."""
+    hashes = [rng.getrandbits(64) for _ in range(4000)]
+    ends = line_dedup.chunk_ends(hashes)
+    later = [e - 1 for e in line_dedup.chunk_ends([rng.getrandbits(64), *hashes])]
+    assert ends[-1] == 4000 and set(ends) <= set(later)
+    sizes = np.diff([0, *ends])
+    assert (sizes == 1).mean() < 0.4 and 2.7 < sizes.mean() < 3.3
+    assert line_dedup.chunk_ends([]) == [] and max(np.diff([0, *line_dedup.chunk_ends([5] * 1000)])) <= line_dedup.MOST
+
+
+def test_op10_chunks_in_the_table(texts):
+    """The rolling hash decides in real documents too: fewer than half of all chunks have one line."""
+    sizes = []
+    for _, text in texts:
+        full = [x.encode() for x in text.split("\n") if x.encode().strip()]
+        sizes += np.diff([0, *line_dedup.chunk_ends([xxhash.xxh64_intdigest(x) for x in full])]).tolist()
+    assert np.mean(np.array(sizes) == 1) < 0.5
+
+
+def test_op10_common_pairs_stay(spark):
+    """Short lines that many documents share, two and three in a row, are no passage; a chunk of 20 words is, where both documents cut it out."""
+    rows = [(i, f"own {i}\nDear reader,\nthank you for coming here today\nown {i * i}\nAll rights reserved.\nNo warranty.\nContact us.\nend {i}") for i in range(40)]
+    found = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in found} == set(rows)
+    rng, caught = random.Random(1), 0
+    for n in range(200):
+        lines = [" ".join(f"w{rng.random()}" for _ in range(7)) for _ in range(9)]
+        ends = line_dedup.chunk_ends([xxhash.xxh64_intdigest(x.encode()) for x in lines])
+        caught += any(b - a > 2 for a, b in zip([0, *ends], ends, strict=False))
+    assert caught > 150
 
 
 def test_op10_hot_passage(spark):
     """A passage in all rows, more than go through one task, leaves its first occurrence."""
-    passage = "the license says this and that\nand it goes on for another line of words"
+    passage = "the license says this and that " * 5 + "\nand it goes on for another line of words" * 3
     rows = [(i, f"own line {i}\n{passage}\nlast line {i * i}") for i in range(3000)]
     found = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: t if i == 0 else f"own line {i}\nlast line {i * i}" for i, t in rows}
