@@ -28,59 +28,79 @@ class Data(bytes):
         return found
 
 
+def _chain(b: Data, step: Callable[[Data, int], tuple[int, bool]], start: int) -> int:
+    """Where a chain of blocks from `start` ends, 0 if it breaks off. step gives what follows a block (0: broken), and whether that is the end.
+
+    What is found for a block is kept for all before it, so that chains which run into each other are walked once.
+    """
+    known = b.__dict__.setdefault(step.__name__, {})
+    walked, here = [], start
+    while here not in known:
+        walked.append(here)
+        after, ended = step(b, here)
+        if ended or not after:
+            known[here] = after
+            break
+        here = after
+    for place in walked:
+        known[place] = known[here]
+    return known[here]
+
+
+def _png_chunk(b: Data, at: int) -> tuple[int, bool]:
+    if at + 12 > len(b):
+        return 0, True
+    size, kind = struct.unpack(">I4s", b[at : at + 8])
+    if at + 12 + size > len(b) or zlib.crc32(b[at + 4 : at + 8 + size]) != struct.unpack(">I", b[at + 8 + size : at + 12 + size])[0]:
+        return 0, True
+    return at + 12 + size, kind == b"IEND"
+
+
 def _png(b: Data, at: int) -> int:
-    end = at + 8
-    while end + 12 <= len(b):
-        size, kind = struct.unpack(">I4s", b[end : end + 8])
-        if end + 12 + size > len(b) or zlib.crc32(b[end + 4 : end + 8 + size]) != struct.unpack(">I", b[end + 8 + size : end + 12 + size])[0]:
-            return 0
-        end += 12 + size
-        if kind == b"IEND":
-            return end - at
-    return 0
+    return max(_chain(b, _png_chunk, at + 8) - at, 0)
+
+
+def _gif_colours(flags: int) -> int:
+    return 3 << (flags & 7) + 1 if flags & 128 else 0
+
+
+def _gif_block(b: Data, twice: int) -> tuple[int, bool]:
+    """Blocks are at even numbers, twice their place; at odd ones are the parts of a block's data."""
+    at, part = divmod(twice, 2)
+    if at >= len(b):
+        return 0, True
+    if part:
+        return 2 * (at + 1 + b[at]) + (b[at] > 0), False
+    if b[at] == 0x3B:
+        return 2 * (at + 1), True
+    if b[at] == 0x21:
+        return 2 * (at + 2) + 1, False
+    if b[at] == 0x2C and at + 10 <= len(b):
+        return 2 * (at + 11 + _gif_colours(b[at + 9])) + 1, False
+    return 0, True
 
 
 def _gif(b: Data, at: int) -> int:
     if len(b) < at + 13 or b[at + 3 : at + 6] not in (b"87a", b"89a"):
         return 0
-    colours = lambda flags: 3 << (flags & 7) + 1 if flags & 128 else 0
-    end = at + 13 + colours(b[at + 10])
-    while end < len(b):
-        mark = b[end]
-        if mark == 0x3B:
-            return end + 1 - at
-        if mark == 0x21:
-            end += 2
-        elif mark == 0x2C and end + 10 <= len(b):
-            end += 11 + colours(b[end + 9])
-        else:
-            return 0
-        while end < len(b) and b[end]:
-            end += b[end] + 1
-        end += 1
-    return 0
+    return max(_chain(b, _gif_block, 2 * (at + 13 + _gif_colours(b[at + 10]))) // 2 - at, 0)
+
+
+def _jpeg_segment(b: Data, at: int) -> tuple[int, bool]:
+    if b[at : at + 2] == b"\xff\xd9":
+        return at + 2, True
+    if at + 4 > len(b) or b[at] != 0xFF or (size := b[at + 2] << 8 | b[at + 3]) < 2:
+        return 0, True
+    after = at + 2 + size
+    if b[at + 1] == 0xDA:  # coded data: on to the next marker that isn't stuffed or a restart
+        after = b.find(b"\xff", after)
+        while after >= 0 and after + 1 < len(b) and (b[after + 1] == 0 or 0xD0 <= b[after + 1] <= 0xD7):
+            after = b.find(b"\xff", after + 2)
+    return max(after, 0), after < 0
 
 
 def _jpeg(b: Data, at: int) -> int:
-    end = at + 2
-    while end + 4 <= len(b):
-        if b[end] != 0xFF:
-            return 0
-        mark = b[end + 1]
-        if mark == 0xD9:
-            return end + 2 - at
-        size = b[end + 2] << 8 | b[end + 3]
-        if size < 2:
-            return 0
-        end += 2 + size
-        if mark == 0xDA:  # coded data: on to the next marker that isn't stuffed or a restart
-            here = b.find(b"\xff", end)
-            while here >= 0 and here + 1 < len(b) and (b[here + 1] == 0 or 0xD0 <= b[here + 1] <= 0xD7):
-                here = b.find(b"\xff", here + 2)
-            if here < 0:
-                return 0
-            end = here
-    return end + 2 - at if b[end : end + 2] == b"\xff\xd9" else 0
+    return max(_chain(b, _jpeg_segment, at + 2) - at, 0)
 
 
 def _bmp(b: Data, at: int) -> int:
@@ -139,17 +159,16 @@ def _zip(b: Data, at: int) -> int:
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02" else 0
 
 
+def _ogg_page(b: Data, at: int) -> tuple[int, bool]:
+    if at + 27 > len(b) or b[at : at + 5] != b"OggS\0":
+        return 0, True
+    n = b[at + 26]
+    after = at + 27 + n + sum(b[at + 27 : at + 27 + n])
+    return (after, b[at + 5] & 4 > 0) if after <= len(b) else (0, True)
+
+
 def _ogg(b: Data, at: int) -> int:
-    end = at
-    while end + 27 <= len(b) and b[end : end + 5] == b"OggS\0":
-        n = b[end + 26]
-        page = 27 + n + sum(b[end + 27 : end + 27 + n])
-        if end + page > len(b):
-            return 0
-        last, end = b[end + 5] & 4, end + page
-        if last:
-            return end - at
-    return 0
+    return max(_chain(b, _ogg_page, at) - at, 0)
 
 
 # Magic bytes, the type they announce, and what confirms it.

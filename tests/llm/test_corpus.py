@@ -236,6 +236,28 @@ def test_op7_many_magic_bytes(magic):
     assert time.time() - began < 60
 
 
+def endless(kind):
+    """Whole blocks of a format, each a start of its own, and no end."""
+    import struct
+    import zlib
+
+    chunk = struct.pack(">I", 12) + b"tEXt" + b"\x89PNG\r\n\x1a\n" + b"xxxx"
+    return {
+        "ogg": b"OggS" + b"\0" * 23, "jpeg": b"\xff\xd8\xff\xe0\0\x02" + b"\xff\xe1\0\x02", "gif": b"GIF89a" + b"\0" * 7 + b"!\xf9\x07GIF89a\0\0",
+        "png": chunk + struct.pack(">I", zlib.crc32(chunk[4:])),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["ogg", "jpeg", "gif", "png"])
+def test_op7_long_chains(kind):
+    """10 MB of whole pages, segments, blocks and chunks without an end take a time that grows as their bytes."""
+    import time
+
+    began = time.time()
+    assert media.sniff_bytes(endless(kind) * (10_000_000 // len(endless(kind))), media.signatures()) == []
+    assert time.time() - began < 60
+
+
 def test_op7_corrects_and_carves(spark, edge, empty):
     png = samples()["image/png"]
     rows = spark.createDataFrame([(1, "image/gif", png), (2, "text/plain", b"ab" + png + b"cd"), (3, "text/plain", b""), (4, None, None)], "doc_id long, declared string, media binary")
