@@ -193,7 +193,7 @@ def proofs(leaves: DataFrame, id_column: str = "doc_id", group_column: str = "la
     id_type = leaves.schema[id_column].dataType
     group = F.col(group_column).cast("string")
     other = F.col(other_column).cast("string") if other_column else F.lit(None).cast("string")
-    nodes = leaves.select(encoded(group).alias("key"), group.alias("name"), F.col(id_column).alias("by"), F.col(leaf_column).alias("node"), F.col(id_column).cast("string").alias("id"), other.alias("other"))
+    nodes = through_files(leaves.select(encoded(group).alias("key"), group.alias("name"), F.col(id_column).alias("by"), F.col(leaf_column).alias("node"), F.col(id_column).cast("string").alias("id"), other.alias("other")))
     records, subroots, height = build(nodes, [F.col("name").asc_nulls_first(), F.col("by").asc_nulls_first(), F.col("node").asc()], fanout)
     name = F.when(F.col("key") != "-", F.expr("substr(key, instr(key, ':') + 1)"))  # what follows the byte count; `-` alone is the null group
     over = subroots.select(F.lit("").alias("key"), name.alias("name"), "node", F.lit(None).cast("string").alias("id"), F.col("key").alias("other"))
