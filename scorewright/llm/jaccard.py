@@ -25,6 +25,9 @@ SEEDS = 4
 #: Members and bytes of text that a region joined in one task has at most; larger ones are split by PIVOTS pivots over SALT parts a round.
 LIMIT, LIMIT_BYTES, PIVOTS, SALT = 1024, 64 << 20, 16, 32
 
+#: Ids that go to the texts by broadcast at most (16 bytes each); beyond it texts and ids meet in a shuffle.
+BROADCAST = 1_000_000
+
 #: A region that keeps over this share of its members is not split again: its members meet in tiles, tile by tile.
 STUCK = 0.8
 
@@ -285,7 +288,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, li
     texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text"))
     edges = _same_ids(known, distinct)
     while True:
-        asked = texts.join(regions.select("node").distinct(), "node", "left_semi")  # ids alone are few enough to go to the texts for longest
+        ids = through_files(regions.select("node").distinct())
+        asked = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "node", "left_semi")
         members = through_files(asked.join(regions, "node").select("region", "node", "text", "tile").distinct())
         sizes = members.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).alias("bytes"), F.max("tile").alias("tile"))
         large = through_files(sizes.where(f"NOT tile AND members > 2 AND (members > {limit} OR bytes > {LIMIT_BYTES})"))
