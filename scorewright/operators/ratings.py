@@ -56,20 +56,26 @@ def elo(battles: DataFrame, passes: int = PASSES, k: float = K, seed: int = 42,
     return found.withColumnRenamed("board", by) if by else found.drop("board")
 
 
+#: Tasks over which the samples of a board are spread; each gets the board once.
+SAMPLERS = 10
+
+
 def _for_each_sample(battles: DataFrame, samples: int, draw: Callable[[np.random.Generator, list[str], np.ndarray, np.ndarray, np.ndarray], np.ndarray], stream: int, seed: int) -> DataFrame:
     """(sample, agent, value): what `draw` makes of the battles, for each sample number.
 
-    Every sample gets the board's battles as a group of its own, so samples spread over tasks and nothing comes to the
-    driver; a group is one board, as large as the group that elo() folds. Each is seeded by its own number, so that a
-    lost task gives the same rows again.
+    The board goes once to each of SAMPLERS tasks, which codes it once and draws every SAMPLERS-th sample; nothing comes
+    to the driver. Each sample is seeded by its own number, so that it is the same whichever task draws it, and again
+    after a loss.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names, a, b, s = _coded(rows)
-        sample = int(rows["sample"].iloc[0])
-        return pd.DataFrame({"sample": sample, "agent": names, "value": draw(np.random.default_rng([seed, stream, sample]), names, a, b, s)})
+        mine = range(int(rows["sampler"].iloc[0]), samples, SAMPLERS)
+        drawn = [draw(np.random.default_rng([seed, stream, sample]), names, a, b, s) for sample in mine]
+        return pd.DataFrame({"sample": np.repeat(np.array(mine, np.int64), len(names)), "agent": names * len(drawn), "value": np.concatenate(drawn)})
 
-    return battles.select("a", "b", "score_a", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).groupBy("sample").applyInPandas(run, "sample long, agent string, value double")
+    spread = battles.select("a", "b", "score_a", F.explode(F.sequence(F.lit(0), F.lit(min(samples, SAMPLERS) - 1))).alias("sampler"))
+    return spread.groupBy("sampler").applyInPandas(run, "sample long, agent string, value double")
 
 
 def elo_samples(battles: DataFrame, resamples: int = 1000, k: float = K, seed: int = 42) -> DataFrame:
@@ -111,12 +117,16 @@ def rank_significance(battles: DataFrame, permutations: int = 1000, k: float = K
     return tried.groupBy("higher", "lower").agg(F.round(F.first("gap"), 1).alias("gap"), F.round(F.avg((F.abs(F.col("x") - F.col("y")) >= F.abs("gap")).cast("int")), 4).alias("p_value"))
 
 
+def agent_pairs(bounds: DataFrame) -> DataFrame:
+    """(a, b, apart, gap): all pairs of agents with intervals (elo_lo, elo_hi), whether these don't touch, and how far they are from each other (negative: how far they overlap). A board has few agents."""
+    right = bounds.select(F.col("agent").alias("b"), F.col("elo_lo").alias("lo"), F.col("elo_hi").alias("hi"))
+    gap = F.greatest(F.col("lo") - F.col("elo_hi"), F.col("elo_lo") - F.col("hi"))
+    return bounds.join(right, F.col("agent") < F.col("b")).select(F.col("agent").alias("a"), "b", (gap > 0).alias("apart"), F.round(gap, 1).alias("gap"))
+
+
 def separability(bounds: DataFrame) -> DataFrame:
     """(n_pairs, n_apart, separability_pct) of agents whose intervals (elo_lo, elo_hi) don't touch."""
-    right = bounds.select(F.col("agent").alias("other"), F.col("elo_lo").alias("lo"), F.col("elo_hi").alias("hi"))
-    pairs = bounds.join(right, F.col("agent") < F.col("other"))
-    apart = (F.col("elo_hi") < F.col("lo")) | (F.col("hi") < F.col("elo_lo"))
-    return pairs.agg(F.count("*").alias("n_pairs"), F.count_if(apart).alias("n_apart"), F.round(100 * F.avg(apart.cast("int")), 2).alias("separability_pct"))
+    return agent_pairs(bounds).agg(F.count("*").alias("n_pairs"), F.count_if("apart").alias("n_apart"), F.round(100 * F.avg(F.col("apart").cast("int")), 2).alias("separability_pct"))
 
 
 def strengths(won: np.ndarray, ridge: float = 0.01) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewright.functions import url
 
@@ -32,6 +33,6 @@ def split_stream(stream: DataFrame, reason: Column, path: str, checkpoint: str)
         marked.write.mode("overwrite").partitionBy("sink").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    schema = stream.schema.add("reason", "string").add("batch", "int").add("sink", "string")
+    schema = T.StructType([*stream.schema.fields, T.StructField("reason", T.StringType()), T.StructField("batch", T.IntegerType()), T.StructField("sink", T.StringType())])
     both = stream.sparkSession.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
     return both.where("sink = 'accepted'").drop("reason", "sink"), both.where("sink = 'rejected'").drop("sink")
