@@ -61,10 +61,12 @@ def disagreements(prefs: DataFrame, scores: DataFrame, n: int = 10) -> DataFrame
     return both.withColumns({"predicted": predicted, "gap": F.abs(F.col("_a") - F.col("_b"))}).where("predicted != winner").orderBy(F.desc("gap"), "pref_id").limit(n).select("pref_id", "a", "b", "winner", "predicted", "gap")
 
 
-def fairness(reports: DataFrame, must: DataFrame, scored: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def fairness(reports: DataFrame, must: DataFrame, scored: DataFrame, id_column: str = "doc_id", scorer_first: bool = False) -> DataFrame:
     """(id, cited, direct, near, scored_hits, verdict): a report's URLs against its task's must (task, url), by canonical URL and by host and end of the path.
 
     SUSPECT if only near misses are found, else DRIFT if the scorer, scored (id, hits), counted other hits, else FAIR.
+    With scorer_first, as in audits of single pairs, a report without text or a task without must is a SKIP, and DRIFT
+    is asked for before SUSPECT.
     """
     stem = lambda u: F.concat(url.host_port(u), F.lit("/"), F.lower(F.array_join(F.slice(F.split(F.regexp_replace(url.part(u, 4), "/+$", ""), "/"), F.greatest(F.size(F.split(F.regexp_replace(url.part(u, 4), "/+$", ""), "/")) - 1, F.lit(1)), 2), "/")))
     cited = citations(reports, None, id_column).select(id_column, "url").distinct().join(reports.select(id_column, "task"), id_column)
@@ -73,7 +75,19 @@ def fairness(reports: DataFrame, must: DataFrame, scored: DataFrame, id_column:
     near = cited.select(id_column, "task", F.col("url").alias("own"), stem(F.col("url")).alias("stem")).join(known.select("task", "url", stem(F.col("url")).alias("stem")), ["task", "stem"]).where("own != url").groupBy(id_column).agg(F.count_distinct("stem").alias("near"))
     counts = cited.groupBy(id_column).agg(F.count("*").alias("cited"))
     out = reports.select(id_column).join(counts, id_column, "left").join(direct, id_column, "left").join(near, id_column, "left").join(scored.select(id_column, F.col("hits").alias("scored_hits")), id_column, "left").fillna(0)
-    return out.withColumn("verdict", F.when((F.col("near") > 0) & (F.col("direct") == 0), "SUSPECT").when(F.col("scored_hits") != F.col("direct"), "DRIFT").otherwise("FAIR"))
+    suspect, drift = (F.col("near") > 0) & (F.col("direct") == 0), F.col("scored_hits") != F.col("direct")
+    if not scorer_first:
+        return out.withColumn("verdict", F.when(suspect, "SUSPECT").when(drift, "DRIFT").otherwise("FAIR"))
+    asked = known.select("task").distinct().withColumn("_asked", F.lit(True))
+    given = reports.select(id_column, "task", (F.coalesce("md", F.lit("")) != "").alias("_given")).join(asked, "task", "left").drop("task")
+    skip = ~F.col("_given") | F.col("_asked").isNull()
+    return out.join(given, id_column).withColumn("verdict", F.when(skip, "SKIP").when(drift, "DRIFT").when(suspect, "SUSPECT").otherwise("FAIR")).drop("_given", "_asked")
+
+
+def flag_counts(faults: DataFrame, *by: str) -> DataFrame:
+    """(by, fault, primary, n): how often each primary fault, and each flag beside it, is among the rows of taxonomy()."""
+    each = F.concat(F.array(F.struct(F.col("primary_fault").alias("fault"), F.lit(True).alias("primary"))), F.transform(F.filter(F.split("flags", ","), lambda f: f != ""), lambda f: F.struct(f.alias("fault"), F.lit(False).alias("primary"))))
+    return faults.select(*by, F.explode(each).alias("f")).groupBy(*by, "f.fault", "f.primary").agg(F.count("*").alias("n"))
 
 
 def taxonomy(reports: DataFrame, hosts: list[str], id_column: str = "doc_id", md_column: str = "md") -> DataFrame:

@@ -51,30 +51,53 @@ _PATH = lambda u: f"regexp_replace(regexp_extract({u}, '^[A-Za-z]+://[^/?#]+([^?
 _STEM = lambda u: f"regexp_extract({u}, '^[a-z]+://([^/?#]+)', 1) || '/' || lower(array_to_string(string_split({_PATH(u)}, '/')[greatest(len(string_split({_PATH(u)}, '/')) - 1, 1):], '/'))"
 
 
-@query("fairness", f"""WITH {REPORTS_SQL}, {_CITED}, must AS (SELECT DISTINCT page_id % 3 AS task, {_CANON} AS url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '^(https?)://([^/]+)/', '\\1://\\2/old/') END AS u FROM pages)), d AS (SELECT DISTINCT cu.doc_id, cu.url, task FROM cu JOIN reports USING (doc_id)),
+_FAIRNESS = f"""WITH {REPORTS_SQL}, {_CITED}, must AS (SELECT DISTINCT page_id % 3 AS task, {_CANON} AS url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '^(https?)://([^/]+)/', '\\1://\\2/old/') END AS u FROM pages)), d AS (SELECT DISTINCT cu.doc_id, cu.url, task FROM cu JOIN reports USING (doc_id)),
 x AS (SELECT doc_id, count(*) AS direct FROM d JOIN must USING (task, url) GROUP BY 1), n AS (SELECT doc_id, count(DISTINCT {_STEM('d.url')}) AS near FROM d JOIN must m ON m.task = d.task AND {_STEM('m.url')} = {_STEM('d.url')} AND m.url <> d.url GROUP BY 1), c AS (SELECT doc_id, count(*) AS cited FROM d GROUP BY 1),
-g AS (SELECT r.doc_id, coalesce(cited, 0) AS cited, coalesce(direct, 0) AS direct, coalesce(near, 0) AS near, r.doc_id % 2 AS scored_hits FROM reports r LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN n USING (doc_id))
-SELECT *, CASE WHEN near > 0 AND direct = 0 THEN 'SUSPECT' WHEN scored_hits <> direct THEN 'DRIFT' ELSE 'FAIR' END AS verdict FROM g""")
+g AS (SELECT r.doc_id, coalesce(cited, 0) AS cited, coalesce(direct, 0) AS direct, coalesce(near, 0) AS near, r.doc_id % 2 AS scored_hits FROM reports r LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN n USING (doc_id))"""
+
+
+@query("fairness", _FAIRNESS + " SELECT *, CASE WHEN near > 0 AND direct = 0 THEN 'SUSPECT' WHEN scored_hits <> direct THEN 'DRIFT' ELSE 'FAIR' END AS verdict FROM g")
 def fairness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that must be cited, every second one under an old path; the scorer counted a hit for odd ids."""
+    return _fairness(spark, sf_dir, scorer_first=False)
+
+
+@query("fairness_scorer_first", _FAIRNESS + " SELECT g.*, CASE WHEN md = '' OR task = 2 THEN 'SKIP' WHEN scored_hits <> direct THEN 'DRIFT' WHEN near > 0 AND direct = 0 THEN 'SUSPECT' ELSE 'FAIR' END AS verdict FROM (SELECT doc_id, cited, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE direct END AS direct, CASE WHEN doc_id % 3 = 2 THEN 0 ELSE near END AS near, scored_hits FROM g) g JOIN reports USING (doc_id)")
+def fairness_scorer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the order of audits of single pairs; one of the three tasks has nothing that must be cited."""
+    return _fairness(spark, sf_dir, scorer_first=True)
+
+
+def _fairness(spark: SparkSession, sf_dir: str, scorer_first: bool) -> DataFrame:
     reports = views.reports(spark, sf_dir)
     moved = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^(https?)://([^/]+)/", "$1://$2/old/"))
     must = table(spark, sf_dir, "pages").select((F.col("page_id") % 3).alias("task"), moved.alias("url"))
-    return audits.fairness(reports, must, reports.select("doc_id", (F.col("doc_id") % 2).alias("hits")))
+    must = must.where("task <> 2") if scorer_first else must
+    return audits.fairness(reports, must, reports.select("doc_id", (F.col("doc_id") % 2).alias("hits")), scorer_first=scorer_first)
 
 
 _HOST = "regexp_extract(lower(u), '^https?://([^/]+)', 1)"
 _KNOWN = " OR ".join(f"contains(h, '{h}')" for h in HOSTS)
 
 
-@query("fault_taxonomy", rf"""WITH {REPORTS_SQL}, l AS (SELECT doc_id, md, len(list_filter(regexp_split_to_array(md, '\s+'), lambda x: x <> '')) AS words, list_transform(regexp_extract_all(md, '\[[^\]]+\]\((https?://[^)\s]+)\)', 1), lambda u: {_HOST}) AS hosts FROM reports),
-n AS (SELECT doc_id, words, len(hosts) AS cites, list_distinct(list_filter(hosts, lambda h: h <> '')) AS distinct_hosts, len(list_filter(hosts, lambda h: h <> '' AND NOT ({_KNOWN}))) AS off_sandbox, regexp_matches(md, '(?i)\(placeholder\)|example\.com|wikipedia\.org|\.tavily\.|onestopmarket\.com') AS fake FROM l)
-SELECT doc_id, CASE WHEN words < 50 THEN 'timeout_or_empty' WHEN fake OR off_sandbox >= 2 OR (cites = 0 AND words >= 200) THEN 'hallucination_url' ELSE 'ok' END AS primary_fault,
-array_to_string(list_filter([CASE WHEN cites = 0 THEN 'no_inline_cites' END, 'zero_wiki_cites', CASE WHEN len(distinct_hosts) = 1 THEN 'only_one_source_host' END, CASE WHEN words < 500 THEN 'very_short_report' END, CASE WHEN words > 3500 THEN 'very_long_report' END], lambda x: x IS NOT NULL), ',') AS flags, words, cites, off_sandbox FROM n""")
+_TAXONOMY = rf"""WITH {REPORTS_SQL}, l AS (SELECT doc_id, md, len(list_filter(regexp_split_to_array(md, '\s+'), lambda x: x <> '')) AS words, list_transform(regexp_extract_all(md, '\[[^\]]+\]\((https?://[^)\s]+)\)', 1), lambda u: {_HOST}) AS hosts FROM reports),
+n AS (SELECT doc_id, words, len(hosts) AS cites, list_distinct(list_filter(hosts, lambda h: h <> '')) AS distinct_hosts, len(list_filter(hosts, lambda h: h <> '' AND NOT ({_KNOWN}))) AS off_sandbox, regexp_matches(md, '(?i)\(placeholder\)|example\.com|wikipedia\.org|\.tavily\.|onestopmarket\.com') AS fake FROM l),
+faults AS (SELECT doc_id, CASE WHEN words < 50 THEN 'timeout_or_empty' WHEN fake OR off_sandbox >= 2 OR (cites = 0 AND words >= 200) THEN 'hallucination_url' ELSE 'ok' END AS primary_fault,
+array_to_string(list_filter([CASE WHEN cites = 0 THEN 'no_inline_cites' END, 'zero_wiki_cites', CASE WHEN len(distinct_hosts) = 1 THEN 'only_one_source_host' END, CASE WHEN words < 500 THEN 'very_short_report' END, CASE WHEN words > 3500 THEN 'very_long_report' END], lambda x: x IS NOT NULL), ',') AS flags, words, cites, off_sandbox FROM n)"""
+
+
+@query("fault_taxonomy", _TAXONOMY + " SELECT * FROM faults")
 def fault_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.taxonomy(views.reports(spark, sf_dir), list(HOSTS))
 
 
+@query("fault_flags", _TAXONOMY + ", f AS (SELECT doc_id % 8 AS style, unnest(list_concat([{'fault': primary_fault, 'primary': true}], list_transform(list_filter(string_split(flags, ','), lambda x: x <> ''), lambda x: {'fault': x, 'primary': false}))) AS f FROM faults) SELECT style, f.fault AS fault, f.primary AS primary, count(*) AS n FROM f GROUP BY 1, 2, 3")
+def fault_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each primary fault, and each flag beside it, is among the reports of a form."""
+    faults = audits.taxonomy(views.reports(spark, sf_dir), list(HOSTS)).withColumn("style", F.col("doc_id") % 8)
+    return audits.flag_counts(faults, "style")
+
+
 @query("fault_counts")
 def fault_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(style, primary_fault, n): faults by the form of the report, and in all (null style)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.operators import rescoring, summaries, variants
+from scorewright.operators import diagnosis, rescoring, summaries, variants
 from scorewright.plans import views
 from scorewright.plans.views import SCORES_SQL
 from scorewright.registry import query, table
@@ -24,15 +24,17 @@ def _dim(number: int, name: str, column: str) -> str:
     return f"CASE (chars + {number}) % 6 " + " ".join(f"WHEN {k} THEN {s}" for k, s in enumerate(shapes)) + " END"
 
 
-_CHECKLIST = f"""CASE chars % 4 WHEN 0 THEN '{{"pass_rate":' || {_part('chk')} || ',"judge_error":"timeout"}}' WHEN 1 THEN '{{"verdicts":[["1","PASS"],["2","unclear"],["3","FAIL"]],"judge_error":""}}' WHEN 2 THEN '{{"score":' || {_part('chk')} || '}}' ELSE {_part('chk')} END"""
+_CHECKLIST = f"""CASE chars % 4 WHEN 0 THEN '{{"pass_rate":' || {_part('chk')} || ',"judge_error":"timeout"}}' WHEN 1 THEN CASE WHEN chars % 8 = 5 THEN '{{"verdicts":[["1","UNCLEAR"],["2","UNCLEAR"]],"unclear_count":2}}' ELSE '{{"verdicts":[["1","PASS"],["2","unclear"],["3","FAIL"]],"judge_error":""}}' END WHEN 2 THEN '{{"score":' || {_part('chk')} || '}}' ELSE {_part('chk')} END"""
 _TRUE = lambda c: f"CASE WHEN {c} > 0.5 THEN 'true' ELSE 'false' END"
 _FIELDS = [
     *(_dim(k, name, column) for k, (name, column) in enumerate(DIMS.items())),
     f"""'"checklist":' || {_CHECKLIST}""",
-    f"""'"url_coverage":' || CASE WHEN chars % 3 = 0 THEN 'null' ELSE '{{"score":' || {_part('url')} || '}}' END""",
-    f"""'"url_reachability":{{"score":' || {_part('reach')} || '}},"quote_match":{{"score":' || {_part('qm')} || '}},"claim_nli":{{"score":' || {_part('nli')} || '}}'""",
+    f"""'"url_coverage":' || CASE WHEN chars % 3 = 0 THEN 'null' ELSE '{{"score":' || {_part('url')} || ',"details":{{"must_cite_hit":' || CAST(runs % 3 AS STRING) || '}}}}' END""",
+    """CASE WHEN chars % 9 > 0 THEN '"task":"' || task || '"' ELSE '"no_task":0' END""",
+    f"""'"composite":' || CASE chars % 8 WHEN 0 THEN 'null' WHEN 1 THEN '{{"composite_v2":0}}' WHEN 2 THEN '{{"composite_v2":1.5}}' WHEN 3 THEN '{{"composite_v2":"high"}}' WHEN 4 THEN '{{"composite_v2":0.01}}' WHEN 5 THEN '{{"composite_v2":0.0}}' ELSE '{{"composite_v2":' || {_part('reach')} || '}}' END""",
+    f"""'"url_reachability":{{"score":' || CASE WHEN chars % 5 = 1 THEN '0' ELSE {_part('reach')} END || ',"passed":' || {_TRUE('url')} || ',"details":{{"cited_total":' || CAST(runs % 3 AS STRING) || ',"http_4xx":' || CAST(runs % 2 AS STRING) || '}}}},"quote_match":{{"score":' || {_part('qm')} || '}},"claim_nli":{{"score":' || {_part('nli')} || '}}'""",
     f"""'"markdown_spec":{{"words_ok":' || {_TRUE('url')} || ',"citations_ok":' || {_TRUE('cit')} || '}}'""",
-    """'"answer_chars":' || CAST(chars AS STRING)""",
+    """'"answer_chars":' || CAST(chars * 17 % 9000 AS STRING)""",
     f"""'"citation_alignment":{{"score":' || {_part('cit')} || ',"details":{{"total_pairs":' || CAST(runs % 4 AS STRING) || ',"samples":[{{"url":"http://h/' || task || '"}},{{"url":null}},{{"url":"http://h/' || CAST(runs % 7 AS STRING) || '"}}]}}}}'""",
     f"""'"analysis_depth":{{"score":' || {_part('depth')} || ',"details":{{"judge_error":' || CASE WHEN chars % 5 = 0 THEN '"no answer"' ELSE 'null' END || '}}}}'""",
     f"""'"presentation":' || CASE WHEN chars % 7 = 0 THEN '"lost"' ELSE '{{"score":' || {_part('pres')} || ',"details":{{}}}}' END""",
@@ -231,3 +233,39 @@ def rescored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = views.scores(spark, sf_dir).selectExpr("agent", "task", "round(1 - fact_kg, 4) AS fresh", f"map_filter(map({', '.join(given)}), (k, v) -> v IS NOT NULL) AS pillars")
     found = rescoring.refolded_runs(runs, "fact_kg", F.struct(F.col("fresh").alias("score"), F.lit(True).alias("passed")), _WEIGHTS)
     return found.select("agent", "task", "composite", F.size("pillars").cast("long").alias("pillars"))
+
+
+_LINK = lambda url, n: " || ".join(f"'[x]({url}{i}) '" for i in range(n))
+_MD = f"""CASE chars % 11 WHEN 0 THEN '(Some-Agent produced no report after 30 s, exit=1)' WHEN 1 THEN ' (agent stderr: lost)' WHEN 2 THEN 'I cannot do this' WHEN 3 THEN 'no links' WHEN 4 THEN {_LINK('http://out.org/', 3)} || '[x](http://localhost:7770/a)' WHEN 5 THEN NULL WHEN 6 THEN '<think>' || {_LINK('http://localhost:9999/f/', 7)} ELSE {_LINK('http://localhost:8090/', 2)} END"""
+ANSWERED_SQL = f"{SCORES_SQL},\ndocs AS (SELECT agent, task, CASE WHEN chars % 13 = 0 THEN 'no json' ELSE {DOCUMENT} END AS t, {_MD} AS md, chars % 11 AS form FROM scores), read AS (SELECT agent, task, md, form, CASE WHEN json_valid(t) THEN t END AS j FROM docs)"
+_JSON = lambda path: f"json_extract(j, '$.{path}')"
+_NUM = lambda path: f"CASE WHEN json_type(j, '$.{path}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(j ->> '$.{path}' AS DOUBLE) END"
+_ERRORS = [f"coalesce(j ->> '$.{p}', '') <> ''" for p in ("checklist.judge_error", "analysis_depth.details.judge_error", "presentation.details.judge_error")]
+_FACTS = f"facts AS (SELECT *, {_NUM('answer_chars')} AS n, {_NUM('composite.composite_v2')} AS c, {_NUM('url_reachability.score')} AS reach, {_NUM('url_reachability.details.cited_total')} AS cited, {_NUM('url_reachability.details.http_4xx')} AS x4, {_NUM('url_coverage.details.must_cite_hit')} AS must, {' + '.join(f'({e})::INT' for e in _ERRORS)} AS errors FROM read)"
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(agent, task, value, md): score documents, some of which are no JSON, and the answers that they are about."""
+    return views.scores(spark, sf_dir).selectExpr("agent", "task", f"try_parse_json(CASE WHEN chars % 13 = 0 THEN 'no json' ELSE {DOCUMENT} END) AS value", f"{_MD} AS md")
+
+
+@query("document_problems", f"""WITH {ANSWERED_SQL}, {_FACTS} SELECT agent, task, array_to_string(list_filter([CASE WHEN NOT coalesce(json_exists(j, '$.task'), false) OR coalesce(json_type(j, '$.composite.composite_v2'), 'NULL') = 'NULL' THEN 'schema' END, CASE WHEN coalesce(n < 100, true) THEN 'empty' END, CASE WHEN form = 6 THEN 'thinking-leak' END, CASE WHEN errors > 0 THEN 'judge' END,
+CASE WHEN CAST(j ->> '$.checklist.unclear_count' AS INT) = 2 THEN 'unclear' END, CASE WHEN coalesce(c < 0 OR c > 1, true) THEN 'composite' END, CASE WHEN (j ->> '$.url_reachability.passed') = 'true' AND cited = 0 THEN 'reach' END, CASE WHEN c = 0 AND n > 5000 THEN 'all-zero' END], lambda x: x IS NOT NULL), ',') AS problems FROM facts""")
+def document_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which checks each score document fails."""
+    return answered(spark, sf_dir).select("agent", "task", F.array_join(diagnosis.problems(F.col("value"), F.col("md")), ",").alias("problems"))
+
+
+@query("document_labels", f"""WITH {ANSWERED_SQL}, {_FACTS}, z AS (SELECT agent, task, form, coalesce(n, 0) AS n, coalesce(c, 0) AS c, coalesce(reach, 0) AS reach, coalesce(x4, 0) AS x4, coalesce(must, 0) AS must FROM facts)
+SELECT agent, task, CASE WHEN n < 100 THEN 'AGENT-FAULT-empty' WHEN form = 5 THEN 'AGENT-FAULT-no-md' WHEN form = 0 THEN 'AGENT-FAULT-runner-crash' WHEN form = 1 THEN 'AGENT-FAULT-runner-exception' WHEN form = 2 THEN 'AGENT-FAULT-refusal' WHEN n < 1000 THEN 'AGENT-FAULT-tiny' WHEN form = 3 THEN 'AGENT-FAULT-no-urls' WHEN form = 4 THEN 'AGENT-FAULT-external-urls' WHEN reach = 0 AND form = 6 AND x4 > 0 THEN 'AGENT-FAULT-wrong-url-format'
+WHEN reach = 0 AND must > 0 THEN 'OUR-FAULT-canonical-vs-raw' WHEN c > 0.15 THEN 'OK-strong' WHEN c > 0.05 THEN 'OK-mid' WHEN c > 0 THEN 'OK-weak' WHEN reach > 0 THEN 'AGENT-FAULT-no-grounded-claims' ELSE 'AGENT-FAULT-other-zero' END AS label FROM z""")
+def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose fault a low score is, by the first of 15 labels that fits."""
+    return answered(spark, sf_dir).select("agent", "task", diagnosis.label(F.col("value"), F.col("md")).alias("label"))
+
+
+@query("document_survey", f"""WITH {ANSWERED_SQL}, {_FACTS}, c AS (SELECT unnest(CASE WHEN j IS NULL THEN ['parse-error'] WHEN coalesce(n, 0) < 100 THEN ['E_empty'] WHEN form = 0 THEN ['R_runner-fail'] ELSE list_filter([CASE WHEN errors > 0 THEN 'J' || errors || '_judge' ELSE 'clean' END, CASE WHEN c = 0 AND n > 5000 AND cited > 0 AND reach > 0 THEN 'D_zero-but-real' END], lambda x: x IS NOT NULL) END) AS category FROM facts)
+SELECT category, count(*) AS n FROM c GROUP BY 1""")
+def document_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many score documents are broken in which way."""
+    return diagnosis.survey(answered(spark, sf_dir))
