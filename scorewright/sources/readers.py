@@ -149,7 +149,8 @@ def worksheet_rates(rows: DataFrame) -> DataFrame:
 class Tasks:
     """Task definitions as JSON below one folder a domain; a change writes the domain's next version whole."""
 
-    SCHEMA = "task_id string, difficulty string, intent string, iaa double, spec string"
+    SCHEMA = "task_id string, difficulty string, intent string, iaa double, spec string, status string"
+    DOMAINS = ("ecommerce", "development", "cms", "forum", "knowledge")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -173,15 +174,22 @@ class Tasks:
         self._write(self.table().where((F.col("domain") == domain) & (F.col("task_id") != task_id)), domain)
         return True
 
-    def listed(self, domain: str | None = None, difficulty: str | None = None) -> DataFrame:
+    def listed(self, domain: str | None = None, difficulty: str | None = None, status: str | None = None) -> DataFrame:
         rows = self.table()
-        for name, value in (("domain", domain), ("difficulty", difficulty)):
+        for name, value in (("domain", domain), ("difficulty", difficulty), ("status", status)):
             rows = rows if value is None else rows.where(F.col(name) == value)
         return rows.orderBy("domain", "task_id")
 
+    def counts(self) -> DataFrame:
+        """(domain, tasks): every known domain, also those without a task, and others that there are."""
+        known = self.spark.createDataFrame([(d,) for d in self.DOMAINS], "domain string")
+        own = self.table().groupBy("domain").agg(F.count("*").alias("tasks"))
+        return known.join(own, "domain", "full").select("domain", F.coalesce("tasks", F.lit(0)).alias("tasks"))
+
     def statistics(self) -> DataFrame:
-        """(domain, difficulty, tasks, mean_iaa), with sums over either and both (null names)."""
-        return self.table().cube("domain", "difficulty").agg(F.count("*").alias("tasks"), F.round(F.avg("iaa"), 4).alias("mean_iaa"))
+        """(domain, difficulty, status, tasks, mean_iaa): over all tasks (all names null), and by each of the three; agreements of zero, which stand for none measured, are left out of the mean."""
+        measured = F.when(F.col("iaa") != 0, F.col("iaa"))
+        return self.table().groupingSets([[], ["domain"], ["difficulty"], ["status"]], "domain", "difficulty", "status").agg(F.count("*").alias("tasks"), F.round(F.coalesce(F.avg(measured), F.lit(0.0)), 4).alias("mean_iaa"))
 
     def _any(self) -> bool:
         jvm = self.spark.sparkContext._jvm

@@ -53,17 +53,39 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     return stream.sparkSession.read.schema(stream.schema).option("basePath", path).parquet(path)
 
 
-def keep_best(stream: DataFrame, path: str, checkpoint: str, keep: int = 5, least: float = 0.04) -> None:
-    """Keeps the best `keep` runs (task, run, score) of each task in a table at `path`: each batch is merged with the version before and written as the next."""
+def keep_best(stream: DataFrame, path: str, checkpoint: str, keep: int = 5, least: float = 0.04, least_reach: float = 0.20) -> None:
+    """Keeps the best `keep` runs (task, run, score, and reach if there is one) of each task in a table at `path`: each batch is merged with the version before and written as the next.
+
+    Runs under `least`, or that reach less than `least_reach`, aren't kept. A batch that is run again after a failure
+    merges with the version before it, and numbers may leave gaps (a new checkpoint starts at the next free one); the two last versions stay, older ones are removed.
+    """
+    reached = "reach" in stream.columns
 
     def merge(batch: DataFrame, number: int) -> None:
         from pyspark.sql import Window
 
         spark = batch.sparkSession
-        rows = batch.where(F.col("score") >= least)
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{number - 1}"))
+        rows = batch.where((F.col("score") >= least) & (F.coalesce("reach", F.lit(0.0)) >= least_reach if reached else F.lit(True)))
+        known = best_versions(spark, path)
+        taken = [v for v, by in known if by == f"{checkpoint}#{number}"]
+        version = taken[0] if taken else (known[-1][0] + 1 if known else 0)
+        before = [v for v, _ in known if v < version]
+        if before:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/v{before[-1]}").drop("batch"))
         place = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("score"), "run"))
-        rows.withColumn("place", place).where(F.col("place") <= keep).drop("place").write.mode("overwrite").parquet(f"{path}/v{number}")
+        best = rows.withColumn("place", place).where(F.col("place") <= keep).drop("place")
+        best.withColumn("batch", F.lit(f"{checkpoint}#{number}")).write.mode("overwrite").parquet(f"{path}/v{version}")
+        for old in before[:-1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def best_versions(spark: SparkSession, path: str) -> list[tuple[int, str | None]]:
+    """(version, the batch that wrote it) of the tables of keep_best() whose writing has ended, in order; an empty version has no batch."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    numbers = sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+    first = lambda v: spark.read.parquet(f"{path}/v{v}").select("batch").first()  # noqa: E731  every row has the same
+    return [(v, row[0] if (row := first(v)) else None) for v in numbers]
