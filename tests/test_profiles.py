@@ -13,7 +13,7 @@ from scorewright.streaming import state
 SILENT = judging.SILENT
 VERDICTS = [
     ("1. PASS - good\n2. FAIL: bad\n3) pass", [(True, "good"), (False, "bad"), (True, "")]),
-    ("intro\n 1) PASS — one\nmore of it\n2. fail\nNOTES: 3. PASS", [(True, "one"), (False, ""), (True, "")]),
+    ("intro\n 1) PASS — one\nmore of it\n2. fail\nNOTES: 3. PASS", [(True, "one"), (False, "NOTES: 3. PASS"), (False, SILENT)]),
     ("PASS\nFAIL because\n  pass\nPASS", [(True, ""), (False, ""), (True, "")]),
     ("PASS\nFAIL\nNOTES:\nPASS", [(False, SILENT)] * 3),
     ("2. PASS " + "x" * 200, [(False, SILENT), (True, "x" * 120), (False, SILENT)]),
