@@ -168,13 +168,13 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = BLOCKS, bucket: in
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (a, b) reaches.
 
-    Alternating large-star and small-star rounds; every second round is a table in the shared folder, and they end
-    when two such tables hold the same links.
+    Alternating large-star and small-star rounds; each round is a table in the shared folder, and rounds end when two
+    of them hold the same links.
     """
     edges = through_files(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"))
     state = None
     while True:
-        edges = through_files(_starred(_starred(edges)))
+        edges = through_files(_starred(edges))
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
