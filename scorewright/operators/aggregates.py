@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -58,6 +59,38 @@ def nearest_in_blocks(asked: DataFrame, vectors: DataFrame, n: int, block: int)
     return a.groupBy("qb", "vb").cogroup(b.groupBy("qb", "vb")).applyInPandas(best, "query_id long, match_id long, s double")
 
 
+def top_in_blocks(asked: DataFrame, rows: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], n: int, query_id: str, row_id: str, block: int = 2048) -> DataFrame:
+    """(query_id, row_id, score): the n rows of the highest score above zero for each asked one, ties to the smaller id; a query's own id is no row of it, and a row counts once.
+
+    `score` gives a matrix for a block of queries and one of rows, of about `block` each; blocks meet as groups, so no
+    query or row is left out at any size, and of each pair of blocks n rows a query go on. query_id and row_id are text.
+    """
+    schema = f"{query_id} string, {row_id} string, score double"
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({query_id: pd.Series([], dtype=str), row_id: pd.Series([], dtype=str), "score": np.zeros(0)})
+        points = score(left, right)
+        ids = right[row_id].to_numpy()
+        found: list[tuple[str, str, float]] = []
+        for own, line in zip(left[query_id], points, strict=True):
+            hits = np.flatnonzero((line > 0) & (ids != own))
+            one = {}
+            for i in hits[np.argsort(-line[hits], kind="stable")]:
+                one.setdefault(ids[i], line[i])
+                if len(one) >= n and line[i] < min(list(one.values())[:n]):
+                    break
+            found += [(own, i, s) for i, s in sorted(one.items(), key=lambda x: (-x[1], x[0]))[:n]]
+        return pd.DataFrame(found, columns=[query_id, row_id, "score"])
+
+    sides = [(df, max(1, math.ceil(df.count() / block))) for df in (asked, rows)]
+    (a, x), (b, y) = sides
+    a = a.select("*", F.pmod(F.xxhash64(query_id), F.lit(x)).alias("qb"), F.explode(F.expr(f"sequence(0L, {y - 1}L)")).alias("rb"))
+    b = b.select("*", F.explode(F.expr(f"sequence(0L, {x - 1}L)")).alias("qb"), F.pmod(F.xxhash64(row_id), F.lit(y)).alias("rb"))
+    each = a.groupBy("qb", "rb").cogroup(b.groupBy("qb", "rb")).applyInPandas(best, schema)
+    return top_per_group(each, n, [F.desc("score"), F.col(row_id)], query_id)
+
+
 def in_every_group(df: DataFrame, item: str, group: str) -> DataFrame:
     """Relational division: the items that occur with every group."""
     groups = df.agg(F.count_distinct(group).alias("all"))

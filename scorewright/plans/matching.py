@@ -96,27 +96,15 @@ def post_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search_posts(asked, posts, 5).withColumn("score", F.round("score", 6))
 
 
-@query("task_recall", f"""WITH {views.SCORES_SQL}, m AS (SELECT agent || '/' || task AS task_id, CASE CAST(round(url * 100) AS INT) % 3 WHEN 0 THEN 'timeline' WHEN 1 THEN 'debunking' ELSE 'comparison' END AS kind, round(reach, 4) AS best FROM scores WHERE agent IN ('view', 'click')),
-a AS (SELECT * FROM m WHERE task_id LIKE 'view/2024-01-0%'), s AS (SELECT a.task_id, m.task_id AS remembered, CASE WHEN a.kind = m.kind THEN 0.5 ELSE 0 END + m.best AS score FROM a JOIN m ON a.task_id <> m.task_id)
+_ASKED = "('0x' || substr(md5(task_id), 1, 8))::BIGINT % 20 = 0"
+
+
+@query("task_recall", f"""WITH {views.SCORES_SQL}, m AS (SELECT agent || '/' || task AS task_id, CASE CAST(round(url * 100) AS INT) % 3 WHEN 0 THEN 'timeline' WHEN 1 THEN 'debunking' ELSE 'comparison' END AS kind, round(reach, 4) AS best FROM scores),
+a AS (SELECT * FROM m WHERE {_ASKED}), s AS (SELECT a.task_id, m.task_id AS remembered, CASE WHEN a.kind = m.kind THEN 0.5 ELSE 0 END + m.best AS score FROM a JOIN m ON a.task_id <> m.task_id)
 SELECT task_id, remembered, round(score, 4) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, remembered) AS place FROM s) WHERE place <= 3""")
 def task_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score rows of two agents as remembered tasks; their kind comes from a pillar."""
+    """All score rows as remembered tasks, their kind from a pillar; every twentieth of them asks, by a digest of its id, among all."""
     kind = F.element_at(F.array(*map(F.lit, ("A Timeline of x\ncomparison", "Fact-Check: y", "z comparison"))), (F.round(F.col("url") * 100).cast("int") % 3 + 1))
-    memory = views.scores(spark, sf_dir).where("agent in ('view', 'click')").select(F.concat_ws("/", "agent", "task").alias("task_id"), retrieval.intent(kind).alias("intent_type"), F.round("reach", 4).alias("best"), F.lit(None).cast("array<double>").alias("embedding"))
-    found = retrieval.recall(memory.where("task_id like 'view/2024-01-0%'"), memory)
+    memory = views.scores(spark, sf_dir).select(F.concat_ws("/", "agent", "task").alias("task_id"), retrieval.intent(kind).alias("intent_type"), F.round("reach", 4).alias("best"), F.lit(None).cast("array<double>").alias("embedding"))
+    found = retrieval.recall(memory.where(F.conv(F.substring(F.md5("task_id"), 1, 8), 16, 10).cast("long") % 20 == 0), memory)
     return found.withColumn("score", F.round("score", 4))
-
-
-
-@query("evidence_density", rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '# Limitations of it' WHEN doc_id % 3 = 1 THEN '## Findings' ELSE 'Methodology' END || chr(10) || coalesce(text, '') || chr(10) || '# Links' || chr(10) || 'http://localhost:7770/a-b-c' || doc_id % 5 || '.html http://localhost:7770/A-B-C' || doc_id % 5 || '.html http://localhost:7770/cell-phones-accessories.html http://localhost:7770/a-b.html http://localhost:7770/catalog/product/view/id/7 http://localhost:9999/f/x/' || doc_id || ' http://localhost:9999/f/y/1' AS md FROM documents),
-n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(md, '\s+'), lambda x: x <> '')) AS total, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END * len(list_filter(regexp_split_to_array(regexp_extract(md, '(?s)^[^\n]*\n(.*)\n# Links', 1), '\s+'), lambda x: x <> '')) AS meta FROM d)
-SELECT doc_id, 2 AS products, CASE WHEN doc_id = 1 THEN 1 ELSE 2 END AS posts, round(meta / total, 6) AS meta_ratio, round(0.4 * 2 / 6 + 0.3 * CASE WHEN doc_id = 1 THEN 1 ELSE 2 END / 4 + 0.3 * (1 - meta / total), 3) AS score FROM n""")
-def evidence_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as reports under a heading, with links to products and posts behind."""
-    k = F.col("doc_id")
-    head = F.when(k % 3 == 0, "# Limitations of it").when(k % 3 == 1, "## Findings").otherwise("Methodology")
-    slug = (k % 5).cast("string")
-    links = F.concat(F.lit("http://localhost:7770/a-b-c"), slug, F.lit(".html http://localhost:7770/A-B-C"), slug, F.lit(".html http://localhost:7770/cell-phones-accessories.html http://localhost:7770/a-b.html http://localhost:7770/catalog/product/view/id/7 http://localhost:9999/f/x/"), k.cast("string"), F.lit(" http://localhost:9999/f/y/1"))
-    md = F.concat(head, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n# Links\n"), links)
-    out = table(spark, sf_dir, "documents").select("doc_id", text.evidence(md).alias("e"))
-    return out.select("doc_id", "e.products", "e.posts", F.round("e.meta_ratio", 6).alias("meta_ratio"), F.round("e.score", 3).alias("score"))
