@@ -7,7 +7,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from scorewright import registry
-from scorewright.plans import audits, boards, documents, evidence, facts, matching, profiles, streams, tables, texts  # noqa: F401
+from scorewright.plans import audits, boards, catalog, documents, evidence, facts, matching, profiles, streams, tables, texts  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
