@@ -326,14 +326,17 @@ def factual_exactness(facts: DataFrame, pages: DataFrame, reports: DataFrame, ju
     a page are unfetchable and don't count as supported. A degenerate report, or one without facts, fails with 0.0.
     """
     hosts = list(HOSTS) if hosts is None else hosts
-    own = facts.where("value is not null and value != ''").where(url.host_in(F.col("url"), hosts))
-    met = own.join(_one_body(pages), "url", "left")
-    found = F.coalesce(numeric.value_in_page(F.col("value"), F.lower(F.trim("value_type")), F.col("body")), F.lit(False))
+    own = facts.where("value is not null and value != ''").where(url.host_in(F.col("url"), hosts)).withColumn("value_type", F.coalesce("value_type", F.lit("")))
+    # A value is looked for once in a page, however many reports give it; what comes back is two flags, not the page.
+    asked = own.select("url", "value", "value_type").distinct().join(_one_body(pages), "url", "left")
+    told = asked.select("url", "value", "value_type", F.coalesce(numeric.value_in_page(F.col("value"), F.lower(F.trim("value_type")), F.col("body")), F.lit(False)).alias("found"), F.col("body").isNotNull().alias("there"), (F.coalesce("body", F.lit("")) == "").alias("bare"))
+    met = own.join(told, ["url", "value", "value_type"])
+    found = F.col("found")
     held = F.lit(False)
     if judged is not None:
         met = met.join(judged.select(id_column, "url", "value", F.col("supported").alias("_judged")).distinct(), [id_column, "url", "value"], "left")
-        held = ~found & F.col("body").isNotNull() & F.coalesce("_judged", F.lit(False))
-    counted = met.groupBy(id_column).agg(F.count("*").alias("facts"), F.count_if(found).alias("by_rule"), F.count_if(held).alias("by_judge"), F.count_if(F.coalesce("body", F.lit("")) == "").alias("unfetchable"))
+        held = ~found & F.col("there") & F.coalesce("_judged", F.lit(False))
+    counted = met.groupBy(id_column).agg(F.count("*").alias("facts"), F.count_if(found).alias("by_rule"), F.count_if(held).alias("by_judge"), F.count_if("bare").alias("unfetchable"))
     names = ["facts", "by_rule", "by_judge", "unfetchable"]
     out = _per_report(reports, counted, id_column, names).join(degenerate(reports, 50, True, id_column, md_column), id_column)
     score = F.when(F.col("degenerate"), 0.0).otherwise(_share(F.col("by_rule") + F.col("by_judge"), "facts"))
