@@ -24,6 +24,14 @@ def drop_reason() -> Column:
     return F.when(F.coalesce(short, F.lit(False)), "short").when(flag("infra_failure"), "infra").when(flag("ck_error") & flag("ad_error") & flag("pres_error"), "judge_err").when(placeholder, "placeholder")
 
 
+def drop_reasons() -> Column:
+    """All of short, infra and judge_err that hold for a row, in this order."""
+    number, flag = (lambda c: F.coalesce(F.col(c), F.lit(0))), (lambda c: F.coalesce(F.col(c), F.lit(False)))
+    short = (F.col("answer_chars") == 0) | (number("answer_chars") > 0) & (number("answer_chars") < 600) & (number("reach") == 0) & (number("chk") == 0)
+    found = {"short": F.coalesce(short, F.lit(False)), "infra": flag("infra_failure"), "judge_err": flag("ck_error") & flag("ad_error") & flag("pres_error")}
+    return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in found.items())))
+
+
 def drop_counts(rows: DataFrame) -> DataFrame:
     """(agent, total, kept, degenerate, one count for each reason, mean_kept): an agent all of whose rows are dropped still has a row."""
     each = rows.withColumn("reason", drop_reason())

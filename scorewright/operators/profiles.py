@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewright.operators import filters
+
 # A line that begins with a numbered URL, a link, and how much more of one makes a style.
 NUMBERED, LINK, DOMINANT = r"(?mdU)^\s*\[(\d{1,3})\]\s*\.?\s*(?:[-:.]\s*)?http", r"\[[^\]]+\]\(http[^)]+\)", 1.5
 
@@ -55,3 +57,43 @@ def top_flags(counts: DataFrame, by: str, n: int = 5) -> DataFrame:
     """(by, fault, n, place): the n most frequent flags of each group in rows (by, fault, primary, n), primaries aside, ties by name."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "fault"))
     return counts.where("NOT primary").select(by, "fault", "n", place.cast("long").alias("place")).where(F.col("place") <= n)
+
+
+def real(rows: DataFrame, *composites: str) -> DataFrame:
+    """Rows of which any composite is above zero; placeholders have none."""
+    return rows.where(F.greatest(*(F.coalesce(c, F.lit(0.0)) for c in composites), F.lit(0.0)) > 0)
+
+
+def version_summary(rows: DataFrame, old: str, new: str, measures: list[str]) -> DataFrame:
+    """(agent, n_runs, <old>_mean, <new>_mean, avg_<measure>, delta): means of two composites and of measures over an agent's real rows, each over those rows that have it; delta is the difference of the rounded means."""
+    mean = lambda c: F.round(F.avg(c) + 1e-9, 4)
+    out = real(rows, old, new).groupBy("agent").agg(F.count("*").alias("n_runs"), mean(old).alias(f"{old}_mean"), mean(new).alias(f"{new}_mean"), *(mean(m).alias(f"avg_{m}") for m in measures))
+    return out.withColumn("delta", F.round(F.col(f"{new}_mean") - F.col(f"{old}_mean"), 4))
+
+
+def largest_changes(rows: DataFrame, old: str, new: str, n: int = 15) -> DataFrame:
+    """(agent, task, <old>, <new>, delta, place): the n real rows whose composites differ most, either way, ties by agent and task."""
+    changed = real(rows, old, new).where(F.col(old).isNotNull() & F.col(new).isNotNull()).withColumn("delta", F.round(F.col(new) - F.col(old), 6))
+    first = changed.select("agent", "task", old, new, "delta").orderBy(F.desc(F.abs("delta")), "agent", "task").limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.abs("delta")), "agent", "task")).cast("long"))  # n rows
+
+
+def audit_table(rows: DataFrame) -> DataFrame:
+    """(agent, files, kept, dropped, mean, median, mean_v1, mean_chars, reach_0, reach_1, judge_errors, reasons) of score rows as filters.py takes them, with v1 beside composite.
+
+    Composites are of kept rows, all else of every row. reasons has the numbers of short, infra and judge_err, of
+    which a row may have several.
+    """
+    each = rows.withColumns({"_why": filters.drop_reason(), "_all": filters.drop_reasons()})
+    kept = F.col("_why").isNull()
+    of = lambda f, c: F.round(f(F.when(kept, F.col(c))) + 1e-9, 6)
+    zero = F.coalesce(F.col("reach"), F.lit(0.0))
+    reasons = F.concat_ws(", ", *(F.concat(F.count_if(~kept & F.array_contains("_all", r)).cast("string"), F.lit(f" {r}")) for r in ("short", "infra", "judge_err")))
+    return each.groupBy("agent").agg(F.count("*").alias("files"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("dropped"), of(F.avg, "composite").alias("mean"), of(F.median, "composite").alias("median"), of(F.avg, "v1").alias("mean_v1"), F.round(F.avg(F.coalesce("answer_chars", F.lit(0))), 4).alias("mean_chars"), F.count_if(zero == 0).alias("reach_0"), F.count_if(zero >= 0.999).alias("reach_1"), F.count_if("ck_error").alias("judge_errors"), reasons.alias("reasons"))
+
+
+def audit_panel(table: DataFrame, most: float = 0.3) -> DataFrame:
+    """One row over audit_table(): files, kept, dropped, ranked and excluded agents, and a verdict: PASS if nothing is dropped, FAIL if an agent lost all rows or over `most` of all are dropped, else WARN."""
+    names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("agent")))), ", ")
+    out = table.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "kept", "dropped")), names(F.col("kept") > 0).alias("ranked"), names(F.col("kept") == 0).alias("excluded"))
+    return out.withColumn("verdict", F.when((F.col("dropped") == 0) & (F.col("excluded") == ""), "PASS").when((F.col("excluded") != "") | (F.col("dropped") > F.col("files") * most), "FAIL").otherwise("WARN"))

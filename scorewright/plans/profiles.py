@@ -9,6 +9,7 @@ from scorewright.functions import judging
 from scorewright.operators import audits, composites, profiles, ratings
 from scorewright.plans import views
 from scorewright.plans.audits import _TAXONOMY
+from scorewright.plans.tables import _FILES, _score_files
 from scorewright.plans.texts import HOSTS
 from scorewright.plans.views import QUALITY_SQL, REPORTS_SQL, SCORES_SQL
 from scorewright.registry import query, table
@@ -93,3 +94,48 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrote = table(spark, sf_dir, "events").selectExpr("event_id", f"{_WROTE} AS wrote")
     read = wrote.select("event_id", judging.verdicts(judging.without_thinking(F.col("wrote")), 3).alias("v"))
     return read.select("event_id", F.array_join(F.transform("v", lambda v: F.when(v["passed"], "P").otherwise("F")), "").alias("verdicts"), F.array_join(F.transform("v", lambda v: v["reason"]), "|").alias("reasons"))
+
+
+_V4 = "reach * (" + " + ".join(f"{w} * {n}" for n, w in composites.V4.items()) + ")"
+_MEASURES = ["sd", "pb", "fe", "ic", "reach", "url", "chk"]
+_BOTH = f"{SCORES_SQL}, v AS (SELECT * EXCLUDE (sd), CASE WHEN chars % 4 > 0 THEN sd END AS sd, CASE WHEN chars % 6 > 0 THEN {_V2} ELSE 0 END AS v2, CASE WHEN chars % 6 > 0 THEN {_V4} END AS v4 FROM scores)"
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score rows with two composites; a sixth are placeholders, and a quarter lack a pillar."""
+    there = F.col("chars") % 6 > 0
+    rows = _factored(spark, sf_dir).withColumns({"v2": F.when(there, F.col("composite")).otherwise(0.0), "v4": F.when(there, F.col("reach") * composites.weighted(composites.V4))})
+    return rows.withColumn("sd", F.when(F.col("chars") % 4 > 0, F.col("sd")))
+
+
+@query("version_summary", f"WITH {_BOTH}, g AS (SELECT agent, count(*) AS n_runs, round(avg(v2) + 1e-9, 4) AS v2_mean, round(avg(v4) + 1e-9, 4) AS v4_mean, " + ", ".join(f"round(avg({m}) + 1e-9, 4) AS avg_{m}" for m in _MEASURES) + " FROM v WHERE v2 > 0 OR v4 > 0 GROUP BY 1) SELECT *, round(v4_mean - v2_mean, 4) AS delta FROM g")
+def version_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.version_summary(_both(spark, sf_dir), "v2", "v4", _MEASURES)
+
+
+@query("largest_changes", f"WITH {_BOTH}, r AS (SELECT agent, task, round(v2 + 1e-9, 6) AS v2, round(v4 + 1e-9, 6) AS v4 FROM v WHERE v2 > 0 AND v4 IS NOT NULL), d AS (SELECT *, round(v4 - v2, 6) AS delta FROM r) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY abs(delta) DESC, agent, task) AS place FROM d) WHERE place <= 15")
+def largest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen runs that another composite moves most."""
+    rows = _both(spark, sf_dir).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("v2", "v4")})
+    return profiles.largest_changes(rows, "v2", "v4")
+
+
+_SHORT = "(answer_chars = 0 OR (answer_chars < 600 AND reach = 0 AND chk = 0))"
+_COUNTED = ", ".join(f"count(*) FILTER (reason IS NOT NULL AND {c}) || ' {n}'" for n, c in (("short", _SHORT), ("infra", "infra_failure"), ("judge_err", "ck_error AND ad_error AND pres_error")))
+_AUDIT = f"""{_FILES}, audited AS (SELECT agent, count(*) AS files, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS dropped, round(avg(c) FILTER (reason IS NULL) + 1e-9, 6) AS mean, round(median(c) FILTER (reason IS NULL) + 1e-9, 6) AS median, round(avg(c / 2) FILTER (reason IS NULL) + 1e-9, 6) AS mean_v1, round(avg(answer_chars), 4) AS mean_chars,
+count(*) FILTER (reach = 0) AS reach_0, count(*) FILTER (reach >= 0.999) AS reach_1, count(*) FILTER (ck_error) AS judge_errors, concat_ws(', ', {_COUNTED}) AS reasons FROM d GROUP BY 1)"""
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.audit_table(_score_files(spark, sf_dir).withColumn("v1", F.col("composite") / 2))
+
+
+@query("audit_table", f"WITH {_AUDIT} SELECT * FROM audited")
+def audit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit(spark, sf_dir)
+
+
+@query("audit_panel", f"WITH {_AUDIT}, p AS (SELECT sum(files)::BIGINT AS files, sum(kept)::BIGINT AS kept, sum(dropped)::BIGINT AS dropped, coalesce(string_agg(agent, ', ' ORDER BY agent) FILTER (kept > 0), '') AS ranked, coalesce(string_agg(agent, ', ' ORDER BY agent) FILTER (kept = 0), '') AS excluded FROM audited) SELECT *, CASE WHEN dropped = 0 AND excluded = '' THEN 'PASS' WHEN excluded <> '' OR dropped > files * 0.3 THEN 'FAIL' ELSE 'WARN' END AS verdict FROM p")
+def audit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over all score rows."""
+    return profiles.audit_panel(_audit(spark, sf_dir))

@@ -99,3 +99,21 @@ def test_memory_asks_for_reach_and_tidies_up(spark, tmp_path):
     versions = [v for v, _ in state.best_versions(spark, path)]
     assert versions == [2, 3]  # the new checkpoint read all files again, as its first batch
     assert {(r.task, r.run) for r in spark.read.parquet(f"{path}/v3").collect()} == {("a", 2), ("a", 3), ("b", 6)}
+
+
+def test_two_composites_by_hand(spark):
+    rows = spark.createDataFrame([("a", "t1", 0.5, 0.1, 1.0), ("a", "t2", 0.0, None, 9.0), ("a", "t3", 0.1, 0.4, None), ("b", "t1", None, 0.2, 0.5), ("b", "t2", None, 0.0, 0.5), ("c", "t1", None, None, 1.0)], "agent string, task string, v2 double, v4 double, m double")
+    found = {r.agent: tuple(r)[1:] for r in profiles.version_summary(rows, "v2", "v4", ["m"]).collect()}
+    assert found == {"a": (2, 0.3, 0.25, 1.0, -0.05), "b": (1, None, 0.2, 0.5, None)}
+    changes = [tuple(r) for r in profiles.largest_changes(rows, "v2", "v4", 1).collect()]
+    assert changes == [("a", "t1", 0.5, 0.1, -0.4, 1)]
+
+
+def test_audit_by_hand(spark):
+    schema = "agent string, composite double, v1 double, reach double, chk double, answer_chars int, ck_error boolean, ad_error boolean, pres_error boolean, infra_failure boolean, head string"
+    fine = ("a", 0.5, 0.4, 1.0, 0.5, 900, False, False, False, False, "x")
+    rows = [fine, ("a", 0.3, 0.2, 0.0, 0.5, 900, True, False, False, False, "x"), ("a", 0.9, 0.9, None, None, 0, True, True, True, True, "x"), ("b", 0.1, 0.1, 0.5, 0.5, 900, False, False, False, False, "(A produced no report")]
+    table = {r.agent: tuple(r)[1:] for r in profiles.audit_table(spark.createDataFrame(rows, schema)).collect()}
+    assert table == {"a": (3, 2, 1, 0.4, 0.4, 0.3, 600.0, 2, 1, 2, "1 short, 1 infra, 1 judge_err"), "b": (1, 0, 1, None, None, None, 900.0, 0, 0, 0, "0 short, 0 infra, 0 judge_err")}
+    panel = lambda given: tuple(profiles.audit_panel(profiles.audit_table(spark.createDataFrame(given, schema))).first())
+    assert panel(rows) == (4, 2, 2, "a", "b", "FAIL") and panel([fine]) == (1, 1, 0, "a", "", "PASS") and panel([fine] * 3 + rows[2:3]) == (4, 3, 1, "a", "", "WARN") and panel([fine, *rows[2:3]]) == (2, 1, 1, "a", "", "FAIL")
