@@ -294,20 +294,21 @@ def triple_recall(triples: DataFrame, reports: DataFrame, id_column: str = "doc_
     return met.groupBy(id_column).agg(F.count("*").alias("triples"), F.count_if(hit).alias("hits")).withColumn("recall", F.round(F.col("hits") / F.col("triples"), 6))
 
 
-def contamination(reports: DataFrame, facts: DataFrame, around: int = 600, min_score: float = 0.50, id_column: str = "doc_id", md_column: str = "md") -> DataFrame:
+def contamination(reports: DataFrame, facts: DataFrame, around: int = 600, min_score: float = 0.50, id_column: str = "doc_id", md_column: str = "md", block: int = 10_000) -> DataFrame:
     """Whether a report gives planted values or those known before: facts (topic, prior_value, sandbox_value), asked of every report.
 
     A value counts within `around` characters of the topic, or anywhere where the topic isn't named. The score is the
     share of facts whose topic is named that have the planted value, those with both counting half; 0.0 without any.
-    The facts are few (a list of planted changes): they are broadcast, after a check that they are under 10,000.
+    Facts are usually few, a list of planted changes: they are broadcast, in blocks of about `block` where there are
+    more. A report's text is searched for places only for topics that it contains.
     """
     facts = facts.select("topic", "prior_value", "sandbox_value")
-    n = facts.count()
-    if n >= 10_000:
-        raise ValueError(f"{n} facts are too many for a list of planted changes")
+    blocks = max(1, -(-facts.count() // block))
     low = lambda c: F.regexp_replace(F.lower(c), r"(?U)\s+", " ")
-    rows = reports.select(id_column, F.coalesce(F.col(md_column), F.lit("")).alias("body")).withColumn("low", low(F.col("body"))).join(F.broadcast(facts.fillna("").withColumn("mark", low(F.col("topic")))))
-    spots = F.when(F.col("mark") == "", F.array().cast("array<string>")).otherwise(F.transform(text.found(F.col("low"), F.concat(F.lit(r"\Q"), F.col("mark"), F.lit(r"\E"))), lambda m: text.window(F.col("body"), m["at"], m["at"] + F.char_length("topic"), around)))
+    told = reports.select(id_column, F.coalesce(F.col(md_column), F.lit("")).alias("body")).withColumn("low", low(F.col("body")))
+    known = facts.fillna("").withColumn("mark", low(F.col("topic"))).withColumn("_block", F.pmod(F.xxhash64("topic", "prior_value", "sandbox_value"), F.lit(blocks)))
+    rows = reduce(DataFrame.unionByName, (told.join(F.broadcast(known.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)))
+    spots = F.when((F.col("mark") == "") | ~F.contains("low", F.col("mark")), F.array().cast("array<string>")).otherwise(F.transform(text.found(F.col("low"), F.concat(F.lit(r"\Q"), F.col("mark"), F.lit(r"\E"))), lambda m: text.window(F.col("body"), m["at"], m["at"] + F.char_length("topic"), around)))
     rows = rows.withColumn("spots", spots).withColumn("named", F.size("spots") > 0).withColumn("spots", F.when(F.col("named"), F.col("spots")).otherwise(F.array("body")))
     near = lambda value: (F.trim(value) != "") & F.exists("spots", lambda s: F.contains(low(s), low(F.trim(F.col(value) if isinstance(value, str) else value))))
     rows = rows.select(id_column, "topic", "named", near(F.col("prior_value")).alias("prior"), near(F.col("sandbox_value")).alias("planted"))

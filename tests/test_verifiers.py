@@ -202,6 +202,15 @@ def test_contamination(spark):
     assert found == {1: (1, 0, 0, 0, 1.0), 2: (0, 1, 0, 0, 0.0), 3: (0, 0, 0, 1, 0.0), 4: (0, 0, 1, 0, 0.5)}
 
 
+def test_contamination_in_blocks(spark):
+    """As many facts as one likes: blocks of two give what all at once give."""
+    names = ["Paris", "rome  x", "(oslo)", "Bern", None]
+    df = spark.createDataFrame([(i, f"{names[i % 5] or ''} has {i % 4} million and {names[(i + 1) % 5] or ''} {i % 3}") for i in range(20)], "doc_id long, md string")
+    facts = spark.createDataFrame([(n, f"{i} million", str(i)) for i, n in enumerate(names * 2)], "topic string, prior_value string, sandbox_value string")
+    whole, parts = (sorted(map(tuple, verifiers.contamination(df, facts, block=b).collect())) for b in (10_000, 2))
+    assert whole == parts and {r[1] for r in whole} == {10}
+
+
 def test_values_in_pages(spark):
     cases = [
         ("$1,234", "price", "costs $ 1234 now", True), ("$12.50", "price", "only £12.50!", True), ("12.5", "price", "1,250 people", False), ("5%", "percentage", "some 5 % of", True), ("5%", "percentage", "5 of", False), ("30 hours", "duration", "runs 30 h", True), ("1.234", "count", "1234 of", True),
