@@ -181,20 +181,18 @@ def compiled(spark: SparkSession, schema: dict[str, Any]) -> DataFrame:
 
 
 def _broken() -> Column:
-    """Whether a row (value, type, keyword, number, texts) breaks its rule; keywords for other types never do."""
-    value, type_, number, texts = F.col("value"), F.col("type"), F.col("number"), F.col("texts")
-    amount, text = at(value, "$", "double"), F.when(type_ == "string", at(value, "$", "string"))
-    members, listed = entries(value), items(value)
+    """Whether a row (json, type, amount, text, listed, members, keyword, number, texts) breaks its rule; keywords for other types never do."""
+    type_, number, texts, amount, text, listed, members = (F.col(c) for c in ("type", "number", "texts", "amount", "text", "listed", "members"))
     numeric = type_.isin("integer", "number")
     tests = {
         "type": ~(F.array_contains(texts, type_) | ((type_ == "integer") & F.array_contains(texts, F.lit("number")))),
-        "enum": ~F.array_contains(texts, F.to_json(value)), "const": ~F.array_contains(texts, F.to_json(value)),
+        "enum": ~F.array_contains(texts, F.col("json")), "const": ~F.array_contains(texts, F.col("json")),
         "minimum": numeric & (amount < number), "maximum": numeric & (amount > number), "exclusiveMinimum": numeric & (amount <= number), "exclusiveMaximum": numeric & (amount >= number),
         "multipleOf": numeric & (amount / number != F.floor(amount / number)),
         "minLength": F.char_length(text) < number, "maxLength": F.char_length(text) > number, "pattern": ~F.rlike(text, F.get(texts, F.lit(0))),
-        "minItems": F.size(listed) < number, "maxItems": F.size(listed) > number, "minProperties": F.size(members) < number, "maxProperties": F.size(members) > number,
-        "required": members.isNotNull() & (F.size(F.array_except(texts, F.map_keys(members))) > 0),
-        "additionalProperties": members.isNotNull() & (F.size(F.array_except(F.map_keys(members), texts)) > 0),
+        "minItems": listed < number, "maxItems": listed > number, "minProperties": F.size(members) < number, "maxProperties": F.size(members) > number,
+        "required": members.isNotNull() & (F.size(F.array_except(texts, members)) > 0),
+        "additionalProperties": members.isNotNull() & (F.size(F.array_except(members, texts)) > 0),
     }
     return F.coalesce(reduce(lambda out, name: F.when(F.col("keyword") == name, tests[name]).otherwise(out), tests, F.lit(False)), F.lit(False))
 
@@ -207,7 +205,14 @@ def violations(documents: DataFrame, schema: DataFrame, id_column: str = "id", v
     """
     rules = F.broadcast(schema)
     root = documents.select(F.col(id_column).alias("id"), F.lit("").alias("path"), F.lit("").alias("shape"), F.col(value_column).alias("value"))
-    judged = lambda rows: rows.withColumn("type", kind(F.col("value"))).join(rules, "shape").where(_broken()).select("id", "path", "keyword")
+    value = F.col("value")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """What rules ask of a value is taken out of it once, before it meets them."""
+        facts = rows.join(rules.select("shape").distinct(), "shape", "left_semi").withColumns({"type": kind(value), "amount": at(value, "$", "double"), "json": F.to_json(value), "listed": F.size(items(value)), "members": F.map_keys(entries(value))})
+        facts = facts.withColumns({"text": F.when(F.col("type") == "string", at(value, "$", "string")), "listed": F.when(F.col("type") == "array", F.col("listed"))})
+        return facts.select("id", "path", "shape", "type", "amount", "text", "json", "listed", "members").join(rules, "shape").where(_broken()).select("id", "path", "keyword")
+
     found = root.where("value is null").select("id", "path", F.lit("json").alias("keyword")).unionByName(judged(root.where("value is not null")))
     for level in levels(documents, id_column, value_column):
         found = found.unionByName(judged(below(level)))

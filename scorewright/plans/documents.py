@@ -9,6 +9,7 @@ from scorewright.operators import diagnosis, rescoring, summaries, variants
 from scorewright.plans import views
 from scorewright.plans.views import SCORES_SQL
 from scorewright.registry import query, table
+from scorewright.storage import materialised
 
 #: Dimensions, and the columns that their values come from.
 DIMS = {"coverage": "url", "depth": "v3_depth", "rigor": "v3_rigor", "style": "v3_style", "spec": "spc"}
@@ -118,7 +119,7 @@ placed AS (SELECT *, count(*) OVER (PARTITION BY agent, task) AS n, row_number()
 SELECT agent || '/' || task AS id, place IS NULL AS valid, coalesce(n, 0) AS broken, path AS first_path, keyword AS first_keyword FROM docs LEFT JOIN (FROM placed WHERE place = 1) p USING (agent, task)""")
 def documents_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every score document against SCHEMA: how many rules it breaks, and the first of them."""
-    docs = documents(spark, sf_dir).select(F.concat_ws("/", "agent", "task").alias("id"), F.try_parse_json("j").alias("value"))
+    docs = materialised(documents(spark, sf_dir).select(F.concat_ws("/", "agent", "task").alias("id"), F.try_parse_json("j").alias("value")))  # three passes read them
     return variants.validated(docs, variants.compiled(spark, SCHEMA))
 
 
@@ -170,9 +171,13 @@ def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("run_sketches")
 def run_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About how many URLs the runs of each domain name, and the middle and ninth tenth of their durations, from every day's sketches."""
-    daily = summaries.summarised(runs(spark, sf_dir), "day", "domain")
-    return summaries.finished(summaries.merged(daily, "domain"), "domain").select("domain", "runs", "about_urls", "durations_at_50_90")
+    """About how many URLs the runs of each domain name, from every day's sketches, how many they are, and whether the sketched middle and ninth tenth of durations lie within three hundredths of their ranks (sketches of quantiles draw lots, so their values don't come again)."""
+    given = runs(spark, sf_dir)
+    told = summaries.finished(summaries.merged(summaries.summarised(given, "day", "domain"), "domain"), "domain").select("domain", "runs", "about_urls", "durations_at_50_90")
+    bound = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY duration)")
+    exact = given.groupBy("domain").agg(F.count_distinct(F.get("url_list", F.lit(0))).alias("urls"), *(bound(q).alias(f"q{int(100 * q)}") for q in (0.47, 0.53, 0.87, 0.93)))
+    at_ = lambda i: F.get("durations_at_50_90", F.lit(i))
+    return told.join(exact, "domain").select("domain", "runs", "about_urls", "urls", at_(0).between(F.col("q47"), F.col("q53")).alias("middle_holds"), at_(1).between(F.col("q87"), F.col("q93")).alias("ninth_holds"))
 
 
 _PRICED = " ".join(f"WHEN '{m}' THEN tokens_in / 1e6 * {a} + tokens_out / 1e6 * {b}" for m, (a, b) in summaries.PRICES.items())

@@ -78,10 +78,10 @@ def dispatched_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
-_HOSTS = ["example.com", "example.org"]
+_HOSTS = ["blog.tionsh.example.net", "thther.example.org"]
 
 
-@query("hits_refused", "SELECT page_id, url, CASE WHEN trim(coalesce(url, '')) = '' THEN 'no_url' ELSE 'non_sandbox_url_blocked' END AS reason FROM pages WHERE coalesce(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '') NOT IN ('example.com', 'example.org')")
+@query("hits_refused", "SELECT page_id, url, CASE WHEN trim(coalesce(url, '')) = '' THEN 'no_url' ELSE 'non_sandbox_url_blocked' END AS reason FROM pages WHERE coalesce(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '') NOT IN ('blog.tionsh.example.net', 'thther.example.org')")
 def hits_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that may not be shown where only two hosts are allowed, and why."""
     return split.strict(table(spark, sf_dir, "pages").select("page_id", "url"), _HOSTS)[1]
