@@ -16,6 +16,8 @@ from scorewright.llm.common import hot_keys, join_unique, slices, through_files,
 
 #: Lines of a chunk on average and at most; words that a chunk has at least to count; words that make any run of lines a passage.
 CHUNK_LINES, MOST, LEAST, LONG = 3, 64, 20, 50
+#: Lists of repeated passages, one a document that has any, whose keys are handed out at most (24 bytes each).
+BROADCAST = 1_000_000
 #: Of lines with this many words every one of a repeated passage of LONG words goes, however it is cut.
 CHUNK_WORDS = 8
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, 0xFFFFFFFFFFFFFFFF
@@ -80,9 +82,9 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     stay, n_chars included. Null texts stay null; a null id comes last; rows that repeat both id and text count as one
     document, so that they don't empty each other; an empty table stays empty.
 
-    Hashes of passages are counted without texts. Documents move once, to get their list of repeated passages, and are
-    written to the shared folder; distinct texts of repeated hashes are then compared, and a last pass over the
-    documents removes lines where they are.
+    Hashes of passages are counted without texts. Documents that have any move once, to get their list of repeated
+    passages, and are written to the shared folder; distinct texts of repeated hashes are then compared, and a last
+    pass over these documents removes lines where they are.
     """
     id_, text = F.col(id_column), F.col(text_column)
     kept = docs.drop("lines", "removed_lines")
@@ -103,10 +105,15 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     repeated = through_files(chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("keep")).where("times > 1"))
     marked = join_unique(chunks, repeated, "hash", hot_keys(repeated, "hash", "times")).withColumn("stays", (F.coalesce("_id", F.lit((1 << 63) - 1)) == F.col("keep._id")) & (F.col("_tag") == F.col("keep._tag")) & (F.col("first") == F.col("keep.first")))
     lists = marked.groupBy("_id", "_tag").agg(F.sort_array(F.collect_list(F.struct("first", "n", "hash", "stays"))).alias(listed))
-    lists = lists.select(F.xxhash64("_id", "_tag").alias(key), F.col("_id").alias(list_id), F.col("_tag").alias(list_tag), listed)
+    lists = through_files(lists.select(F.xxhash64("_id", "_tag").alias(key), F.col("_id").alias(list_id), F.col("_tag").alias(list_tag), listed))
     keyed = kept.withColumn(key, F.xxhash64(id_.cast("long"), _tag(text)))
     match = (keyed[key] == lists[key]) & id_.cast("long").eqNullSafe(F.col(list_id)) & (_tag(text) == F.col(list_tag))
-    with_lists = through_files(keyed.join(lists, match, "left").drop(key, list_id, list_tag))
+    few = lists.count() <= BROADCAST
+    names = F.broadcast(lists.drop(listed)) if few else lists.drop(listed)
+    # What repeats nothing stays where it is; with more lists than can be handed out, all documents meet them.
+    moved = keyed.join(names, match, "left_semi") if few else keyed
+    match = (moved[key] == lists[key]) & moved[id_column].cast("long").eqNullSafe(lists[list_id]) & (_tag(moved[text_column]) == lists[list_tag])
+    with_lists = through_files(moved.join(lists, match, "left").drop(key, list_id, list_tag))
 
     full = "filter(slice(lines, c.first + 1, c.n), line -> btrim(line, ' \t\r\x0b\x0c') <> '')"
     several = F.expr(f"transform(array(split({text_column}, '\\n')), lines -> transform({listed}, c -> struct(c.hash AS hash, array_join({full}, '\\n') AS chunk)))[0]")
@@ -130,4 +137,8 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*(x for x in batch.schema.names if x != listed), "lines", "removed_lines"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lines", T.LongType()), T.StructField("removed_lines", T.LongType())])
-    return with_lists.mapInArrow(remove, schema)
+    found = with_lists.mapInArrow(remove, schema)
+    if not few:
+        return found
+    stays = keyed.join(names, (keyed[key] == names[key]) & keyed[id_column].cast("long").eqNullSafe(names[list_id]) & (_tag(keyed[text_column]) == names[list_tag]), "left_anti").drop(key)
+    return found.unionByName(stays.withColumns({"lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long"), "removed_lines": F.lit(0).cast("long")}))
