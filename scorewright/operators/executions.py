@@ -73,7 +73,8 @@ def grades(clean: DataFrame, noisy: DataFrame, criteria: str | None = None) -> D
     """(execution_id, task_id, the four scores, composite, grade, pass_1, pass_2, output_valid) of every clean run, its noisy twin found by task_id.
 
     Without a twin robustness is 1.0 for a success, else 0.5. A noisy run falls gracefully if it recovers from errors,
-    succeeds where the clean one does, or fails with an output.
+    succeeds where the clean one does, or fails with an output. A composite that is at a grade's least score but for the
+    last binary digits has that grade.
     """
     twin = noisy.groupBy("task_id").agg(F.min_by(F.struct(F.coalesce("success", F.lit(False)).alias("success"), F.coalesce("recovered", F.lit(0)).alias("recovered"), F.coalesce("has_output", F.lit(False)).alias("has_output")), "execution_id").alias("noisy"))
     success = F.coalesce("success", F.lit(False))
@@ -83,4 +84,4 @@ def grades(clean: DataFrame, noisy: DataFrame, criteria: str | None = None) -> D
     robustness = F.when(F.col("noisy").isNull(), F.when(success, 1.0).otherwise(0.5)).otherwise(F.least(F.lit(1.0), 0.70 * held + 0.30 * F.when(graceful, 0.8).otherwise(0.3)))
     scored = clean.join(twin, "task_id", "left").select("execution_id", "task_id", outcome(criteria).alias("outcome"), efficiency().alias("efficiency"), robustness.alias("robustness"), complexity().alias("complexity"), success.alias("pass_1"), (success | (_number("recovered") > 0)).alias("pass_2"), valid_output().alias("output_valid"))
     composite = sum((w * F.col(n) for n, w in WEIGHTS.items()), F.lit(0.0))
-    return scored.withColumn("_c", composite).select("execution_id", "task_id", *(F.round(F.col(n) + 1e-9, 4).alias(n) for n in WEIGHTS), F.round(F.col("_c") + 1e-9, 4).alias("composite"), numeric.grade(F.col("_c")).alias("grade"), "pass_1", "pass_2", "output_valid")
+    return scored.withColumn("_c", composite).select("execution_id", "task_id", *(F.round(F.col(n) + 1e-9, 4).alias(n) for n in WEIGHTS), F.round(F.col("_c") + 1e-9, 4).alias("composite"), numeric.grade(F.round("_c", 12)).alias("grade"), "pass_1", "pass_2", "output_valid")

@@ -96,3 +96,17 @@ def test_retrieval(spark):
     memory = spark.createDataFrame([("a", "causal", 0.2, [1.0, 0.0]), ("b", "causal", 0.1, [0.0, 1.0]), ("c", "timeline", None, None)], "task_id string, intent_type string, best double, embedding array<double>")
     found = retrieval.recall(spark.createDataFrame([("a", "causal", [0.0, 2.0])], "task_id string, intent_type string, embedding array<double>"), memory)
     assert [(r.remembered, round(r.score, 6)) for r in found.orderBy("place").collect()] == [("b", 0.9), ("c", 0.0)]
+
+
+def test_grade_of_a_composite_at_a_threshold(spark, tmp_path):
+    """0.14 + 0.162 + 0.235 + 0.063 is 0.6, a D; as a sum of doubles it is a little less."""
+    import duckdb
+
+    from scorewright.plans.matching import run_grades
+    from scorewright.registry import ORACLES
+
+    duckdb.sql("SELECT * FROM (VALUES (31206, 2353, 'O'), (1, 2353, 'O')) v(o_orderkey, o_custkey, o_orderstatus)").write_parquet(str(tmp_path / "orders.parquet"))
+    row = run_grades(spark, str(tmp_path)).first()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    assert (row.composite, row.grade) == (0.6, "D") == con.execute(f"SELECT composite, grade FROM ({ORACLES['run_grades']})").fetchone()
