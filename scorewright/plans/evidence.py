@@ -63,6 +63,7 @@ def _priority(rows: pd.DataFrame) -> pd.Series:
 
 
 _CHECKS = {"done": lambda rows: rows["status"].eq("F").astype(float), "priority": _priority, "worth": lambda rows: rows["total"] / 200_000}
+_READS = {"done": ["status"], "priority": ["status", "priority"]}
 _KINDS = "CASE o_orderkey % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
 _ASKED = [["done", "worth"], ["priority", "worth"], ["worth", "telepathy"], []]
 
@@ -74,7 +75,7 @@ def dispatched_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that ask for two checks each, of which one breaks down on some rows and one doesn't exist."""
     listed = [f"array({', '.join(repr(k) for k in kinds)})" if kinds else "CAST(array() AS array<string>)" for kinds in _ASKED]
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "o_orderpriority AS priority", "o_totalprice AS total", f"{_KINDS.format(*listed)} AS kinds")
-    found = evidence.combined(rows, evidence.dispatched(rows, _CHECKS, ["status", "priority", "total"]))
+    found = evidence.combined(rows, evidence.dispatched(rows, _CHECKS, ["status", "priority", "total"], reads=_READS))
     return found.withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
