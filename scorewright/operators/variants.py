@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -89,40 +89,56 @@ def records_in(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<variant>"))
 
 
-def _children(value: Column, skip: tuple[str, ...]) -> Column:
-    """(name, place, value) of each member or item; name is null in arrays."""
-    members = F.transform(F.map_entries(entries(value)), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("place"), e["value"].alias("value")))
-    members = F.filter(members, lambda m: ~m["name"].isin(*skip)) if skip else members
-    listed = F.transform(items(value), lambda v, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("place"), v.alias("value")))
-    return F.coalesce(members, listed)
+#: Levels that a document is gone down in one pass; only what is deeper is written and gone into again.
+STRIDE = 32
 
 
-#: Levels that are taken from one written table before the next is written.
-STRIDE = 4
+def _node(path: Column, shape: Column, value: Column) -> Column:
+    """An object or array with its path, that path without places, and what it holds, taken out of it once."""
+    return F.struct(path.alias("path"), shape.alias("shape"), entries(value).alias("members"), items(value).alias("listed"))
 
 
-def levels(documents: DataFrame, id_column: str, value_column: str, skip: tuple[str, ...] = ()) -> Iterator[DataFrame]:
-    """Tables (id, path, shape, value), one for each depth: every object and array at it, with its path and that path without places.
+def _inner(node: Column) -> Column:
+    return node["members"].isNotNull() | node["listed"].isNotNull()
 
-    A round takes all documents STRIDE levels down, so there are as many rounds as the deepest asks for; members named
-    in `skip` aren't gone into. Each round's last level is written, and the next is made from it; the last tables may be empty.
+
+def below(node: Column, skip: tuple[str, ...] = ()) -> Column:
+    """Array of (path, shape, value) of a node's members or items: `a.b[3].c` and, as shape, `a.b[].c`."""
+    named = lambda at_, name: F.when(at_ == "", name).otherwise(F.concat(at_, F.lit("."), name))
+    row = lambda path, shape, value: F.struct(path.alias("path"), shape.alias("shape"), value.alias("value"))
+    members = F.map_entries(node["members"])
+    members = F.filter(members, lambda e: ~e["key"].isin(*skip)) if skip else members
+    return F.coalesce(
+        F.transform(members, lambda e: row(named(node["path"], e["key"]), named(node["shape"], e["key"]), e["value"])),
+        F.transform(node["listed"], lambda v, i: row(F.concat(node["path"], F.lit("["), i, F.lit("]")), F.concat(node["shape"], F.lit("[]")), v)),
+        F.array().cast("array<struct<path:string,shape:string,value:variant>>"),
+    )
+
+
+def gathered(documents: DataFrame, id_column: str, value_column: str, gather: Callable[[Column], Column], fields: str, skip: tuple[str, ...] = (), beside: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fields): what `gather` finds, an array of structs of `fields`, in every object and array of the documents, at any depth.
+
+    A pass folds each document STRIDE levels down and keeps only what is found and what is still deeper, which the
+    next pass goes into; so no level is gone through twice. Members named in `skip` aren't gone into. `gather` is
+    given (path, shape, members, listed) and may name the columns `beside`.
     """
-    inner = lambda rows: rows.where(entries(F.col("value")).isNotNull() | items(F.col("value")).isNotNull())
-    here = inner(documents.select(F.col(id_column).alias("id"), F.lit("").alias("path"), F.lit("").alias("shape"), F.col(value_column).alias("value")))
-    while True:
-        here = materialised(here)
-        if not here.limit(1).count():
-            return
-        for _ in range(STRIDE):
-            yield here
-            here = inner(below(here, skip))
+    kind_ = f"array<struct<{fields}>>"
+    root = _node(F.lit(""), F.lit(""), F.col(value_column))
+    here = documents.select(F.col(id_column).alias("id"), *beside, F.filter(F.array(root), _inner).alias("nodes"))
 
+    def step(so_far: Column, _: Column) -> Column:
+        found = F.concat(so_far["found"], F.flatten(F.transform(so_far["nodes"], gather)))
+        deeper = F.transform(so_far["nodes"], lambda n: F.filter(F.transform(below(n, skip), lambda c: _node(c["path"], c["shape"], c["value"])), _inner))
+        return F.when(F.size(so_far["nodes"]) == 0, so_far).otherwise(F.struct(found.cast(kind_).alias("found"), F.flatten(deeper).alias("nodes")))
 
-def below(level: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(id, path, shape, value) of all members and items of a level's rows: `a.b[3].c` and, as shape, `a.b[].c`."""
-    child = level.select("id", "path", "shape", F.explode(_children(F.col("value"), skip)).alias("c"))
-    step = lambda c, place: F.when(F.col("c.name").isNull(), F.concat(c, place)).when(c == "", F.col("c.name")).otherwise(F.concat(c, F.lit("."), F.col("c.name")))
-    return child.select("id", step(F.col("path"), F.concat(F.lit("["), F.col("c.place"), F.lit("]"))).alias("path"), step(F.col("shape"), F.lit("[]")).alias("shape"), F.col("c.value").alias("value"))
+    parts = []
+    while True:
+        fold = F.aggregate(F.sequence(F.lit(1), F.lit(STRIDE)), F.struct(F.array().cast(kind_).alias("found"), F.col("nodes")), step)
+        told = materialised(here.where(F.size("nodes") > 0).select("id", *beside, fold.alias("r")).select("id", *beside, "r.found", "r.nodes"))
+        parts.append(told.select("id", F.inline("found")))
+        here = told.where(F.size("nodes") > 0).select("id", *beside, "nodes")
+        if not here.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
 
 
 def sources(documents: DataFrame, id_column: str = "id", value_column: str = "value") -> DataFrame:
@@ -131,14 +147,19 @@ def sources(documents: DataFrame, id_column: str = "id", value_column: str = "va
     A source's field is its path; `_sources` aren't gone into. A citation counts if it is an object with field and
     url. Urls that aren't text are given as JSON. Rows without JSON give none.
     """
-    value = F.col(value_column)
-    listed = documents.select(F.col(id_column).alias("id"), F.explode(items(at(value, "$.citations"))).alias("c")).where(F.map_contains_key(entries(F.col("c")), "field") & F.map_contains_key(entries(F.col("c")), "url"))
-    found = listed.select("id", at(F.col("c"), "$.field", "string").alias("field"), at(F.col("c"), "$.url", "string").alias("url"))
-    for level in levels(documents, id_column, value_column, ("_sources",)):
-        named = level.select("id", "path", F.explode(entries(at(F.col("value"), "$._sources"))).alias("name", "url"))
-        field = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat("path", F.lit("."), "name"))
-        found = found.unionByName(named.select("id", field.alias("field"), at(F.col("url"), "$", "string").alias("url")))
-    return found
+    none = F.array().cast("array<struct<field:string,url:string>>")
+    row = lambda field, link: F.struct(field.alias("field"), at(link, "$", "string").alias("url"))
+    member = lambda value, name: F.try_element_at(value, F.lit(name))
+
+    def cited(node: Column) -> Column:
+        given = F.map_entries(entries(member(node["members"], "_sources")))
+        field = lambda name: F.when(node["path"] == "", name).otherwise(F.concat(node["path"], F.lit("."), name))
+        named = F.coalesce(F.transform(given, lambda e: row(field(e["key"]), e["value"])), none)
+        whole = F.filter(F.transform(items(member(node["members"], "citations")), entries), lambda c: F.coalesce(F.map_contains_key(c, "field") & F.map_contains_key(c, "url"), F.lit(False)))
+        listed = F.transform(whole, lambda c: row(at(member(c, "field"), "$", "string"), member(c, "url")))
+        return F.when(node["path"] == "", F.concat(F.coalesce(listed, none), named)).otherwise(named)
+
+    return gathered(documents, id_column, value_column, cited, "field:string,url:string", ("_sources",))
 
 
 #: Keywords that look at one value, and what of it they need.
@@ -200,12 +221,12 @@ def _broken() -> Column:
 def violations(documents: DataFrame, schema: DataFrame, id_column: str = "id", value_column: str = "value") -> DataFrame:
     """(id, path, keyword) of every rule that a document breaks. `schema` is compiled(); its rows are broadcast, as it is a document itself.
 
-    Documents come level by level, each value meets the rules of its shape in a join; nothing is asked row by row. An
+    Values come out of the documents (gathered), each meets the rules of its shape in a join; nothing is asked row by row. An
     enum's values are compared as JSON with sorted members. Rows without JSON break the rule `json` at the root.
     """
     rules = F.broadcast(schema)
     root = documents.select(F.col(id_column).alias("id"), F.lit("").alias("path"), F.lit("").alias("shape"), F.col(value_column).alias("value"))
-    value = F.col("value")
+    value, value_ = F.col("value"), F.col(value_column)
 
     def judged(rows: DataFrame) -> DataFrame:
         """What rules ask of a value is taken out of it once, before it meets them."""
@@ -214,9 +235,11 @@ def violations(documents: DataFrame, schema: DataFrame, id_column: str = "id", v
         return facts.select("id", "path", "shape", "type", "amount", "text", "json", "listed", "members").join(rules, "shape").where(_broken()).select("id", "path", "keyword")
 
     found = root.where("value is null").select("id", "path", F.lit("json").alias("keyword")).unionByName(judged(root.where("value is not null")))
-    for level in levels(documents, id_column, value_column):
-        found = found.unionByName(judged(below(level)))
-    return found
+    # Only values of shapes that have rules leave a document.
+    shapes = schema.agg(F.collect_set("shape").alias("_shapes"))
+    asked = documents.where(value_.isNotNull()).join(F.broadcast(shapes))
+    held = gathered(asked, id_column, value_column, lambda n: F.filter(below(n), lambda c: F.array_contains("_shapes", c["shape"])), "path:string,shape:string,value:variant", beside=("_shapes",))
+    return found.unionByName(judged(held))
 
 
 def validated(documents: DataFrame, schema: DataFrame, id_column: str = "id", value_column: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewright.functions import text
-from scorewright.operators import evidence
+from scorewright.operators import evidence, variants
 
 MD = ["See [a](http://a.org/x) and http://b.org.", "Source: http://<x>", "- http://<y>", "SOURCE = HTTP://C.ORG", "x [1]\n\n[1] it http://d.org/", "x [1]\n\n[1] it", "[^a]\n\n[^a]: [b](https://e.org)", "(http://f.org)", "[http://g.org]", "http://", "", None, "plain", "a://b", "url : \u2003http://h.org"]
 
@@ -32,3 +32,12 @@ def test_rows_that_break_down_alike_are_asked_once(spark):
     found = evidence.dispatched(rows, {"k": counted}, ["id", "s"], reads={"k": ["s"]}).collect()
     assert {(r.id % 3, r.score, r.passed, r.error) for r in found} == {(0, 0.5, True, "ValueError: pending"), (1, 1.0, True, None), (2, 0.0, False, None)}
     assert len(found) == 3000 and calls.value <= 5
+
+
+def test_walk_down_a_deep_answer_writes_one_table(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(variants, "materialised", lambda df, keep=variants.materialised: written.append(1) or keep(df))
+    deep = lambda n: '{"in":[' * n + '{"_sources":{"a":"u"}}' + "]}" * n
+    found = variants.sources(spark.createDataFrame([(1, deep(7)), (2, deep(40)), (3, "[]"), (4, None)], "id int, j string").select("id", F.try_parse_json("j").alias("value"))).collect()
+    assert sorted((r.id, r.field.count("in[0]"), r.url) for r in found) == [(1, 7, "u"), (2, 40, "u")]
+    assert len(written) == 3  # 81 levels in steps of STRIDE
