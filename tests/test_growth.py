@@ -41,3 +41,9 @@ def test_walk_down_a_deep_answer_writes_one_table(spark, monkeypatch):
     found = variants.sources(spark.createDataFrame([(1, deep(7)), (2, deep(40)), (3, "[]"), (4, None)], "id int, j string").select("id", F.try_parse_json("j").alias("value"))).collect()
     assert sorted((r.id, r.field.count("in[0]"), r.url) for r in found) == [(1, 7, "u"), (2, 40, "u")]
     assert len(written) == 3  # 81 levels in steps of STRIDE
+
+
+def test_words_are_looked_up_in_sets(spark):
+    df = spark.createDataFrame([("Good, well-built; BAD bad best-of however",), ("",), (None,)], "t string").select(text.lexicon_counts(F.col("t")).alias("n"))
+    assert "array_contains" not in _plan(df) and "INSET" in _plan(df)
+    assert [(r.n.positive, r.n.negative) if r.n else None for r in df.collect()][:2] == [(2, 3), (0, 0)]
