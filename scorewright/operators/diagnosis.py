@@ -86,7 +86,7 @@ def label(value: Column, md: Column) -> Column:
             .otherwise("AGENT-FAULT-other-zero")
         )
 
-    urls = F.array_distinct(F.transform(citations_of(md), lambda c: c["url"]))
+    urls = F.array_distinct(F.transform(citations_of(md, wanted=("url",)), lambda c: c["url"]))
     return (
         F.when(chars < 100, "AGENT-FAULT-empty")
         .when(F.coalesce(md, F.lit("")) == "", "AGENT-FAULT-no-md")

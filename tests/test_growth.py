@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewright.functions import text
-from scorewright.operators import evidence, variants
+from scorewright.operators import citations, evidence, variants, verifiers
 
 MD = ["See [a](http://a.org/x) and http://b.org.", "Source: http://<x>", "- http://<y>", "SOURCE = HTTP://C.ORG", "x [1]\n\n[1] it http://d.org/", "x [1]\n\n[1] it", "[^a]\n\n[^a]: [b](https://e.org)", "(http://f.org)", "[http://g.org]", "http://", "", None, "plain", "a://b", "url : \u2003http://h.org"]
 
@@ -47,3 +47,20 @@ def test_words_are_looked_up_in_sets(spark):
     df = spark.createDataFrame([("Good, well-built; BAD bad best-of however",), ("",), (None,)], "t string").select(text.lexicon_counts(F.col("t")).alias("n"))
     assert "array_contains" not in _plan(df) and "INSET" in _plan(df)
     assert [(r.n.positive, r.n.negative) if r.n else None for r in df.collect()][:2] == [(2, 3), (0, 0)]
+def test_a_report_is_told_to_have_citations_without_listing_them(spark):
+    reports = spark.createDataFrame(list(enumerate(MD)), "doc_id int, md string")
+    rows = reports.select(citations.has_citation(F.col("md")).alias("has"), (F.size(citations.citations_of(F.col("md"))) > 0).alias("lists"), "md").collect()
+    assert [r.has for r in rows] == [r.lists for r in rows] and {r.has for r in rows} == {True, False}
+    assert "array_sort" not in _plan(verifiers.degenerate(reports))
+
+
+def test_pairs_are_drawn_by_their_numbers(spark):
+    """The same pairs as by listing them all, for things named in few and in thousands of sentences."""
+    for n in (6, 7, 12, 3000):
+        said = [f"Acme Rocket was seen in the field again, number {i} of them." for i in range(n)]
+        got = verifiers.consistency_pairs(spark.createDataFrame([(1, " ".join(said))], "doc_id int, md string"))
+        total = n * (n - 1) // 2
+        stride = 1 if total <= 12 else total // 12
+        every = ((i, j) for i in range(n) for j in range(i + 1, n))
+        want = [p for k, p in enumerate(every) if k % stride == 0][:12]
+        assert sorted((r.i, r.j) for r in got.collect()) == want
