@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scorewright.functions import text, url
 from scorewright.operators.aggregates import missing_pairs
 from scorewright.operators.citations import citations
+from scorewright.storage import materialised
 
 # What a made-up URL looks like, and words of a run that gave up.
 FAKE_URLS = [r"\(placeholder\)", r"example\.com", r"wikipedia\.org", r"\.tavily\.", r"onestopmarket\.com"]
@@ -69,7 +70,8 @@ def fairness(reports: DataFrame, must: DataFrame, scored: DataFrame, id_column:
     is asked for before SUSPECT.
     """
     stem = lambda u: F.concat(url.host_port(u), F.lit("/"), F.lower(F.array_join(F.slice(F.split(F.regexp_replace(url.part(u, 4), "/+$", ""), "/"), F.greatest(F.size(F.split(F.regexp_replace(url.part(u, 4), "/+$", ""), "/")) - 1, F.lit(1)), 2), "/")))
-    cited = citations(reports, None, id_column).select(id_column, "url").distinct().join(reports.select(id_column, "task"), id_column)
+    # Written once, as three counts are taken from it; texts are gone through for it once.
+    cited = materialised(citations(reports, None, id_column, wanted=("url",), beside=("task",)).distinct())
     known = must.select("task", url.canonical(F.col("url")).alias("url")).distinct()
     direct = cited.join(known, ["task", "url"]).groupBy(id_column).agg(F.count("*").alias("direct"))
     near = cited.select(id_column, "task", F.col("url").alias("own"), stem(F.col("url")).alias("stem")).join(known.select("task", "url", stem(F.col("url")).alias("stem")), ["task", "stem"]).where("own != url").groupBy(id_column).agg(F.count_distinct("stem").alias("near"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewright.functions import text
-from scorewright.operators import citations, evidence, variants, verifiers
+from scorewright.operators import audits, citations, evidence, variants, verifiers
 
 MD = ["See [a](http://a.org/x) and http://b.org.", "Source: http://<x>", "- http://<y>", "SOURCE = HTTP://C.ORG", "x [1]\n\n[1] it http://d.org/", "x [1]\n\n[1] it", "[^a]\n\n[^a]: [b](https://e.org)", "(http://f.org)", "[http://g.org]", "http://", "", None, "plain", "a://b", "url : \u2003http://h.org"]
 
@@ -64,3 +64,14 @@ def test_pairs_are_drawn_by_their_numbers(spark):
         every = ((i, j) for i in range(n) for j in range(i + 1, n))
         want = [p for k, p in enumerate(every) if k % stride == 0][:12]
         assert sorted((r.i, r.j) for r in got.collect()) == want
+
+
+def test_texts_are_gone_through_once(spark):
+    reports = spark.createDataFrame([(i, i % 3, md) for i, md in enumerate(MD)], "doc_id int, task int, md string")
+    assert _plan(verifiers.source_diversity(reports, {"a.org": "shopping"})).count("Generate explode") == 1
+    must, scored = spark.createDataFrame([(0, "http://a.org/x")], "task int, url string"), reports.select("doc_id", F.lit(1).alias("hits"))
+    for first in (False, True):
+        found = audits.fairness(reports, must, scored, scorer_first=first)
+        assert "Generate explode" not in _plan(found) and {r.doc_id: (r.cited, r.direct) for r in found.collect()}[0] == (2, 1)
+    wanted = citations.citations(reports, wanted=("raw_url",), beside=("task",))
+    assert wanted.columns == ["doc_id", "task", "raw_url"] and "try_url_decode" not in _plan(wanted).lower() and wanted.count() == citations.citations(reports).count()
