@@ -29,7 +29,7 @@ def test_rows_that_break_down_alike_are_asked_once(spark):
         calls.add(1)
         return fragile(rows)
 
-    found = evidence.dispatched(rows, {"k": counted}, ["id", "s"], reads={"k": ["s"]}).collect()
+    found = evidence.dispatched(rows, {"k": counted}, ["s"], reads={"k": ["s"]}).collect()
     assert {(r.id % 3, r.score, r.passed, r.error) for r in found} == {(0, 0.5, True, "ValueError: pending"), (1, 1.0, True, None), (2, 0.0, False, None)}
     assert len(found) == 3000 and calls.value <= 5
 
