@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,6 +25,8 @@ SCALE = 30.0
 LEAST_GOOD = 0.4
 #: Words without weight that each document gets besides, so that few words say little.
 PRIOR_WORDS = 8
+#: Features that a step of the fit works on at once.
+PART = 1 << 18
 #: Words kept with their scores in a Python worker.
 MEMO_WORDS = 400_000
 MARKS = ".,!?;:*$%&#|\"'()[]{}<>-"
@@ -67,38 +70,47 @@ def _counts(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hit.astype(np.int32), (SCALE * n / (b - a + PRIOR_WORDS)).astype(np.float32)
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = len(GRADES), steps: int = 200, rate: float = 0.2, ridge: float = 0.03) -> Model:
+def fit(rows: Iterable[tuple[int, np.ndarray, np.ndarray]], grades: int = len(GRADES), steps: int = 200, rate: float = 0.2, ridge: float = 0.03) -> Model:
     """Fits the cumulative-link model P(grade > k) = sigmoid(score - threshold k), rare grades weighing more (by the root of their counts).
 
     rows: (grade, features, shares). A feature must occur in three documents. No rows give a model without an
     opinion.
     """
     weights, thresholds = np.zeros(1 << BITS), np.linspace(-1, 1, grades - 1)
+    rows = list(rows)
     if not rows:
         return Model(weights, thresholds)
     y = np.array([r[0] for r in rows])
     where, share = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
-    common = np.bincount(where, minlength=1 << BITS) >= min(3, len(rows))
+    n = len(rows)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r[1]) for r in rows])
+    rows.clear()  # features are held once
+    common = np.bincount(where, minlength=1 << BITS) >= min(3, n)
     keep = common[where]
     names = np.flatnonzero(common)
     where = (np.cumsum(common) - 1).astype(np.int32)[where[keep]]
     share, doc = share[keep], doc[keep]
+    parts = [slice(*x) for x in itertools.pairwise([*range(0, len(where), PART), len(where)])]
     each = np.maximum(1, np.bincount(y, minlength=grades))[y] ** -0.5
     each /= each.sum()
     w, t = np.zeros(len(names)), thresholds.copy()
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     for step in range(1, steps + 1):
-        score = np.bincount(doc, share * w[where], minlength=len(rows))
+        score = np.zeros(n)
+        for part in parts:  # added up in the same order as in one go
+            np.add.at(score, doc[part], share[part] * w[where[part]])
         # P(Y = k) = tail(k - 1) - tail(k), tails falling from one to zero.
-        tails = np.concatenate([np.ones((len(rows), 1)), sigmoid(score[:, None] - t[None, :]), np.zeros((len(rows), 1))], axis=1)
+        tails = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - t[None, :]), np.zeros((n, 1))], axis=1)
         slopes = tails * (1 - tails)
-        at = np.arange(len(rows))
+        at = np.arange(n)
         p = np.maximum(tails[at, y] - tails[at, y + 1], 1e-9)
         up, down = slopes[at, y] / p, slopes[at, y + 1] / p
         by_score = -each * (up - down)
-        g_w = np.bincount(where, share * by_score[doc], minlength=len(w)) + ridge * w / len(w) ** 0.5
+        g_w = np.zeros(len(w))
+        for part in parts:
+            np.add.at(g_w, where[part], share[part] * by_score[doc[part]])
+        g_w += ridge * w / len(w) ** 0.5
         g_t = np.array([(each * (up * (y == k + 1) - down * (y == k))).sum() for k in range(grades - 1)])
         for value, g, i, lr in ((w, g_w, 0, rate), (t, g_t, 2, rate)):
             moments[i] += 0.1 * (g - moments[i])
@@ -127,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_colum
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column)).join(F.broadcast(chosen), "doc_id")
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text"))).alias("one")).select("grade", F.col("one.text").alias(text_column))  # one text of a repeated id
-    found = sorted(rows.mapInArrow(run, "grade int, places binary, shares binary").toLocalIterator(prefetchPartitions=True))
-    return fit([(r.grade, np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in found])
+    found = rows.mapInArrow(run, "grade int, places binary, shares binary").toLocalIterator(prefetchPartitions=True)
+    return fit((r.grade, np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in sorted(found))
 
 
 SCORES = ["expected_grade", "p_above_toxic", "p_good"]

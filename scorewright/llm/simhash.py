@@ -168,27 +168,35 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = BLOCKS, bucket: in
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (a, b) reaches.
 
-    Alternating large-star and small-star rounds; each round is a table in the shared folder, and rounds end when two
-    of them hold the same links.
+    Alternating large-star and small-star steps; each step is a table in the shared folder, and they end when all links
+    are stars. A step has one join, and no round is made only to see that nothing changes: with all that a plan brings
+    about, exchanges, broadcasts and the threads and code for them, long plans are what takes the driver's memory.
     """
-    edges = through_files(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b"))
-    state = None
-    while True:
-        edges = through_files(_starred(edges))
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-
-
-def _starred(edges: DataFrame) -> DataFrame:
-    """Links after a large-star and a small-star round: larger neighbours, then all others, move to the least one."""
+    edges = through_files(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    while not _all_stars(edges):
+        edges = through_files(_small_star(through_files(_large_star(edges))))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each larger end of distinct links (a, b), a > b, has one link and is no smaller end: then b is the smallest that a reaches."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0]
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Distinct links, each node's larger neighbours moved to the least of its neighbours and itself."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    edges = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Distinct links, each node and its smaller neighbours moved to the least of these."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a")
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", "m")).distinct()
+    return moved.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = BLOCKS, bucket: int = BUCKET, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

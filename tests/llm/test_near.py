@@ -142,3 +142,32 @@ def test_op6_leaves_the_session_as_it_was(spark):
     table = spark.createDataFrame([(float(i % 2), Vectors.dense([i % 2, i])) for i in range(40)], ["label", "features"])
     for learner in (RandomForestClassifier(numTrees=3, seed=1), LogisticRegression()):
         assert learner.fit(table).transform(table).select("prediction").distinct().count() == 2
+
+
+def test_components_make_no_round_for_stars(spark):
+    """Links that are stars already take four jobs or fewer a table and plan; a round only to see that nothing changes took more."""
+    stars = spark.createDataFrame([(10 * i + k, 10 * i) for i in range(5) for k in range(1, 4)] + [(11, 10)], "a long, b long")
+    spark.sparkContext.setJobGroup("stars", "stars")
+    try:
+        found = {(r.node, r.root) for r in simhash.components(stars).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stars"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {(10 * i + k, 10 * i) for i in range(5) for k in range(1, 4)}
+    assert jobs <= 8
+
+
+def test_components_of_random_links(spark, rng):
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        top[y] = x
+    expected = {(x, root(x)) for x in top if root(x) != x}
+    assert {(r.node, r.root) for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()} == expected
