@@ -13,8 +13,10 @@ from scorewright.llm.common import ragged
 
 #: Words kept with their ids in a Python worker (in two generations), and the longest word that is kept.
 MEMO_WORDS, MEMO_CHARS = 800_000, 64
-#: Marks that end words: they are never joined with a letter before them.
-ENDS = ".,!?;:*$%&#)"
+#: Words without the mark of special tokens and without letters that depend on those beside them, in lower case or composed.
+PLAIN = r"^[\x00-{}~\x{7f}-\x{ff}]*$"
+#: Words that end in marks which are never joined with a letter before them (but in one that lower case takes apart).
+CLOSED = r"^(?s:(?P<stem>.*[^İ\PL])(?P<marks>[.,!?;:*$%&#)]+))$"
 _loaded: dict[str, TextEncoder] = {}
 
 
@@ -33,45 +35,37 @@ class TextEncoder:
         self.model = Tokenizer.from_file(path)
         ids = lambda text: self.model.encode(text, add_special_tokens=False).ids
         probes = (("The", "end."), ("x1", "'s"), ("été", "́a"), ("--", "ok"), ("A", ""))
-        self.by_word = ids("Aé, b") == ids("aé") + ids(",") + ids("B") and all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a, b in probes for gap in (" ", "\n", "  "))
-        self.memo, self.old = {"": b""}, {}
+        self.by_word = ids("AéÉ, b") == ids("aéé") + ids(",") + ids("B") and all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a, b in probes for gap in (" ", "\n", "  "))
+        self.memo, self.old = {}, {}
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32 bit."""
-        memo, old = self.memo, self.old
-        if missing := [w for w in words if w not in memo]:
-            if len(memo) + len(missing) > MEMO_WORDS // 2:
-                old, memo = self.old, self.memo = memo, {"": b""}
-                missing = [w for w in words if w]
-            fresh = {}
-            for w in [w for w in missing if w not in old]:
-                fresh[w] = b""
-            names = list(fresh)
-            for at in range(0, len(names), 20_000):
-                part = names[at : at + 20_000]
-                fresh.update(zip(part, (array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            for w in missing:
-                found = fresh[w] if w in fresh else old[w]
-                if len(w) <= MEMO_CHARS:
-                    memo[w] = found
-            return [i if (i := memo.get(w)) is not None else fresh[w] for w in words]
-        return [memo[w] for w in words]
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """As _words; a word's lower-case form and its closing marks are looked up by themselves."""
-        plain = [w.lower() if w.isascii() and "|" not in w else w for w in words]
-        stems = [w.rstrip(ENDS) for w in plain]
-        cut = [i for i, (w, s) in enumerate(zip(plain, stems, strict=True)) if len(s) < len(w) and s and s[-1].lower().isalpha()]
-        ends = [plain[i][len(stems[i]) :] for i in cut]
-        for i in cut:
-            plain[i] = stems[i]
-        asked = list(dict.fromkeys(plain)) + [e for e in dict.fromkeys(ends)]
-        known = dict(zip(asked, self._words(asked), strict=True))
-        out = [known[w] for w in plain]
-        for i, end in zip(cut, ends, strict=True):
-            out[i] += known[end]
+        """The ids of each of distinct words, as little-endian unsigned 32 bit."""
+        out = list(map(self.memo.get, words))
+        missing = [i for i, found in enumerate(out) if found is None]
+        if len(self.memo) + len(missing) > MEMO_WORDS // 2:
+            self.old, self.memo = self.memo, {}
+        memo, old, fresh = self.memo, self.old, []
+        for i in missing:
+            word = words[i]
+            if (found := old.get(word)) is None:
+                fresh.append(i)
+            else:
+                out[i] = memo[word] = found
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            for i, e in zip(part, self.model.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+                if len(words[i]) <= MEMO_CHARS:
+                    memo[words[i]] = out[i]
         return out
 
+    @staticmethod
+    def _split(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word (in lower case if it is PLAIN) up to its closing marks, and these: they have ids of their own after a letter."""
+        words = pc.if_else(pc.match_substring_regex(words, PLAIN), pc.utf8_lower(words), words)
+        cut = pc.extract_regex(words, CLOSED)
+        return pc.coalesce(pc.struct_field(cut, "stem"), words), pc.fill_null(pc.struct_field(cut, "marks"), "")
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (unsigned 32 bit), and where each text's begin (one more than texts)."""
         texts = pc.fill_null(texts, "")
@@ -81,12 +75,15 @@ class TextEncoder:
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(ends[-1])), ends
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pc.dictionary_encode(parts.flatten())
-        known = self._ids(coded.dictionary.to_pylist())
+        stems, marks = self._split(coded.dictionary)
+        pieces = pc.dictionary_encode(pa.concat_arrays([stems, marks]))
+        known = self._words(pieces.dictionary.to_pylist())
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), np.uint32)
-        codes = coded.indices.to_numpy()
-        per_word = lengths[codes]
-        ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], per_word)]
+        place = pieces.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()].ravel()  # of each word's stem and marks
+        per_piece = lengths[place]
+        ids = flat[ragged((np.cumsum(lengths) - lengths)[place], per_piece)]
+        per_word = per_piece.reshape(-1, 2).sum(axis=1)
         word_ends = np.concatenate([[0], np.cumsum(per_word)])
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
         return ids, word_ends[bounds]

@@ -229,3 +229,19 @@ def test_op4_filled_by_hand(rng):
         assert all(size - gap <= sum(n for _, _, n in w) <= size for w in done) and sum(n for _, _, n in left) < size
         want = sorted((name, k) for w in windows for name, start, n in w for k in range(start, start + n))
         assert sorted((name, k) for w in [*done, left] for name, start, n in w for k in range(start, start + n)) == want
+
+
+def test_encoder_meets_words_once_in_lower_case_without_marks():
+    """Ids are the tokenizer's own, and words with letters up to ÿ that differ in case and closing marks are encoded once."""
+    import pyarrow as pa
+    from scorewright.llm.tokens import TextEncoder
+
+    coder = TextEncoder(queries.WORD_BPE)
+    texts = ["Ciónrr. ciónrr ÁÉÿ! áéÿ), CIÓNRR?", None, "", " \n ", "İ. ΣΑΣ. σας <|endoftext|>, a|B. 1. x1. it's IT'S. ß. µ, é. É 日本. ª. \x85A \xa0b. ...", "x" * 100 + ". Dž. ŉ, Å\t\x0bB."]
+    ids, bounds = coder.encode(pa.array(texts))
+    for text, a, b in zip(texts, bounds, bounds[1:], strict=False):
+        assert ids[a:b].tolist() == coder.model.encode(text or "", add_special_tokens=False).ids, text
+    assert coder.by_word
+    assert [w for w in coder.memo if "rr" in w.lower()] == ["ciónrr"]
+    again, _ = coder.encode(pa.array(texts))
+    assert (again == ids).all()
